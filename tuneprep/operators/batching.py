@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tuneprep.operators.ordering import with_running_total
+from tuneprep.storage import materialize
 
 # Fixed value: the sides of a preference pair as column suffixes.
 SIDES = ("j", "k")
+# Up to this many groups, a table with one row per group may be broadcast.
+BROADCAST_GROUPS = 100_000
 
 
 def pack_wrapped(
@@ -28,28 +31,30 @@ def pack_wrapped(
     Row ends do not matter, except that ``eos_id`` is appended to every row if given.
     The last block of a group may be short; ``drop_tail`` drops it.
 
-    Only key and length of a row are ordered. The ids then move once, to the block
-    they belong to, as slices: a row costs as many slices as blocks it touches, and
-    a block gathers at most ``seq_length`` of them.
+    The input is evaluated once, into a table. Only key and length of a row are
+    ordered. The ids then move to the block they belong to, as slices: a row costs as
+    many slices as blocks it touches, and a block gathers at most ``seq_length``.
     """
     if seq_length < 1:
         raise ValueError("seq_length must be positive.")
     order, groups = list(order_by), list(group_by)
     ids = F.col(ids_col) if eos_id is None else F.concat(F.col(ids_col), F.array(F.lit(eos_id)))
-    rows = df.select(*groups, *order, ids.alias("_ids")).where(F.size("_ids") > 0)
-    placed = with_running_total(rows, order, F.size("_ids"), groups, before="_start")
+    rows = df.select(*groups, *order, ids.alias("_ids")).withColumn("_length", F.size("_ids"))
+    rows = materialize(rows, "packing").where(F.col("_length") > 0)
+    placed = with_running_total(rows, order, F.col("_length"), groups, before="_start")
 
     length = F.lit(seq_length).cast("bigint")
-    end = F.col("_start") + F.size("_ids")
+    end = F.col("_start") + F.col("_length")
     block_start = F.col("block_id") * length
     skipped = F.greatest(block_start - F.col("_start"), F.lit(0).cast("bigint"))
     taken = F.least(block_start + length, end) - F.col("_start") - skipped
     pieces = placed.select(
         *groups,
         "_start",
+        "_length",
         "_ids",
         F.explode(
-            F.sequence(F.expr(f"_start div {seq_length}"), F.expr(f"(_start + size(_ids) - 1) div {seq_length}"))
+            F.sequence(F.expr(f"_start div {seq_length}"), F.expr(f"(_start + _length - 1) div {seq_length}"))
         ).alias("block_id"),
     ).select(
         *groups,
@@ -84,22 +89,34 @@ def assign_batches(
     groups = list(group_by)
     if step < 1:
         raise ValueError("batch_size must be positive.")
-    if position is not None:
+    if position is None:
+        numbered = with_running_total(df, order_by, None, groups, before="_position", total="_rows")
+    else:
         numbered = df.withColumn("_position", F.col(position))
         if drop_last:
-            totals = df.groupBy(*groups).agg(F.count(F.lit(1)).alias("_rows"))
-            if groups:
-                numbered = numbered.join(totals, groups)
-            else:
-                numbered = numbered.withColumn("_rows", F.lit(totals.first()["_rows"]))
-    else:
-        numbered = with_running_total(df, order_by, None, groups, before="_position", total="_rows")
+            numbered = _with_group_rows(numbered, groups, step)
     batched = numbered.withColumn("batch_id", F.expr(f"_position div {step}"))
     if drop_last:
         batched = batched.where(F.col("batch_id") < F.expr(f"_rows div {step}"))
     return batched.drop("_position", "_rows")
 
 
+def _with_group_rows(numbered: DataFrame, groups: list[str], step: int) -> DataFrame:
+    """Add ``_rows``, the group's size, as far as the last full batch depends on it.
+
+    A few groups are counted and broadcast. Of many groups each batch is counted by
+    itself: a group may be large, a batch never is.
+    """
+    totals = numbered.groupBy(*groups).agg(F.count(F.lit(1)).alias("_rows"))
+    if not groups:
+        return numbered.withColumn("_rows", F.lit(totals.first()["_rows"]))
+    if totals.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS:
+        return numbered.join(F.broadcast(totals), groups)
+    batch = F.expr(f"_position div {step}")
+    in_batch = Window.partitionBy(*groups, batch)
+    return numbered.withColumn("_rows", batch * step + F.count(F.lit(1)).over(in_batch))
+
+
 def pad_to(ids: Column, length: Column, value: int, side: str = "right") -> Column:
     """An array filled up to ``length``; longer arrays stay as they are."""
     missing = F.array_repeat(F.lit(value), F.greatest(length - F.size(ids), F.lit(0)))
@@ -122,14 +139,11 @@ def collate_pairs(
     """
     if padding_side not in ("right", "left"):
         raise ValueError("padding_side must be right or left.")
-    in_batch = Window.partitionBy(*batch)
-    out = df
-    lengths = {}
+    sizes = {side: F.size(f"input_ids_{side}") for side in SIDES}
+    longest, lengths = {}, {}
     for side in SIDES:
-        ids = F.col(f"input_ids_{side}")
         if padding is True or padding == "longest":
-            # The longest row first becomes a plain column: one window serves both sides.
-            out = out.withColumn(f"_length_{side}", F.max(F.size(ids)).over(in_batch))
+            longest[f"_length_{side}"] = F.max(sizes[side]).over(Window.partitionBy(*batch))
             lengths[side] = F.col(f"_length_{side}")
         elif padding == "max_length":
             if max_length is None:
@@ -137,6 +151,7 @@ def collate_pairs(
             lengths[side] = F.lit(max_length)
         elif padding is not False and padding != "do_not_pad":
             raise ValueError(f"Unknown padding: {padding!r}")
+    out = df.withColumns(longest) if longest else df
     for side, length in lengths.items():
         if pad_to_multiple_of:
             length = (F.ceil(length / pad_to_multiple_of) * pad_to_multiple_of).cast("int")
@@ -146,4 +161,4 @@ def collate_pairs(
                 f"attention_mask_{side}": pad_to(F.col(f"attention_mask_{side}"), length, 0, padding_side),
             }
         )
-    return out.drop(*[f"_length_{side}" for side in SIDES]).withColumn("return_loss", F.lit(True))
+    return out.drop(*longest).withColumn("return_loss", F.lit(True))

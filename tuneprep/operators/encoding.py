@@ -14,15 +14,14 @@ from pyspark.sql.window import Window
 from tuneprep.functions.messages import ChatTemplate
 from tuneprep.functions.text import word_tokens
 from tuneprep.operators.columns import TEXT_FIELD, pair_texts, prompt_texts
-from tuneprep.operators.ordering import first_n, with_running_total
+from tuneprep.operators.ordering import first_n, nth_key, up_to, with_running_total
 from tuneprep.storage import materialize
 
 IDS = T.ArrayType(T.IntegerType())
 UNKNOWN_ID = 0
-# A vocabulary up to this many words is sent to every executor; a larger one is joined.
+# At most this many words are sent to every executor; of a larger vocabulary the rest is joined.
 BROADCAST_WORDS = 500_000
-# Copies of a joined vocabulary, so that a frequent word spreads over as many tasks.
-JOIN_SALTS = 32
+BROADCAST_BYTES = 256 << 20
 
 
 def build_vocab(
@@ -47,8 +46,11 @@ def build_vocab(
     return numbered.select("token", (F.col("_row") + first_id).cast("int").alias("id"), "n")
 
 
-def _lookup(spark, table: pa.Table, unknown_id: int):
-    """A column function words -> ids over a broadcast word list, one Arrow batch at a time."""
+def _lookup(spark, table: pa.Table, unknown_id: int | None):
+    """A column function words -> ids over a broadcast word list, one Arrow batch at a time.
+
+    Words not in the list get ``unknown_id``, which may be None for NULL.
+    """
     words = spark.sparkContext.broadcast(
         (table["token"].combine_chunks().cast(pa.string()), table["id"].combine_chunks().cast(pa.int32()))
     )
@@ -58,7 +60,7 @@ def _lookup(spark, table: pa.Table, unknown_id: int):
         known, ids = words.value
         found = ids.take(pc.index_in(tokens.flatten(), value_set=known))
         starts = pc.subtract(tokens.offsets, tokens.offsets[0])
-        return pa.ListArray.from_arrays(starts, pc.fill_null(found, unknown_id))
+        return pa.ListArray.from_arrays(starts, found if unknown_id is None else pc.fill_null(found, unknown_id))
 
     return lookup
 
@@ -68,11 +70,12 @@ class Vocabulary:
 
     def __init__(self, vocab: DataFrame, unknown_id: int = UNKNOWN_ID, broadcast_words: int = BROADCAST_WORDS):
         self.unknown_id = unknown_id
-        self.table = vocab.select("token", "id")
-        head = self.table.limit(broadcast_words + 1).toArrow()
+        self.broadcast_words = broadcast_words
+        self.table = materialize(vocab.select("token", "id"), "vocabulary")
+        rows, size = self.table.agg(F.count(F.lit(1)), F.sum(F.octet_length("token"))).first()
         self.lookup = None
-        if head.num_rows <= broadcast_words:
-            self.lookup = _lookup(vocab.sparkSession, head, unknown_id)
+        if rows <= broadcast_words and (size or 0) <= BROADCAST_BYTES:
+            self.lookup = _lookup(vocab.sparkSession, self.table.toArrow(), unknown_id)
 
     def encode(
         self,
@@ -90,33 +93,47 @@ class Vocabulary:
         if self.lookup is not None:
             return df.withColumns({output: self.lookup(words) for output, words in tokens.items()})
         if not key:
-            raise ValueError("This vocabulary is joined rather than broadcast: name the row key.")
-        return self._encode_by_join(df, tokens, list(key))
+            raise ValueError("This vocabulary is too large to broadcast: name the row key.")
+        for output, words in tokens.items():
+            df = self._encode_large(df, output, words, list(key))
+        return df
+
+    def _encode_large(self, df: DataFrame, output: str, words: Column, key: list[str]) -> DataFrame:
+        """Broadcast the words that are frequent in these very texts and join the rest.
 
-    def _encode_by_join(self, df: DataFrame, tokens: dict[str, Column], key: list[str]) -> DataFrame:
-        """All columns in one join: a row per (row, column, position), salted by position."""
-        sides = F.array(
-            *[F.struct(F.lit(output).alias("side"), words.alias("words")) for output, words in tokens.items()]
+        Frequent words are known whether the vocabulary has them or not, so each word
+        left to the join is rare, and no join key is hot.
+        """
+        texts = df.withColumn("_words", words)
+        counts = texts.select(F.explode("_words").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("_n"))
+        used = materialize(
+            counts.join(self.table, "token", "left").select(
+                "token", F.coalesce("id", F.lit(self.unknown_id)).alias("id"), (-F.col("_n")).alias("_rank")
+            ),
+            "words",
+        )
+        last = nth_key(used, ["_rank", "token"], self.broadcast_words)
+        is_frequent = F.lit(True) if last is None else up_to(used, ["_rank", "token"], last)
+        lookup = _lookup(df.sparkSession, used.where(is_frequent).select("token", "id").toArrow(), None)
+        rare = used.where(~is_frequent).select("token", "id")
+
+        looked_up = materialize(texts.withColumn("_ids", lookup(F.col("_words"))), "looked-up")
+        left_over = looked_up.select(*key, F.posexplode(F.arrays_zip("_words", "_ids")).alias("_pos", "_pair")).where(
+            F.col("_pair._ids").isNull()
         )
-        words = (
-            df.select(*key, F.inline(sides))
-            .select(*key, "side", F.posexplode("words").alias("_pos", "token"))
-            .withColumn("_salt", F.pmod(F.xxhash64(*key, "_pos"), F.lit(JOIN_SALTS)).cast("int"))
+        found = (
+            left_over.select(*key, "_pos", F.col("_pair._words").alias("token"))
+            .join(rare, "token")
+            .groupBy(*key)
+            .agg(F.collect_list(F.struct("_pos", "id")).alias("_rare"))
         )
-        table = self.table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(JOIN_SALTS - 1))))
-        found = words.join(table, ["token", "_salt"], "left").select(
-            *key, "side", F.struct("_pos", F.coalesce("id", F.lit(self.unknown_id)).alias("id")).alias("_token")
+        known = F.filter(
+            F.transform("_ids", lambda value, pos: F.struct(pos.alias("_pos"), value.alias("id"))),
+            lambda item: item["id"].isNotNull(),
         )
-        in_order = {
-            output: F.transform(
-                F.array_sort(F.collect_list(F.when(F.col("side") == output, F.col("_token")))),
-                lambda token: token["id"],
-            )
-            for output in tokens
-        }
-        encoded = found.groupBy(*key).agg(*[ids.alias(output) for output, ids in in_order.items()])
-        joined = df.join(encoded, key, "left")
-        return joined.withColumns({output: F.coalesce(output, F.array().cast(IDS)) for output in tokens})
+        both = F.when(F.col("_rare").isNull(), known).otherwise(F.concat(known, "_rare"))
+        ids = F.transform(F.array_sort(both), lambda item: item["id"])
+        return looked_up.join(found, key, "left").withColumn(output, ids).drop("_words", "_ids", "_rare")
 
 
 def encode(

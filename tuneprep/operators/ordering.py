@@ -55,41 +55,24 @@ def with_running_total(
     """
     order, groups = _require_order(order_by), list(group_by)
     keys = [*groups, *order]
-    amount = F.lit(1) if value is None else value
-    checked = F.when(_any_null(keys), F.raise_error(F.lit("Order and group columns must not be NULL."))).otherwise(
-        amount.cast("bigint")
-    )
-    slots = materialize(
-        df.select(*keys, checked.alias("_amount"))
-        .repartitionByRange(*keys)
-        .withColumn("_part", F.spark_partition_id()),
-        "slots",
-    )
-
-    part_sums = slots.groupBy("_part", *groups).agg(F.sum("_amount").alias("_sum"))
+    slots, sums = _row_numbers(df, groups, order) if value is None else _running_sums(df, groups, order, value)
     whole = Window.partitionBy(*(groups or [F.lit(0)]))
     earlier_parts = whole.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = part_sums.select(
+    shifts = sums.select(
         "_part",
         *groups,
-        F.coalesce(F.sum("_sum").over(earlier_parts), F.lit(0)).alias("_shift"),
+        (F.coalesce(F.sum("_sum").over(earlier_parts), F.lit(0)) - F.col("_base")).alias("_shift"),
         F.sum("_sum").over(whole).alias("_total"),
     )
     if not groups:  # one row per partition number
         shifts = F.broadcast(shifts)
 
-    earlier_rows = (
-        Window.partitionBy("_part", *groups).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    )
-    local = slots.select(
-        *keys, "_part", F.coalesce(F.sum("_amount").over(earlier_rows), F.lit(0)).alias("_local")
-    )
     # Grouping by the join keys costs no shuffle of its own and finds repeated keys.
     positions = (
-        local.join(shifts, on=["_part", *groups])
+        slots.join(shifts, on=["_part", *groups])
         .groupBy(*keys)
         .agg(
-            F.min(F.col("_shift") + F.col("_local")).alias("_before"),
+            F.min(F.col("_shift") + F.col("_earlier")).alias("_before"),
             F.min("_total").alias("_total"),
             F.count(F.lit(1)).alias("_copies"),
         )
@@ -103,6 +86,50 @@ def with_running_total(
     return df.join(positions.select(*keys, *added), on=keys)
 
 
+def _checked(keys: Sequence[str], amount: Column) -> Column:
+    nulls = F.raise_error(F.lit("Order and group columns must not be NULL."))
+    return F.when(_any_null(keys), nulls).otherwise(amount.cast("bigint")).alias("_amount")
+
+
+def _row_numbers(df: DataFrame, groups: list[str], order: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Keys with ``_part`` and the number of earlier rows in that part; rows per part and group.
+
+    A sorted partition's generated ids hold both, so nothing is shuffled again.
+    They count on from one group to the next, hence each group's own ``_base``.
+    """
+    keys = [*groups, *order]
+    slots = materialize(
+        df.select(*keys, _checked(keys, F.lit(1)))
+        .repartitionByRange(*keys)
+        .sortWithinPartitions(*keys)
+        .withColumn("_slot", F.monotonically_increasing_id()),
+        "slots",
+    ).select(
+        *keys,
+        F.col("_amount"),
+        F.shiftright("_slot", 33).alias("_part"),
+        F.col("_slot").bitwiseAND(F.lit((1 << 33) - 1)).alias("_earlier"),
+    )
+    sums = slots.groupBy("_part", *groups).agg(F.sum("_amount").alias("_sum"), F.min("_earlier").alias("_base"))
+    return slots, sums
+
+
+def _running_sums(
+    df: DataFrame, groups: list[str], order: list[str], value: Column
+) -> tuple[DataFrame, DataFrame]:
+    """Keys with ``_part`` and the sum over earlier rows of that part and group; sums of those."""
+    keys = [*groups, *order]
+    slots = materialize(
+        df.select(*keys, _checked(keys, value))
+        .repartitionByRange(*keys)
+        .withColumn("_part", F.spark_partition_id()),
+        "slots",
+    )
+    sums = slots.groupBy("_part", *groups).agg(F.sum("_amount").alias("_sum"), F.lit(0).alias("_base"))
+    earlier = Window.partitionBy("_part", *groups).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return slots.withColumn("_earlier", F.coalesce(F.sum("_amount").over(earlier), F.lit(0))), sums
+
+
 def _typed(row: Row, df: DataFrame, names: Sequence[str]) -> list[Column]:
     return [F.lit(row[name]).cast(df.schema[name].dataType).alias(name) for name in names]
 
@@ -119,7 +146,21 @@ def up_to(df: DataFrame, order_by: Sequence[str], row: Row) -> Column:
     return first & (F.struct(*order_by) <= F.struct(*bound))
 
 
-def nth_key(df: DataFrame, order_by: Sequence[str], n: int, one_task_rows: int | None = None) -> Row | None:
+def count_rows(df: DataFrame, order_by: Sequence[str]) -> int:
+    """Number of rows; refuses NULL in the order columns."""
+    rows, nulls = df.agg(F.count(F.lit(1)), F.count_if(_any_null(order_by))).first()
+    if nulls:
+        raise ValueError("Order columns must not be NULL.")
+    return rows
+
+
+def nth_key(
+    df: DataFrame,
+    order_by: Sequence[str],
+    n: int,
+    rows: int | None = None,
+    one_task_rows: int | None = None,
+) -> Row | None:
     """Key of the ``n``-th row (from 1) in order; None if there are no more than ``n`` rows.
 
     Reads key columns only. When ``n`` is a small part of a large table, a sampled
@@ -129,9 +170,7 @@ def nth_key(df: DataFrame, order_by: Sequence[str], n: int, one_task_rows: int |
     order = _require_order(order_by)
     limit = ONE_TASK_ROWS if one_task_rows is None else one_task_rows
     keys = df.select(*order)
-    rows, nulls = keys.agg(F.count(F.lit(1)), F.count_if(_any_null(order))).first()
-    if nulls:
-        raise ValueError("Order columns must not be NULL.")
+    rows = count_rows(keys, order) if rows is None else rows
     if n >= rows:
         return None
 
@@ -164,5 +203,5 @@ def first_n(df: DataFrame, n: int | None, order_by: Sequence[str], one_task_rows
     if n is None or n <= 0:
         return df
     order = _require_order(order_by)
-    row = nth_key(df, order, n, one_task_rows)
+    row = nth_key(df, order, n, one_task_rows=one_task_rows)
     return df if row is None else df.where(up_to(df, order, row))

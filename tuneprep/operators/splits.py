@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tuneprep.operators.ordering import nth_key, up_to
+from tuneprep.operators.ordering import count_rows, nth_key, up_to
 
 SPLIT = "split"
 SPLIT_HASH = "split_hash"
@@ -29,16 +29,13 @@ def exact_split(df: DataFrame, size: int, seed: int, key: Sequence[str]) -> Data
     partitioning. Each part's order for later steps is ``split_hash`` then ``key``.
     """
     key = [key] if isinstance(key, str) else list(key)
-    hashed = df.withColumn(SPLIT_HASH, split_hash(seed, key))
-    keys = df.select(*key)
-    if keys.limit(2).count() < 2:
+    rows = count_rows(df.select(*key), key)
+    if rows < 2:
         raise ValueError("A train/test split needs at least 2 rows.")
-    wanted = max(1, size)
+    hashed = df.withColumn(SPLIT_HASH, split_hash(seed, key))
     order = [SPLIT_HASH, *key]
-    row = nth_key(hashed, order, wanted)
-    if row is None:  # the size covers every row: leave one for training
-        row = nth_key(hashed, order, keys.count() - 1)
-    is_test = up_to(hashed, order, row)
+    last = nth_key(hashed, order, max(1, min(size, rows - 1)), rows)
+    is_test = up_to(hashed, order, last)
     return hashed.withColumn(SPLIT, F.when(is_test, "test").otherwise("train"))
 
 

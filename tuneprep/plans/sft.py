@@ -53,10 +53,8 @@ def sft_prepare(
         vocab = build_vocab(texts.where(F.col(SPLIT) == "train"), vocab_size, text_field, UNKNOWN_ID + 1)
     ready = vocab if isinstance(vocab, Vocabulary) else Vocabulary(vocab)
     encoded = ready.encode(texts, {text_field: "input_ids"}, key=carried)
-    # Packing reads the lengths first and the ids later; encoding happens once.
-    ids = materialize(encoded.select(*carried, "input_ids"), "encoded")
-    blocks = pack_wrapped(ids, seq_length, [SPLIT_HASH, *key], group_by=[SPLIT], eos_id=eos_id)
-    blocks = materialize(blocks, "blocks")
+    blocks = pack_wrapped(encoded, seq_length, [SPLIT_HASH, *key], group_by=[SPLIT], eos_id=eos_id)
+    blocks = materialize(blocks, "blocks")  # counted, then read
     return assign_batches(
         blocks, batch_size, position="block_id", group_by=[SPLIT], accumulation=accumulation, drop_last=True
     ).select(SPLIT, "block_id", "batch_id", "input_ids")

@@ -19,6 +19,7 @@ from tuneprep.operators.preference import PreferenceModel, evaluate_preference,
 from tuneprep.operators.splits import train_test
 from tuneprep.queries.registry import query
 from tuneprep.sources import views
+from tuneprep.storage import materialize
 
 DIGITS = 6
 # Fixed weights for scoring 64 features; they only need to differ from one another.
@@ -173,6 +174,6 @@ def fitted_weights(spark, sf_dir):
 @query(name="evaluate_preference")
 def held_out_measures(spark, sf_dir):
     """Fit on one part of the pairs, measure on the other."""
-    pairs = views.vector_pairs(spark, sf_dir)
+    pairs = materialize(views.vector_pairs(spark, sf_dir), "pairs")
     train, test = train_test(pairs, 50, 3, ["pair_id"])
     return evaluate_preference(test, fit_preference(train, reg_param=0.01))

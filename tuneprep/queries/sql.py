@@ -19,6 +19,14 @@ qa AS (
 )"""
 )
 
+CHAT = """
+chat AS (
+  SELECT u.conv_id, u.turn, t.turn AS message_turn, t.role, t.text
+  FROM conversations u JOIN conversations t
+    ON u.conv_id = t.conv_id AND t.turn BETWEEN u.turn - 1 AND u.turn + 1
+  WHERE u.role = 'user'
+)"""
+
 WHITESPACE = " || ".join(f"chr({ord(c)})" for c in PYTHON_WHITESPACE)
 
 

@@ -11,14 +11,13 @@ from tuneprep.functions import (
     none_str,
     py_capitalize,
     py_strip,
-    render_chat,
     role_transcript,
     to_messages,
 )
-from tuneprep.operators.columns import format_text, pair_texts, prompt_texts, prune_chat_columns
+from tuneprep.operators.columns import chat_texts, format_text, pair_texts, prompt_texts, prune_chat_columns
 from tuneprep.queries import sql
 from tuneprep.queries.registry import query
-from tuneprep.sources import views
+from tuneprep.sources import spread_small_scan, views
 
 KEY = views.TURN_KEY
 TEMPLATE = ChatTemplate()
@@ -60,7 +59,8 @@ def sft_text_chosen_or_response(spark, sf_dir):
 
 
 @query(
-    "SELECT count(*) AS n_messages, 'search' AS tools, 'messages,tools' AS kept FROM conversations GROUP BY conv_id",
+    f"WITH {sql.CHAT} SELECT count(*) AS n_messages, 'search' AS tools, 'messages,tools' AS kept "
+    "FROM chat GROUP BY conv_id, turn",
     "prune_chat_columns",
 )
 def pruned_chat(spark, sf_dir):
@@ -116,35 +116,37 @@ def text_to_messages(spark, sf_dir):
 
 
 @query(
-    "SELECT conv_id, coalesce(max_by(text, turn) FILTER (WHERE role = 'assistant'), max_by(text, turn)) AS answer "
-    "FROM conversations GROUP BY conv_id",
+    f"WITH {sql.CHAT} SELECT conv_id, turn, "
+    "coalesce(max_by(text, message_turn) FILTER (WHERE role = 'assistant'), max_by(text, message_turn)) AS answer "
+    "FROM chat GROUP BY conv_id, turn",
     "last_assistant",
 )
 def last_replies(spark, sf_dir):
-    return views.chat(spark, sf_dir).select("conv_id", last_assistant(F.col("messages")).alias("answer"))
+    return views.chat(spark, sf_dir).select(*KEY, last_assistant(F.col("messages")).alias("answer"))
 
 
 @query(
-    "SELECT conv_id, "
+    f"WITH {sql.CHAT} SELECT conv_id, turn, "
     + sql.strip(
-        "string_agg(upper(substr(role, 1, 1)) || lower(substr(role, 2)) || ': ' || text, chr(10) ORDER BY turn)"
+        "string_agg(upper(substr(role, 1, 1)) || lower(substr(role, 2)) || ': ' || text, chr(10) ORDER BY message_turn)"
         " || chr(10) || 'Assistant:'"
     )
-    + " AS text FROM conversations GROUP BY conv_id",
+    + " AS text FROM chat GROUP BY conv_id, turn",
     "role_transcript",
 )
 def transcripts(spark, sf_dir):
     text = role_transcript(F.col("messages"), add_generation_prompt=True)
-    return views.chat(spark, sf_dir).select("conv_id", text.alias("text"))
+    return views.chat(spark, sf_dir).select(*KEY, text.alias("text"))
 
 
 @query(
-    f"SELECT conv_id, string_agg({sql.template_message('role', 'text')}, '' ORDER BY turn) AS text "
-    "FROM conversations GROUP BY conv_id",
+    f"WITH {sql.CHAT} SELECT conv_id, turn, "
+    f"string_agg({sql.template_message('role', 'text')}, '' ORDER BY message_turn) AS text "
+    "FROM chat GROUP BY conv_id, turn",
     "chat_template",
 )
 def templated_chats(spark, sf_dir):
-    return views.chat(spark, sf_dir).select("conv_id", render_chat(F.col("messages"), TEMPLATE).alias("text"))
+    return chat_texts(views.chat(spark, sf_dir), TEMPLATE, KEY)
 
 
 @query(f"SELECT conv_id, turn, {sql.qa_text('text', "''")} AS text FROM conversations WHERE role = 'user'")
@@ -166,7 +168,7 @@ def ppo_prompt_template(spark, sf_dir):
     "csv_list",
 )
 def csv_items(spark, sf_dir):
-    documents = views.table(spark, sf_dir, "documents")
+    documents = spread_small_scan(views.table(spark, sf_dir, "documents").select("doc_id", "text"))
     return documents.select("doc_id", F.array_join(csv_list(F.col("text")), "|").alias("items"))
 
 

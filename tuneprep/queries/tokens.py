@@ -16,7 +16,7 @@ from tuneprep.operators.encoding import (
 from tuneprep.operators.mapping import map_batches
 from tuneprep.queries import sql
 from tuneprep.queries.registry import query
-from tuneprep.sources import views
+from tuneprep.sources import spread_small_scan, views
 
 KEY = list(views.TURN_KEY)
 WORDS, EOS, FIRST_ID = 2000, 1, 2
@@ -28,8 +28,13 @@ DOC_VOCAB = f"{DOC_WORDS}, {sql.vocab('doc_words', WORDS, FIRST_ID)}"
 CHAT_VOCAB = f"{sql.words('chat_words', 'conversations', 'conv_id, turn')}, {sql.vocab('chat_words', WORDS, FIRST_ID)}"
 
 
+def documents_text(spark, sf_dir, *columns):
+    documents = views.table(spark, sf_dir, "documents").select("doc_id", *columns, "text")
+    return spread_small_scan(documents)
+
+
 def doc_vocab(spark, sf_dir):
-    return build_vocab(views.table(spark, sf_dir, "documents"), WORDS, first_id=FIRST_ID)
+    return build_vocab(documents_text(spark, sf_dir), WORDS, first_id=FIRST_ID)
 
 
 def chat_vocab(spark, sf_dir):
@@ -63,15 +68,15 @@ def _encoded(documents, vocab):
 
 @query(ENCODE_SQL, "encode")
 def encoded_documents(spark, sf_dir):
-    documents = views.table(spark, sf_dir, "documents").select("doc_id", "text")
+    documents = documents_text(spark, sf_dir)
     return _encoded(documents, doc_vocab(spark, sf_dir))
 
 
-@query(ENCODE_SQL, "encode_joined_vocab")
-def encoded_documents_by_join(spark, sf_dir):
+@query(ENCODE_SQL, "encode_large_vocab")
+def encoded_with_joined_rest(spark, sf_dir):
     """The way for vocabularies beyond the broadcast bound."""
-    documents = views.table(spark, sf_dir, "documents").select("doc_id", "text")
-    return _encoded(documents, Vocabulary(doc_vocab(spark, sf_dir), broadcast_words=0))
+    documents = documents_text(spark, sf_dir)
+    return _encoded(documents, Vocabulary(doc_vocab(spark, sf_dir), broadcast_words=100))
 
 
 @query(
@@ -80,7 +85,7 @@ def encoded_documents_by_join(spark, sf_dir):
     "attention_mask",
 )
 def document_masks(spark, sf_dir):
-    documents = views.table(spark, sf_dir, "documents").select("doc_id", "text")
+    documents = documents_text(spark, sf_dir)
     ids = encode(documents, doc_vocab(spark, sf_dir), max_length=MAX_LENGTH)
     mask = ids.select("doc_id", attention_mask(F.col("input_ids")).alias("mask"))
     return mask.select(
@@ -153,7 +158,7 @@ FROM placed GROUP BY {columns}place // {BLOCK}{'' if keep_tail else f' HAVING co
 
 
 def _packed(spark, sf_dir, groups, drop_tail):
-    documents = views.table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    documents = documents_text(spark, sf_dir, "lang")
     ids = encode(documents, doc_vocab(spark, sf_dir))
     blocks = pack_wrapped(ids, BLOCK, ["doc_id"], group_by=groups, eos_id=EOS, drop_tail=drop_tail)
     return blocks.select(
@@ -232,5 +237,5 @@ def _lengths(batch):
 
 @query("SELECT doc_id, length(text) AS length FROM documents", "map_batches")
 def mapped_documents(spark, sf_dir):
-    documents = views.table(spark, sf_dir, "documents").select("doc_id", "text")
+    documents = documents_text(spark, sf_dir)
     return map_batches(documents, _lengths, "doc_id bigint, length bigint", num_proc=4)

@@ -8,20 +8,22 @@ from tuneprep.operators.splits import exact_split
 from tuneprep.plans import ppo_prepare, rm_prepare, sft_prepare
 from tuneprep.queries import sql
 from tuneprep.queries.registry import query
+from tuneprep.queries.texts import TEMPLATE
 from tuneprep.queries.tokens import (
     CHAT_VOCAB,
     EOS,
     FIRST_ID,
     KEY,
     PAIR_IDS,
-    PROMPT_LENGTH,
     PAIR_LENGTH,
+    PROMPT_LENGTH,
     WORDS,
     chat_vocab,
     collate_sql,
     shown,
 )
-from tuneprep.sources import views
+from tuneprep.sources import spread_small_scan, views
+from tuneprep.storage import materialize
 
 VALID, SEED, SEQ_LENGTH, BATCH = 100, 11, 128, 4
 
@@ -48,7 +50,7 @@ FROM counted WHERE block_id // {BATCH} < n // {BATCH}"""
 @query(SFT_SQL, "sft_prepare")
 def prepared_for_tuning(spark, sf_dir):
     blocks = sft_prepare(
-        views.doc_response(spark, sf_dir),
+        spread_small_scan(views.doc_response(spark, sf_dir)),
         ["doc_id"],
         size_valid_set=VALID,
         seed=SEED,
@@ -73,7 +75,8 @@ measured AS (
 
 @query(RM_SQL, "rm_prepare")
 def prepared_for_rewards(spark, sf_dir):
-    marked = exact_split(views.pairs(spark, sf_dir), VALID, SEED, KEY)
+    pairs = materialize(views.pairs(spark, sf_dir), "pairs")  # joined once, read by every pass
+    marked = exact_split(pairs, VALID, SEED, KEY)
     train, evaluation = (marked.where(F.col("split") == part) for part in ("train", "test"))
     parts = rm_prepare(
         train, evaluation, KEY, chat_vocab(spark, sf_dir), EOS, max_length=PAIR_LENGTH, batch_size=BATCH
@@ -98,8 +101,6 @@ FROM prompt_words LEFT JOIN vocab USING (token) WHERE pos <= {PROMPT_LENGTH} GRO
     "ppo_prepare",
 )
 def prepared_for_policy(spark, sf_dir):
-    from tuneprep.queries.texts import TEMPLATE
-
     ids = ppo_prepare(
         views.prompts(spark, sf_dir),
         KEY,

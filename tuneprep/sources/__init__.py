@@ -1,3 +1,10 @@
-from tuneprep.sources.datasets import read_split, read_stream, read_train_eval, split_path, write_prepared
+from tuneprep.sources.datasets import (
+    read_split,
+    read_stream,
+    read_train_eval,
+    split_path,
+    spread_small_scan,
+    write_prepared,
+)
 
-__all__ = ["read_split", "read_stream", "read_train_eval", "split_path", "write_prepared"]
+__all__ = ["read_split", "read_stream", "read_train_eval", "split_path", "spread_small_scan", "write_prepared"]

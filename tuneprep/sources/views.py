@@ -1,7 +1,7 @@
 """Chat, prompt and preference tables derived from the given tables.
 
-Joins go by (conversation, turn), which is unique, so one conversation holding a
-large part of all rows does not end in one task.
+Joins go by (conversation, turn), which is unique: a conversation that holds a third
+of all rows spreads like any other rows.
 """
 
 from __future__ import annotations
@@ -17,21 +17,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per conversation: its messages in order and its first user text.
+    """One row per user turn: the turn before it, the turn itself and the turn after it.
 
-    A message list is one value of one row, as in any chat dataset.
+    ``messages`` holds what there is of the three, in order; ``prompt`` is the user
+    text. Lists are put together by joins on the turn number, not by gathering a
+    whole conversation.
     """
-    turn = F.struct("turn", "role", F.col("text").alias("content"))
+    turns = table(spark, sf_dir, "conversations")
+    message = F.struct("role", F.col("text").alias("content"))
+
+    def neighbour(distance: int, name: str) -> DataFrame:
+        return turns.select("conv_id", (F.col("turn") - distance).alias("turn"), message.alias(name))
+
+    users = turns.where(F.col("role") == "user").select(*TURN_KEY, message.alias("_user"), F.col("text").alias("prompt"))
     return (
-        table(spark, sf_dir, "conversations")
-        .groupBy("conv_id")
-        .agg(
-            F.transform(
-                F.array_sort(F.collect_list(turn)),
-                lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content")),
-            ).alias("messages"),
-            F.min_by("text", F.when(F.col("role") == "user", F.col("turn"))).alias("prompt"),
-        )
+        users.join(neighbour(-1, "_before"), list(TURN_KEY), "left")
+        .join(neighbour(1, "_after"), list(TURN_KEY), "left")
+        .select(*TURN_KEY, "prompt", F.array_compact(F.array("_before", "_user", "_after")).alias("messages"))
     )
 
 
