@@ -1,9 +1,10 @@
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from tuneprep import storage
 from tuneprep.operators.mapping import map_batches
-from tuneprep.sources import read_split, read_stream, read_train_eval, split_path, spread_small_scan, write_prepared
-from tuneprep.sources.datasets import LAYOUT
+from tuneprep.sources import layout_path, read_split, read_stream, read_train_eval, split_path, spread_small_scan, write_prepared
 from tuneprep.storage import materialize, scratch_path, shared_dir
 
 
@@ -22,7 +23,7 @@ def test_paths():
 @pytest.mark.parametrize("fmt", ["parquet", "json"])
 def test_written_splits_are_read_back(spark, out_dir, fmt):
     for split, rows in (("train_prefs", 5), ("test_prefs", 2)):
-        write_prepared(spark.range(rows), f"{out_dir}/{LAYOUT['reward_train']}", split, fmt)
+        write_prepared(spark.range(rows), layout_path(out_dir, "reward_train"), split, fmt)
     options = {"data_dir": "reward", "fmt": fmt}
     train, evaluation = read_train_eval(spark, out_dir, **options)
     assert ids(train) == list(range(5)) and ids(evaluation) == [0, 1]
@@ -50,7 +51,9 @@ def test_results_are_replaced(spark, out_dir):
 
 def test_arguments(spark, out_dir):
     with pytest.raises(ValueError):
-        read_split(spark, out_dir, "train", fmt="arrow")
+        read_split(spark, out_dir, "train", fmt="csv")
+    with pytest.raises(ValueError):
+        layout_path(out_dir, "other")
     with pytest.raises(ValueError):
         write_prepared(spark.range(1), "")
 
@@ -63,6 +66,44 @@ def test_scratch_tables(spark):
     assert ids(materialize(spark.range(4), "t")) == [0, 1, 2, 3]
 
 
+def test_dropping_scratch_tables(spark, out_dir, monkeypatch):
+    monkeypatch.setattr(storage, "shared_dir", lambda _: out_dir)
+    path = scratch_path(spark, "t")
+    spark.range(3).write.parquet(path)
+    spark.range(3).write.parquet(f"{out_dir}/kept")
+    storage.drop_scratch(spark)
+    assert spark.read.parquet(f"{out_dir}/kept").count() == 3
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(path)
+
+
+@pytest.mark.parametrize("layout", ["file", "stream"])
+def test_arrow_files(spark, tmp_path, layout):
+    table = pa.table(
+        {
+            "id": pa.array(range(1000), pa.int64()),
+            "prompt": pa.array([None if i % 7 == 0 else f"p{i}" for i in range(1000)]),
+            "messages": pa.array([[{"role": "user", "content": f"m{i}"}] for i in range(1000)]),
+        }
+    )
+    (tmp_path / "train").mkdir()
+    for part in range(2):
+        new = pa.ipc.new_file if layout == "file" else pa.ipc.new_stream
+        with new(str(tmp_path / "train" / f"part{part}.arrow"), table.schema) as writer:
+            writer.write_table(table.slice(part * 500, 500), max_chunksize=5)
+    (tmp_path / "train" / "_state.json").write_text("{}")
+    df = read_split(spark, str(tmp_path), "train", fmt="arrow")
+    assert df.columns == ["id", "prompt", "messages"]
+    # 100 batches a file, 64 a task where the layout has an index.
+    assert df.rdd.getNumPartitions() == (4 if layout == "file" else 2)
+    rows = {r.id: r for r in df.collect()}
+    assert len(rows) == 1000 and rows[7].prompt is None and rows[8].prompt == "p8"
+    assert rows[999].messages[0].content == "m999"
+    single = read_split(spark, f"file://{tmp_path}/train/part1.arrow", fmt="arrow")
+    assert ids(single) == list(range(500, 1000))
+    assert ids(single.select("id").where("id < 510")) == list(range(500, 510))
+
+
 def test_spread_and_map(spark, out_dir):
     spark.range(100).coalesce(1).write.parquet(out_dir)
     scan = spark.read.parquet(out_dir)

@@ -64,6 +64,6 @@ def word_tokens(text: Column, max_length: int | None = None) -> Column:
     """
     text = F.coalesce(text, F.lit(""))
     if max_length is None:
-        return F.filter(F.split(text, WORD_SEPARATOR), lambda word: word != "")
+        return F.array_remove(F.split(text, WORD_SEPARATOR), "")
     pieces = F.slice(F.split(text, WORD_SEPARATOR, max_length + 2), 1, max_length + 1)
-    return F.slice(F.filter(pieces, lambda word: word != ""), 1, max_length)
+    return F.slice(F.array_remove(pieces, ""), 1, max_length)

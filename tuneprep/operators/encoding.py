@@ -30,19 +30,19 @@ def build_vocab(
     """The ``size`` most frequent words as (token, id, n), ids by count, then by word.
 
     Counting combines before the shuffle, so a word that makes up a third of all
-    text costs one row per task.
+    text costs one row per task. The counts are written once: cutting them to the
+    most frequent and numbering those reads them several times.
     """
     counts = df.select(F.explode(word_tokens(F.col(text_col))).alias("token")).groupBy("token").agg(
         F.count(F.lit(1)).alias("n")
     )
-    ranked = counts.select((-F.col("n")).alias("_rank"), "token", "n")
+    order = ["_rank", "token"]
+    top = first_n(materialize(counts.select((-F.col("n")).alias("_rank"), "token", "n"), "counts"), size, order)
     if size <= one_task_words:
-        top = ranked.orderBy("_rank", "token").limit(size)
-        order = Window.partitionBy(F.lit(0)).orderBy("_rank", "token")
-        numbered = top.withColumn("_row", F.row_number().over(order) - 1)
+        in_order = Window.partitionBy(F.lit(0)).orderBy(*order)
+        numbered = top.withColumn("_row", F.row_number().over(in_order) - 1)
     else:
-        top = first_n(materialize(ranked, "counts"), size, ["_rank", "token"])
-        numbered = with_running_total(top, ["_rank", "token"], before="_row")
+        numbered = with_running_total(top, order, before="_row")
     return numbered.select("token", (F.col("_row") + first_id).cast("int").alias("id"), "n")
 
 

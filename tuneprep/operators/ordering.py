@@ -20,8 +20,9 @@ from tuneprep.storage import materialize
 
 # Up to this many key rows may be merged in one task when the n-th key is looked up.
 ONE_TASK_ROWS = 1_000_000
-# Rows a sample aims at below the n-th key; its only use is to skip far-away rows.
-BOUND_SAMPLE = 2_000
+# Rows a sample aims at below the n-th key. Small, as each task may send as many to one
+# task; its only use is to skip far-away rows, so it need not be sharp.
+BOUND_SAMPLE = 100
 
 
 def _any_null(names: Sequence[str]) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tuneprep.operators.columns import prompt_texts
+from tuneprep.operators.columns import format_text, prompt_texts
 from tuneprep.operators.encoding import Vocabulary
 from tuneprep.queries import sql
 from tuneprep.queries.registry import query
@@ -50,6 +50,25 @@ def stream_text(spark, sf_dir):
     return _both_sides(spark, out, texts.schema)
 
 
+@query(
+    f"""
+SELECT doc_id, {sql.qa_text("lang || '/' || source", 'text')} AS text,
+  CASE WHEN row_number() OVER (ORDER BY doc_id) <= {VALID_ROWS} THEN 'valid' ELSE 'train' END AS part
+FROM documents""",
+    "stream_sft_text",
+)
+def tuning_text_stream(spark, sf_dir):
+    """Prompt/response rows arrive; both sides are formatted as they are written."""
+    rows = views.doc_response(spark, sf_dir)
+    schema = views.table(spark, sf_dir, "documents").schema
+    stream = read_stream(spark, sf_dir, schema, split="documents.parquet*").select(
+        "doc_id", F.concat("lang", F.lit("/"), "source").alias("prompt"), F.col("text").alias("response")
+    )
+    out = scratch_path(spark, "stream-sft")
+    stream_split(stream, out, VALID_ROWS, ["doc_id"], lambda df: format_text(df, ["doc_id"])).awaitTermination()
+    return _both_sides(spark, out, format_text(rows, ["doc_id"]).schema)
+
+
 @query(f"SELECT least(count(*), {VALID_ROWS}) AS rows FROM conversations", "stream_take")
 def taken_from_stream(spark, sf_dir):
     """Which rows arrive first depends on the files; how many are taken does not."""

@@ -14,7 +14,14 @@ from tuneprep.functions import (
     role_transcript,
     to_messages,
 )
-from tuneprep.operators.columns import chat_texts, format_text, pair_texts, prompt_texts, prune_chat_columns
+from tuneprep.operators.columns import (
+    chat_texts,
+    format_text,
+    pair_texts,
+    prepare_text,
+    prompt_texts,
+    prune_chat_columns,
+)
 from tuneprep.queries import sql
 from tuneprep.queries.registry import query
 from tuneprep.sources import spread_small_scan, views
@@ -58,6 +65,22 @@ def sft_text_chosen_or_response(spark, sf_dir):
     return format_text(views.doc_response(spark, sf_dir).join(labels, "doc_id", "left"), ["doc_id"])
 
 
+@query(
+    "SELECT doc_id, 'train' AS part, " + sql.qa_text("lang || '/' || source", "text") + " AS text FROM documents "
+    "UNION ALL SELECT conv_id, 'eval', "
+    + sql.qa_text("question", "answer")
+    + f" FROM (WITH {sql.EXCHANGES} SELECT * FROM exchanges)",
+    "prepare_text",
+)
+def both_parts_as_text(spark, sf_dir):
+    """The training part lacks a text column, so both parts are formatted."""
+    exchanges = views.exchanges(spark, sf_dir).select(
+        F.col("conv_id").alias("doc_id"), F.col("question").alias("prompt"), F.col("answer").alias("response")
+    )
+    train, evaluation = prepare_text(views.doc_response(spark, sf_dir), exchanges, ["doc_id"])
+    return train.withColumn("part", F.lit("train")).union(evaluation.withColumn("part", F.lit("eval")))
+
+
 @query(
     f"WITH {sql.CHAT} SELECT count(*) AS n_messages, 'search' AS tools, 'messages,tools' AS kept "
     "FROM chat GROUP BY conv_id, turn",

@@ -231,11 +231,11 @@ def collated_pairs(spark, sf_dir):
     return padded.select(*KEY, "batch_id", *[shown(name) for name in names], "return_loss")
 
 
-def _lengths(batch):
-    return batch.assign(length=batch["text"].str.len())[["doc_id", "length"]]
-
-
 @query("SELECT doc_id, length(text) AS length FROM documents", "map_batches")
 def mapped_documents(spark, sf_dir):
     documents = documents_text(spark, sf_dir)
-    return map_batches(documents, _lengths, "doc_id bigint, length bigint", num_proc=4)
+
+    def lengths(batch):
+        return batch.assign(length=batch["text"].str.len())[["doc_id", "length"]]
+
+    return map_batches(documents, lengths, "doc_id bigint, length bigint", num_proc=4)

@@ -61,6 +61,46 @@ def prepared_for_tuning(spark, sf_dir):
     return blocks.select("split", "block_id", "batch_id", shown("input_ids"))
 
 
+CHAT_SQL = f"""
+WITH {sql.CHAT},
+texts AS (
+  SELECT conv_id, turn, string_agg({sql.template_message('role', 'text')}, '' ORDER BY message_turn) AS text
+  FROM chat GROUP BY conv_id, turn
+),
+{sql.split('marked', 'texts', ['conv_id', 'turn'], VALID, SEED)},
+{CHAT_VOCAB}, {sql.words('all_words', 'marked', 'conv_id, turn, split, split_hash')},
+ids AS (
+  SELECT split, split_hash, conv_id, turn, pos, coalesce(id, 0) AS id FROM all_words LEFT JOIN vocab USING (token)
+  UNION ALL SELECT split, split_hash, conv_id, turn, 1000000000, {EOS} FROM marked
+),
+placed AS (
+  SELECT split, id, row_number() OVER (PARTITION BY split ORDER BY split_hash, conv_id, turn, pos) - 1 AS place FROM ids
+),
+blocks AS (
+  SELECT split, place // {SEQ_LENGTH} AS block_id, string_agg(id, ' ' ORDER BY place) AS input_ids
+  FROM placed GROUP BY split, place // {SEQ_LENGTH}
+),
+counted AS (SELECT *, count(*) OVER (PARTITION BY split) AS n FROM blocks)
+SELECT split, block_id, block_id // {BATCH} AS batch_id, input_ids
+FROM counted WHERE block_id // {BATCH} < n // {BATCH}"""
+
+
+@query(CHAT_SQL, "sft_prepare_chat")
+def prepared_chats(spark, sf_dir):
+    blocks = sft_prepare(
+        materialize(views.chat(spark, sf_dir), "chat"),
+        KEY,
+        size_valid_set=VALID,
+        seed=SEED,
+        seq_length=SEQ_LENGTH,
+        batch_size=BATCH,
+        vocab=chat_vocab(spark, sf_dir),
+        eos_id=EOS,
+        template=TEMPLATE,
+    )
+    return blocks.select("split", "block_id", "batch_id", shown("input_ids"))
+
+
 RM_SQL = f"""
 WITH {PAIR_IDS}, {sql.split('marked', 'pair_ids', ['conv_id', 'turn'], VALID, SEED)},
 batched AS (

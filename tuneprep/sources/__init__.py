@@ -1,4 +1,6 @@
+from tuneprep.sources.arrow_files import read_arrow
 from tuneprep.sources.datasets import (
+    layout_path,
     read_split,
     read_stream,
     read_train_eval,
@@ -7,4 +9,13 @@ from tuneprep.sources.datasets import (
     write_prepared,
 )
 
-__all__ = ["read_split", "read_stream", "read_train_eval", "split_path", "spread_small_scan", "write_prepared"]
+__all__ = [
+    "layout_path",
+    "read_arrow",
+    "read_split",
+    "read_stream",
+    "read_train_eval",
+    "split_path",
+    "spread_small_scan",
+    "write_prepared",
+]

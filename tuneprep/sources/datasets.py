@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tuneprep.sources.arrow_files import read_arrow
+
 # The usual folders of a local dataset and the final result folder.
 LAYOUT = {"sft": "finetune", "reward_train": "reward", "reward_eval": "evaluation", "prompts": "rl"}
 FINAL = "final"
-FORMATS = ("parquet", "json")
+FORMATS = ("parquet", "json", "arrow")
 
 
 def split_path(base: str, split: str | None = None, data_dir: str = "") -> str:
@@ -19,9 +21,16 @@ def split_path(base: str, split: str | None = None, data_dir: str = "") -> str:
     return "/".join(part.rstrip("/") for part in (base, data_dir, split) if part)
 
 
-def _check_format(fmt: str) -> None:
-    if fmt not in FORMATS:
-        raise ValueError(f"Unknown format {fmt!r}: expected one of {', '.join(FORMATS)}.")
+def layout_path(root: str, stage: str) -> str:
+    """The folder of one stage's data below the root of a local dataset."""
+    if stage not in LAYOUT:
+        raise ValueError(f"Unknown stage {stage!r}: expected one of {', '.join(LAYOUT)}.")
+    return split_path(root, None, LAYOUT[stage])
+
+
+def _check_format(fmt: str, allowed: tuple[str, ...] = ("parquet", "json")) -> None:
+    if fmt not in allowed:
+        raise ValueError(f"Unknown format {fmt!r}: expected one of {', '.join(allowed)}.")
 
 
 def read_split(
@@ -37,16 +46,18 @@ def read_split(
 
     A split column's rows are chosen by a filter that reaches the scan: as partition
     pruning where the dataset is partitioned by it, else as a pushed-down predicate.
+    Arrow files are read whole.
     """
-    _check_format(fmt)
-    reader = spark.read.format(fmt)
-    if schema is not None:
-        reader = reader.schema(schema)
-    if split_column is None:
-        return reader.load(split_path(base, split, data_dir))
-    if split is None:
+    _check_format(fmt, FORMATS)
+    if split_column is not None and split is None:
         raise ValueError("Name the split to read from the split column.")
-    return reader.load(split_path(base, None, data_dir)).where(F.col(split_column) == split).drop(split_column)
+    path = split_path(base, split if split_column is None else None, data_dir)
+    if fmt == "arrow":
+        df = read_arrow(spark, path, schema)
+    else:
+        reader = spark.read.format(fmt)
+        df = (reader if schema is None else reader.schema(schema)).load(path)
+    return df if split_column is None else df.where(F.col(split_column) == split).drop(split_column)
 
 
 def spread_small_scan(df: DataFrame) -> DataFrame:

@@ -31,6 +31,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tuneprep/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete what this application wrote below the shared folder; call when all results are stored."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(
+        f"{shared_dir(spark)}/tuneprep/{spark.sparkContext.applicationId}"
+    )
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once and go on from the written table.
 
