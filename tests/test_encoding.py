@@ -4,6 +4,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from tuneprep.operators import encoding
 from tuneprep.operators.encoding import (
     Vocabulary,
     build_vocab,
@@ -55,6 +56,16 @@ def test_encode(spark, corpus, max_length, broadcast_words):
         assert row.input_ids == [ids.get(word, 0) for word in texts[row.k].split()[:max_length]]
 
 
+def test_broadcast_stays_within_its_bytes(spark, corpus, monkeypatch):
+    texts, df = corpus
+    monkeypatch.setattr(encoding, "BROADCAST_BYTES", 12)
+    ids = {word: i for i, word in enumerate(WORDS, start=1)}
+    vocab = Vocabulary(spark.createDataFrame(list(ids.items()), "token string, id int"))
+    assert vocab.lookup is None
+    for row in encode(df, vocab, key=["k"]).collect():
+        assert row.input_ids == [ids.get(word, 0) for word in texts[row.k].split()]
+
+
 def test_large_vocabulary_needs_a_key(spark, corpus):
     vocab = Vocabulary(build_vocab(corpus[1], 20), broadcast_words=3)
     with pytest.raises(ValueError, match="key"):

@@ -38,6 +38,9 @@ def test_query(spark, duck, name):
     result = entry_module.queries()[name](spark, SF_DIR)
     rows = _rows(result.columns, result.collect())
     assert rows
+    plan = result._jdf.queryExecution().executedPlan().toString()
+    for forbidden in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython"):
+        assert forbidden not in plan
     sql = entry_module.oracle_sql().get(name)
     if sql is None:
         return

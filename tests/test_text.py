@@ -98,7 +98,7 @@ def test_role_transcript(spark, messages, prompt):
     assert text == transcript_of(messages, prompt)
 
 
-@pytest.mark.parametrize("messages, expected", zip(LISTS, ["", "None", "None", "last \n", "u", "two", "None", "None", "None"]))
+@pytest.mark.parametrize("messages, expected", list(zip(LISTS, ["", "None", "None", "last \n", "u", "two", "None", "None", "None"])))
 def test_last_assistant(spark, messages, expected):
     assert apply(spark, messages, last_assistant(F.col("v")), MESSAGES) == expected
 

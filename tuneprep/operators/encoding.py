@@ -112,8 +112,7 @@ class Vocabulary:
             ),
             "words",
         )
-        last = nth_key(used, ["_rank", "token"], self.broadcast_words)
-        is_frequent = F.lit(True) if last is None else up_to(used, ["_rank", "token"], last)
+        is_frequent = self._frequent(used)
         lookup = _lookup(df.sparkSession, used.where(is_frequent).select("token", "id").toArrow(), None)
         rare = used.where(~is_frequent).select("token", "id")
 
@@ -135,6 +134,17 @@ class Vocabulary:
         ids = F.transform(F.array_sort(both), lambda item: item["id"])
         return looked_up.join(found, key, "left").withColumn(output, ids).drop("_words", "_ids", "_rare")
 
+    def _frequent(self, used: DataFrame) -> Column:
+        """Which words to broadcast: the most frequent, as many as are certain to fit."""
+        words = max(1, self.broadcast_words)
+        while True:
+            last = nth_key(used, ["_rank", "token"], words)
+            chosen = F.lit(True) if last is None else up_to(used, ["_rank", "token"], last)
+            size = used.where(chosen).agg(F.sum(F.octet_length("token"))).first()[0] or 0
+            if size <= BROADCAST_BYTES or words == 1:
+                return chosen
+            words //= 2
+
 
 def encode(
     df: DataFrame,

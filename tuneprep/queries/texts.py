@@ -41,12 +41,12 @@ PAIR_SQL = (
 
 @query(SFT_SQL)
 def sft_text_question(spark, sf_dir):
-    return format_text(views.qa(spark, sf_dir), KEY).withColumn("n_chars", F.length("text"))
+    return format_text(views.qa(spark, sf_dir), KEY).withColumn("n_chars", F.length("text").cast("bigint"))
 
 
 @query(SFT_SQL)
 def sft_text_chosen(spark, sf_dir):
-    return format_text(views.pairs(spark, sf_dir), KEY).withColumn("n_chars", F.length("text"))
+    return format_text(views.pairs(spark, sf_dir), KEY).withColumn("n_chars", F.length("text").cast("bigint"))
 
 
 @query(f"SELECT doc_id, {sql.qa_text("lang || '/' || source", 'text')} AS text FROM documents")
