@@ -30,6 +30,8 @@ def test_packing_edges(spark, lengths, eos, drop):
     rows = [[next(counter) for _ in range(n)] for n in lengths]
     df = spark.createDataFrame([("g", i, row) for i, row in enumerate(rows)], SCHEMA)
     blocks = packed(df, 4, ["k"], eos_id=eos, drop_tail=drop)
+    counts = pack_wrapped(df, 4, ["k"], eos_id=eos, drop_tail=drop, blocks="n").select("n").distinct().collect()
+    assert [r.n for r in counts] == ([len(blocks)] if blocks else [])
     assert [blocks[i] for i in sorted(blocks)] == cut(rows, 4, eos, drop)
     assert sorted(blocks) == list(range(len(blocks)))
 
@@ -58,6 +60,8 @@ def test_batches(spark, rows, drop, kept):
     df = spark.range(rows).select((F.col("id") * 10).alias("k"))
     out = assign_batches(df, 2, ["k"], accumulation=2, drop_last=drop)
     assert {(r.k, r.batch_id) for r in out.collect()} == {(10 * i, i // 4) for i in range(kept)}
+    told = assign_batches(spark.range(rows).withColumn("n", F.lit(rows)), 4, position="id", rows="n", drop_last=drop)
+    assert {(r.id, r.batch_id) for r in told.collect()} == {(i, i // 4) for i in range(kept)}
     given = assign_batches(spark.range(rows), 4, position="id", drop_last=drop)
     assert {(r.id, r.batch_id) for r in given.collect()} == {(i, i // 4) for i in range(kept)}
 

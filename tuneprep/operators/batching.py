@@ -25,11 +25,13 @@ def pack_wrapped(
     group_by: Sequence[str] = (),
     eos_id: int | None = None,
     drop_tail: bool = False,
+    blocks: str | None = None,
 ) -> DataFrame:
     """Concatenate id arrays in order and cut blocks of ``seq_length``: (groups, block_id, ids).
 
     Row ends do not matter, except that ``eos_id`` is appended to every row if given.
-    The last block of a group may be short; ``drop_tail`` drops it.
+    The last block of a group may be short; ``drop_tail`` drops it. ``blocks`` names a
+    further column for the number of the group's blocks.
 
     The input is evaluated once, into a table. Only key and length of a row are
     ordered. The ids then move to the block they belong to, as slices: a row costs as
@@ -41,7 +43,7 @@ def pack_wrapped(
     ids = F.col(ids_col) if eos_id is None else F.concat(F.col(ids_col), F.array(F.lit(eos_id)))
     rows = df.select(*groups, *order, ids.alias("_ids")).withColumn("_length", F.size("_ids"))
     rows = materialize(rows, "packing").where(F.col("_length") > 0)
-    placed = with_running_total(rows, order, F.col("_length"), groups, before="_start")
+    placed = with_running_total(rows, order, F.col("_length"), groups, before="_start", total="_total")
 
     length = F.lit(seq_length).cast("bigint")
     end = F.col("_start") + F.col("_length")
@@ -52,6 +54,7 @@ def pack_wrapped(
         *groups,
         "_start",
         "_length",
+        "_total",
         "_ids",
         F.explode(
             F.sequence(F.expr(f"_start div {seq_length}"), F.expr(f"(_start + _length - 1) div {seq_length}"))
@@ -59,15 +62,17 @@ def pack_wrapped(
     ).select(
         *groups,
         "block_id",
+        "_total",
         (F.col("_start") + skipped - block_start).cast("int").alias("_at"),
         F.slice("_ids", (skipped + 1).cast("int"), taken.cast("int")).alias("_piece"),
     )
-    blocks = pieces.groupBy(*groups, "block_id").agg(
-        F.flatten(
-            F.transform(F.array_sort(F.collect_list(F.struct("_at", "_piece"))), lambda piece: piece["_piece"])
-        ).alias("input_ids")
+    in_order = F.array_sort(F.collect_list(F.struct("_at", "_piece")))
+    last_block = F.expr(f"(_total - {seq_length if drop_tail else 1}) div {seq_length}")
+    counted = [] if blocks is None else [F.max(last_block + 1).alias(blocks)]
+    packed = pieces.groupBy(*groups, "block_id").agg(
+        F.flatten(F.transform(in_order, lambda piece: piece["_piece"])).alias("input_ids"), *counted
     )
-    return blocks.where(F.size("input_ids") == seq_length) if drop_tail else blocks
+    return packed.where(F.size("input_ids") == seq_length) if drop_tail else packed
 
 
 def assign_batches(
@@ -75,6 +80,7 @@ def assign_batches(
     batch_size: int,
     order_by: Sequence[str] = (),
     position: str | None = None,
+    rows: str | None = None,
     group_by: Sequence[str] = (),
     accumulation: int = 1,
     drop_last: bool = False,
@@ -83,7 +89,8 @@ def assign_batches(
 
     Rows are numbered by ``order_by``, or already carry a gapless ``position`` from 0
     (such as the block number of :func:`pack_wrapped`). ``drop_last`` drops a last
-    batch that is not full.
+    batch that is not full; with a given position, ``rows`` may name a column with the
+    number of the group's rows, which are counted otherwise.
     """
     step = batch_size * max(1, accumulation)
     groups = list(group_by)
@@ -93,7 +100,9 @@ def assign_batches(
         numbered = with_running_total(df, order_by, None, groups, before="_position", total="_rows")
     else:
         numbered = df.withColumn("_position", F.col(position))
-        if drop_last:
+        if rows is not None:
+            numbered = numbered.withColumn("_rows", F.col(rows))
+        elif drop_last:
             numbered = _with_group_rows(numbered, groups, step)
     batched = numbered.withColumn("batch_id", F.expr(f"_position div {step}"))
     if drop_last:

@@ -13,7 +13,6 @@ from tuneprep.operators.columns import TEXT_FIELD, chat_texts, format_text, need
 from tuneprep.operators.encoding import UNKNOWN_ID, Vocabulary, build_vocab
 from tuneprep.operators.ordering import first_n
 from tuneprep.operators.splits import SPLIT, SPLIT_HASH, exact_split
-from tuneprep.storage import materialize
 
 
 def sft_prepare(
@@ -53,8 +52,7 @@ def sft_prepare(
         vocab = build_vocab(texts.where(F.col(SPLIT) == "train"), vocab_size, text_field, UNKNOWN_ID + 1)
     ready = vocab if isinstance(vocab, Vocabulary) else Vocabulary(vocab)
     encoded = ready.encode(texts, {text_field: "input_ids"}, key=carried)
-    blocks = pack_wrapped(encoded, seq_length, [SPLIT_HASH, *key], group_by=[SPLIT], eos_id=eos_id)
-    blocks = materialize(blocks, "blocks")  # counted, then read
+    blocks = pack_wrapped(encoded, seq_length, [SPLIT_HASH, *key], group_by=[SPLIT], eos_id=eos_id, blocks="blocks")
     return assign_batches(
-        blocks, batch_size, position="block_id", group_by=[SPLIT], accumulation=accumulation, drop_last=True
+        blocks, batch_size, position="block_id", rows="blocks", accumulation=accumulation, drop_last=True
     ).select(SPLIT, "block_id", "batch_id", "input_ids")
