@@ -9,6 +9,7 @@ import __spark_entry__ as entry_module
 from tuneprep.functions import ChatTemplate
 from tuneprep.operators.encoding import Vocabulary, build_vocab
 from tuneprep.plans import ppo_prepare, rm_prepare, sft_prepare
+from tuneprep.sources import views
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -82,3 +83,17 @@ def test_only_needed_columns_are_read(spark, name, columns):
 def test_roles_are_filtered_in_the_scan(spark):
     plan = entry_module.queries()["ppo_prompt_text"](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(role,user)" in plan
+
+
+@pytest.mark.parametrize("view", [views.chat, views.exchanges, views.qa])
+def test_hot_conversations_are_spread(spark, view):
+    """Conversations are joined turn by turn and gathered nowhere."""
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    spark.conf.set(name, "-1")
+    try:
+        plan = view(spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset(name)
+    shuffles = re.findall(r"hashpartitioning\((.*?), \d+\)", plan)
+    assert shuffles and all("conv_id" in keys and "turn" in keys for keys in shuffles)
+    assert "collect_list" not in plan

@@ -35,6 +35,17 @@ def test_strip_and_capitalize_equal_python(spark):
         assert row.c == row.v.capitalize()
 
 
+def test_every_letter_and_space(spark):
+    """All characters up to U+1C7F at the start, the end and inside of a text."""
+    characters = [chr(i) for i in range(1, 0x1C80)] + [chr(i) for i in range(0x1E00, 0x3100)]
+    unknown_to_python = {"\u019b", "\u0264"}  # their capitals are newer than Python's tables
+    texts = [(c + "aB" + c + "C" + c,) for c in characters if c not in unknown_to_python]
+    df = spark.createDataFrame(texts, "v string")
+    for row in df.select("v", py_strip(F.col("v")).alias("s"), py_capitalize(F.col("v")).alias("c")).collect():
+        assert row.s == row.v.strip()
+        assert row.c == row.v.capitalize()
+
+
 @pytest.mark.parametrize(
     "value, dtype, expected",
     [

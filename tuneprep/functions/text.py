@@ -36,8 +36,8 @@ def py_strip(value: Column) -> Column:
 
 
 def py_capitalize(value: Column) -> Column:
-    """``str.capitalize()``: first character upper, all others lower."""
-    return F.concat(F.upper(F.substring(value, 1, 1)), F.lower(F.substr(value, F.lit(2))))
+    """``str.capitalize()``: first character in title case (upper, digraphs aside), all others lower."""
+    return F.concat(F.initcap(F.substring(value, 1, 1)), F.lower(F.substr(value, F.lit(2))))
 
 
 def qa_text(question: Column, answer: Column) -> Column:
