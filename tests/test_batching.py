@@ -15,25 +15,27 @@ def cut(rows, length, eos, drop):
     return [block for block in blocks if len(block) == length or not drop]
 
 
-def packed(df, *args, **options):
-    return {(r.block_id): r.input_ids for r in pack_wrapped(df, *args, **options).collect()}
+LENGTHS = [[4, 4], [3], [1, 14, 2], [0, 5, 0], [12], [2, 2, 2, 2], [0], [40, 1]]
 
 
-@pytest.mark.parametrize(
-    "lengths",
-    [[4, 4], [3], [1, 14, 2], [0, 5, 0], [12], [2, 2, 2, 2], [0], [40, 1]],
-    ids=str,
-)
+@pytest.mark.parametrize("grouped", [True, False])
 @pytest.mark.parametrize("eos, drop", [(None, False), (None, True), (99, False)])
-def test_packing_edges(spark, lengths, eos, drop):
+def test_packing_edges(spark, grouped, eos, drop):
+    """Every case as a group of its own, then all of them as one stream."""
     counter = iter(range(1000))
-    rows = [[next(counter) for _ in range(n)] for n in lengths]
-    df = spark.createDataFrame([("g", i, row) for i, row in enumerate(rows)], SCHEMA)
-    blocks = packed(df, 4, ["k"], eos_id=eos, drop_tail=drop)
-    counts = pack_wrapped(df, 4, ["k"], eos_id=eos, drop_tail=drop, blocks="n").select("n").distinct().collect()
-    assert [r.n for r in counts] == ([len(blocks)] if blocks else [])
-    assert [blocks[i] for i in sorted(blocks)] == cut(rows, 4, eos, drop)
-    assert sorted(blocks) == list(range(len(blocks)))
+    cases = {str(i): [[next(counter) for _ in range(n)] for n in lengths] for i, lengths in enumerate(LENGTHS)}
+    data = [(case, 100 * int(case) + k, row) for case, rows in cases.items() for k, row in enumerate(rows)]
+    if not grouped:
+        cases = {"all": [row for rows in cases.values() for row in rows]}
+    out = pack_wrapped(
+        spark.createDataFrame(data, SCHEMA), 4, ["k"], group_by=["g"] * grouped, eos_id=eos, drop_tail=drop, blocks="n"
+    ).collect()
+    for case, rows in cases.items():
+        part = [r for r in out if not grouped or r.g == case]
+        expected = cut(rows, 4, eos, drop)
+        blocks = {r.block_id: r.input_ids for r in part}
+        assert [blocks[i] for i in range(len(blocks))] == expected
+        assert {r.n for r in part} == ({len(expected)} if expected else set())
 
 
 @pytest.mark.parametrize("length", [1, 7, 64])

@@ -41,6 +41,18 @@ def test_build_vocab(spark, corpus, size, one_task_words):
     assert {r.token: (r.id, r.n) for r in vocab.collect()} == expected_vocab(texts, size, 7)
 
 
+def test_nothing_to_encode(spark):
+    empty = spark.createDataFrame([(1, ""), (2, None)], "k int, text string")
+    vocab = build_vocab(empty, 5)
+    assert vocab.count() == 0
+    for broadcast_words in (10, 0):
+        words = spark.createDataFrame([("a", 1)], "token string, id int")
+        ready = Vocabulary(words if broadcast_words == 0 else vocab, 0, broadcast_words)
+        assert [r.input_ids for r in encode(empty, ready, key=["k"]).collect()] == [[], []]
+    with pytest.raises(ValueError):
+        build_vocab(empty, 0)
+
+
 @pytest.mark.parametrize("max_length", [None, 8])
 @pytest.mark.parametrize("broadcast_words", [1000, 30, 5, 1])
 def test_encode(spark, corpus, max_length, broadcast_words):

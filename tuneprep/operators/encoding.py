@@ -33,6 +33,8 @@ def build_vocab(
     text costs one row per task. The counts are written once: cutting them to the
     most frequent and numbering those reads them several times.
     """
+    if size < 1:
+        raise ValueError("A vocabulary needs at least one word.")
     counts = df.select(F.explode(word_tokens(F.col(text_col))).alias("token")).groupBy("token").agg(
         F.count(F.lit(1)).alias("n")
     )
