@@ -14,8 +14,9 @@ QA = (
     EXCHANGES
     + """,
 qa AS (
-  SELECT e.conv_id, e.turn, e.question, e.answer AS response_j, coalesce(b.answer, e.question) AS response_k
-  FROM exchanges e LEFT JOIN exchanges b ON b.conv_id = e.conv_id AND b.turn + 2 = e.turn
+  SELECT e.conv_id, e.turn, e.question, e.answer AS response_j, coalesce(b.text, e.question) AS response_k
+  FROM exchanges e LEFT JOIN conversations b
+    ON b.conv_id = e.conv_id AND b.turn + 1 = e.turn AND b.role = 'assistant'
 )"""
 )
 

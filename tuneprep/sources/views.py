@@ -37,26 +37,26 @@ def chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _replies(turns: DataFrame, to_turn: int, name: str) -> DataFrame:
+    """Assistant texts keyed by the turn that lies ``to_turn`` after their own."""
+    replies = turns.where(F.col("role") == "assistant")
+    return replies.select("conv_id", (F.col("turn") + to_turn).alias("turn"), F.col("text").alias(name))
+
+
 def exchanges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every user turn answered in the next turn: (conv_id, turn, question, answer)."""
     turns = table(spark, sf_dir, "conversations")
     asked = turns.where(F.col("role") == "user").select(*TURN_KEY, F.col("text").alias("question"))
-    answered = turns.where(F.col("role") == "assistant").select(
-        "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer")
-    )
-    return asked.join(answered, list(TURN_KEY))
+    return asked.join(_replies(turns, -1, "answer"), list(TURN_KEY))
 
 
 def qa(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(question, response_j, response_k): the worse reply repeats the exchange before.
+    """(question, response_j, response_k): the worse reply repeats the one just before the question.
 
     Where there is none, the worse reply only echoes the question.
     """
-    current = exchanges(spark, sf_dir)
-    before = exchanges(spark, sf_dir).select(
-        "conv_id", (F.col("turn") + 2).alias("turn"), F.col("answer").alias("earlier")
-    )
-    return current.join(before, list(TURN_KEY), "left").select(
+    before = _replies(table(spark, sf_dir, "conversations"), 1, "earlier")
+    return exchanges(spark, sf_dir).join(before, list(TURN_KEY), "left").select(
         *TURN_KEY,
         "question",
         F.col("answer").alias("response_j"),
