@@ -173,14 +173,15 @@ def encode_with(
 ) -> DataFrame:
     """Add id arrays from a caller's own tokenizer, called with one Arrow batch of texts.
 
-    ``tokenize`` must be picklable and gets whole texts; ids are cut to ``max_length``.
+    ``tokenize`` must be picklable and gets whole texts, an empty one in place of NULL;
+    ids are cut to ``max_length``.
     """
 
     @F.arrow_udf(IDS)
     def run(texts: pa.Array) -> pa.Array:
         return pa.array([ids[:max_length] for ids in tokenize(texts.to_pylist())], type=pa.list_(pa.int32()))
 
-    return df.withColumn(output, run(F.coalesce(F.col(text_col), F.lit("None"))))
+    return df.withColumn(output, run(F.coalesce(F.col(text_col), F.lit(""))))
 
 
 def attention_mask(ids: Column) -> Column:
