@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
+import functools
+import os
+import shutil
+import tempfile
 from collections.abc import Callable
+from pathlib import Path
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tuneprep.llm.common import held_out
+from tuneprep.llm.language import identify, learn_languages
+from tuneprep.llm.quality import learn_quality, score_quality
 from tuneprep.llm.token_ids import tokenized
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -14,9 +23,23 @@ SQL: dict[str, str] = {}
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def ship(spark: SparkSession) -> None:
+    """Send the package to the Python workers unless they find it themselves (as with ``--py-files``)."""
+    root = Path(__file__).resolve().parents[2]
+    found = [Path(p or ".").resolve() for p in [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]]
+    if root not in found and not any(p.endswith("/tuneprep.zip") for p in spark.sparkContext.listFiles):
+        packed = shutil.make_archive(f"{tempfile.mkdtemp()}/tuneprep", "zip", root, "tuneprep")
+        spark.sparkContext.addPyFile(packed)
+
+
 def query(function):
-    QUERIES[function.__name__] = function
-    return function
+    @functools.wraps(function)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return function(spark, sf_dir)
+
+    QUERIES[function.__name__] = run
+    return run
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,3 +49,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 @query
 def op5_token_ids(spark, sf_dir):
     return tokenized(table(spark, sf_dir, "documents"), TOKENIZER)
+
+
+@query
+def op7_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang", "text")
+    model = learn_languages(docs.where(~F.col("held_out")))
+    return identify(docs.drop("lang"), model).drop("text")
+
+
+@query
+def op8_quality(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
+    weights = learn_quality(docs, table(spark, sf_dir, "labels"))
+    return score_quality(docs, weights).drop("text")
