@@ -27,8 +27,8 @@ from tuneprep.llm.words import find_words, hash_words, slices, text_bytes, windo
 BITS = 20
 SAMPLE_ROWS = 24_000
 LEARNER_ROWS = 6_000
-EPOCHS = 4
-ALPHA, BETA, L1, L2 = 0.3, 1.0, 0.02, 0.1
+EPOCHS, UPDATES = 4, 10_000
+ALPHA, BETA, L1, L2 = 5.0, 1.0, 0.1, 0.0
 THRESHOLD = 0.3
 
 
@@ -58,8 +58,12 @@ def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def ftrl(examples: list[tuple[int, np.ndarray]], epochs: int = EPOCHS) -> np.ndarray:
-    """Weights after FTRL-proximal passes over (label, places) in order; the last one is the intercept."""
+def ftrl(examples: list[tuple[float, np.ndarray]]) -> np.ndarray:
+    """Weights after FTRL-proximal passes over (label, places) in order; the last one is the intercept.
+
+    ``EPOCHS`` passes, and more over few examples, so that at least ``UPDATES`` updates are made.
+    """
+    epochs = max(EPOCHS, -(-UPDATES // max(len(examples), 1)))
     size = (1 << BITS) + 1
     z, n = np.zeros(size), np.zeros(size)
     prepared = []

@@ -14,9 +14,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tuneprep.llm.common import held_out
+from tuneprep.llm.decontaminate import contaminated
 from tuneprep.llm.language import identify, learn_languages
+from tuneprep.llm.mixing import document_rates
 from tuneprep.llm.quality import learn_quality, score_quality
 from tuneprep.llm.token_ids import tokenized
+from tuneprep.llm.warc import archived
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -63,3 +66,29 @@ def op8_quality(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
     weights = learn_quality(docs, table(spark, sf_dir, "labels"))
     return score_quality(docs, weights).drop("text")
+
+
+@query
+def op1_decontamination(spark, sf_dir):
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+# Target weights over the domains that the labels define; toxic documents may be thinned.
+MIXTURE = {"good": 0.85, "plain": 0.13, "toxic": 0.02}
+THIN = ("toxic",)
+
+
+def domain_labels(spark, sf_dir):
+    named = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 1, "good").when(F.col("quality") == 0, "plain")
+    return table(spark, sf_dir, "labels").select("doc_id", named.alias("domain"))
+
+
+@query
+def op4_mixing(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return document_rates(docs, domain_labels(spark, sf_dir), MIXTURE, THIN)[0]
+
+
+@query
+def op6_warc(spark, sf_dir):
+    return archived(table(spark, sf_dir, "pages"))

@@ -17,6 +17,10 @@ SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+# For matching prose: words are runs of ASCII letters, digits and non-ASCII bytes.
+PUNCTUATION = np.ones(256, bool)
+PUNCTUATION[128:] = False
+PUNCTUATION[[*range(48, 58), *range(65, 91), *range(97, 123)]] = False
 SLICE_BYTES = 4 << 20
 BASE = np.uint64(0x9E3779B97F4A7C15)
 STEP = 0xD6E8FEB86659FD93
@@ -46,11 +50,13 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[bounds[0] : bounds[-1]], bounds - bounds[0]
 
 
-def find_words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def find_words(
+    data: np.ndarray, bounds: np.ndarray, gap: np.ndarray = SPACE
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end of every word, and the index of each row's first word (one entry more than rows)."""
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(bounds), np.int64)
-    word = ~SPACE[data]
+    word = ~gap[data]
     begins, ends = word.copy(), word.copy()
     begins[1:] &= ~word[:-1]
     ends[:-1] &= ~word[1:]
