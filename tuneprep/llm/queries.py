@@ -13,6 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tuneprep.llm.chat_tree import build_tree, read_tree
 from tuneprep.llm.common import held_out
 from tuneprep.llm.decontaminate import contaminated
 from tuneprep.llm.language import identify, learn_languages
@@ -92,3 +93,13 @@ def op4_mixing(spark, sf_dir):
 @query
 def op6_warc(spark, sf_dir):
     return archived(table(spark, sf_dir, "pages"))
+
+
+PROBE = "</s>[INST] ok [/INST]"
+
+
+@query
+def op10_chat_tree(spark, sf_dir):
+    given = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
+    probe = spark.createDataFrame([(-7, 0, "user", PROBE), (-7, 1, "assistant", PROBE)], "conv_id long, turn long, role string, text string")
+    return read_tree(*build_tree(given.unionByName(probe), TOKENIZER))
