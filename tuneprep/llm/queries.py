@@ -18,6 +18,7 @@ from tuneprep.llm.common import held_out
 from tuneprep.llm.decontaminate import contaminated
 from tuneprep.llm.language import identify, learn_languages
 from tuneprep.llm.mixing import document_rates
+from tuneprep.llm.neighbours import search
 from tuneprep.llm.quality import learn_quality, score_quality
 from tuneprep.llm.token_ids import tokenized
 from tuneprep.llm.warc import archived
@@ -103,3 +104,8 @@ def op10_chat_tree(spark, sf_dir):
     given = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
     probe = spark.createDataFrame([(-7, 0, "user", PROBE), (-7, 1, "assistant", PROBE)], "conv_id long, turn long, role string, text string")
     return read_tree(*build_tree(given.unionByName(probe), TOKENIZER))
+
+
+@query
+def op2_learned_partitions(spark, sf_dir):
+    return search(table(spark, sf_dir, "embeddings"))
