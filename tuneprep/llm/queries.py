@@ -18,6 +18,7 @@ from tuneprep.llm.common import held_out
 from tuneprep.llm.decontaminate import contaminated
 from tuneprep.llm.language import identify, learn_languages
 from tuneprep.llm.mixing import document_rates
+from tuneprep.llm.near_dedup import near_duplicates
 from tuneprep.llm.neighbours import search
 from tuneprep.llm.quality import learn_quality, score_quality
 from tuneprep.llm.token_ids import tokenized
@@ -109,3 +110,8 @@ def op10_chat_tree(spark, sf_dir):
 @query
 def op2_learned_partitions(spark, sf_dir):
     return search(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op3_near_duplicates(spark, sf_dir):
+    return near_duplicates(table(spark, sf_dir, "documents"))
