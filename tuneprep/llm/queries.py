@@ -21,6 +21,7 @@ from tuneprep.llm.mixing import document_rates
 from tuneprep.llm.near_dedup import near_duplicates
 from tuneprep.llm.neighbours import search
 from tuneprep.llm.quality import learn_quality, score_quality
+from tuneprep.llm.repeats import remove_repeats
 from tuneprep.llm.token_ids import tokenized
 from tuneprep.llm.warc import archived
 
@@ -115,3 +116,8 @@ def op2_learned_partitions(spark, sf_dir):
 @query
 def op3_near_duplicates(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_repeats(spark, sf_dir):
+    return remove_repeats(table(spark, sf_dir, "documents"))

@@ -124,11 +124,12 @@ class Encoder:
             return self.whole(texts)
         split = [text.split(" ") for text in texts]
         self._learn(self.heads, {words[0] for words in split}, "")
-        self._learn(self.pieces, set().union(*(words[1:] for words in split)), " ")
+        self._learn(self.pieces, set().union(*split), " ")
         piece, out = self.pieces.__getitem__, []
         for text, words in zip(texts, split, strict=True):
             try:
-                out.append(self.heads[words[0]] + b"".join(map(piece, words[1:])))
+                rest = iter(words)
+                out.append(self.heads[next(rest)] + b"".join(map(piece, rest)))
             except TypeError:
                 out.append(self.whole([text])[0] if text else b"")
         return out
@@ -267,7 +268,7 @@ def read_token_ids(manifest: DataFrame) -> DataFrame:
     based = manifest.withColumn("base", F.coalesce(F.sum("ids").over(before), F.lit(0)))  # one row per file
     return (
         based.select("path", "base")
-        .repartition("path")
+        .repartition(max(1, manifest.count()), "path")  # a row is short, but its task reads the file
         .mapInArrow(_read_shards, "doc_id long, start long, n_tokens long, ids_crc32 long")
     )
 

@@ -197,7 +197,8 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_pages(manifest: DataFrame) -> DataFrame:
     """The records of the files that the manifest names."""
-    return manifest.select("path").repartition("path").mapInArrow(_read, RECORDS)
+    files = max(1, manifest.count())  # a row is short, but its task reads the file
+    return manifest.select("path").repartition(files, "path").mapInArrow(_read, RECORDS)
 
 
 def archived(pages: DataFrame, least: int = LEAST) -> DataFrame:
