@@ -23,6 +23,14 @@ def _append(batches: Iterator[pa.RecordBatch], text: str, compute: Callable, nam
             yield pa.RecordBatch.from_arrays([*cut.columns, *compute(cut)], [*cut.schema.names, *names])
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def append_columns(df: DataFrame, text: str, fields: list[T.StructField], compute: Callable) -> DataFrame:
     """All columns of ``df`` and new ones that ``compute`` makes from each slice of rows, a few MB of text at a time."""
     taken = {f.name for f in fields} & set(df.columns)

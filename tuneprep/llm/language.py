@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tuneprep.llm.common import append_columns
+from tuneprep.llm.common import append_columns, free_name
 from tuneprep.llm.words import LOWER, slices, text_bytes
 
 SIZE = 1 << 16
@@ -34,7 +34,7 @@ ITERATIONS = 6
 LARGEST_SET = 3
 PENALTY = 8.0
 UNKNOWN = "und"
-FIELDS = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
+LEAST_SHARE = 0.5
 
 # Byte classes: letters as they are, anything else below 128 is a gap.
 LETTER = np.where((np.arange(256) >= 128) | ((LOWER >= 97) & (LOWER <= 122)), LOWER, 32).astype(np.uint8)
@@ -168,7 +168,17 @@ def _predict(batch: pa.RecordBatch, text: str, names: list[str], model: np.ndarr
     return [pa.array(lang, pa.string()), pa.array(score, pa.float64())]
 
 
-def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
-    """All columns and ``lang_pred``, ``score`` (that language's share of the text)."""
+def identify(
+    docs: DataFrame, model: LanguageModel, text: str = "text", names: tuple[str, str] = ("lang_pred", "score")
+) -> DataFrame:
+    """All columns and, under ``names``, the language and its share of the text."""
     shared = docs.sparkSession.sparkContext.broadcast((model.names, model.table))
-    return append_columns(docs, text, FIELDS, lambda batch: _predict(batch, text, *shared.value))
+    fields = [T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())]
+    return append_columns(docs, text, fields, lambda batch: _predict(batch, text, *shared.value))
+
+
+def keep_identified(docs: DataFrame, model: LanguageModel, least_share: float = LEAST_SHARE) -> DataFrame:
+    """The rows whose text has a language with at least ``least_share`` of it, with their own columns."""
+    lang, share = free_name(docs, "lang_pred"), free_name(docs, "lang_share")
+    found = identify(docs, model, names=(lang, share))
+    return found.where((F.col(lang) != UNKNOWN) & (F.col(share) >= least_share)).select(docs.columns)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tuneprep.llm.common import append_columns
+from tuneprep.llm.common import append_columns, free_name
 from tuneprep.llm.quality import BITS, LEARNER_ROWS, _examples, ftrl, ngrams
 from tuneprep.llm.words import find_words, text_bytes
 from tuneprep.storage import materialize
@@ -85,6 +85,8 @@ def _posteriors(column: pa.Array, weights: np.ndarray) -> tuple[np.ndarray, np.n
     place, first = ngrams(column)
     n = np.diff(first)
     filled = np.flatnonzero(n)
+    if not len(weights):  # nothing was learned
+        return words, np.zeros((len(n), 0))
     margin = np.repeat(weights[:, -1:].astype(np.float64), len(n), axis=1)
     for k, row in enumerate(weights):
         if len(filled):
@@ -212,8 +214,15 @@ def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float], thin: tup
     Chance is a hash of doc_id and ``seed``, so a run can be repeated. Texts are rated where they lie.
     """
     _, mixture, model = document_rates(docs, labels, weights, thin)
-    rated = add_rates(add_domains(docs, model), mixture)
+    shared = docs.sparkSession.sparkContext.broadcast((model.weights, mixture.history))
+
+    def rated(batch: pa.RecordBatch) -> list[pa.Array]:
+        model_weights, history = shared.value
+        return [pa.array(rates(_posteriors(batch.column("text"), model_weights)[1], history)[0])]
+
+    rate = free_name(docs, "rate")
+    copy = free_name(docs, "copy")
     chance = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    copies = F.floor(F.col("rate") + chance).cast("int")
-    repeated = rated.where(copies > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1), copies)))
-    return repeated.select(docs.columns)
+    copies = F.floor(F.col(rate) + chance).cast("int")
+    mixed = append_columns(docs, "text", [T.StructField(rate, T.DoubleType())], rated).where(copies > 0)
+    return mixed.withColumn(copy, F.explode(F.sequence(F.lit(1), copies))).select(docs.columns)

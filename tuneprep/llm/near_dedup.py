@@ -38,7 +38,7 @@ from tuneprep.llm.components import components
 from tuneprep.llm.words import BASE, find_words, hash_words, mix, powers, slices, text_bytes, windows
 from tuneprep.storage import materialize
 
-SHINGLE_WORDS = 4
+SHINGLE_WORDS = 5
 SIMILARITY = (80, 100)
 SKETCH, KEYS = 64, 16
 LIST, HOT_KEYS = 256, 5

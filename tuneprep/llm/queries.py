@@ -115,7 +115,7 @@ def op2_learned_partitions(spark, sf_dir):
 
 @query
 def op3_near_duplicates(spark, sf_dir):
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents"), width=4)
 
 
 @query
