@@ -44,7 +44,8 @@ def clean_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding")
 
     @F.arrow_udf("binary")
     def to_bytes(vectors: pa.Array) -> pa.Array:
-        rows = np.ascontiguousarray(vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(vectors), -1) + 0.0)
+        flat = vectors.flatten().to_numpy(zero_copy_only=False) + 0.0
+        rows = np.ascontiguousarray(flat.reshape(len(vectors), -1 if len(vectors) else 1))
         return pa.array([row.tobytes() for row in rows], pa.binary())
 
     return usable.where(F.size("v") == width).select("vec_id", to_bytes("v").alias("vec"))
@@ -184,16 +185,19 @@ def learn_router(sample: np.ndarray, rows: int, k: int) -> Router:
     return router
 
 
+def _matrix(vecs: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(vecs), np.float64).reshape(len(vecs), -1 if len(vecs) else 1)
+
+
 def _rows(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(len(column), -1)
+    return _matrix(column.to_pylist())
 
 
 def _nearest(queries: pd.DataFrame, rows: pd.DataFrame, keep: int) -> pd.DataFrame:
     """The ``keep`` nearest of one block's rows for one block of queries."""
     out: list[tuple] = []
     if len(queries) and len(rows):
-        r = np.frombuffer(b"".join(rows["vec"]), np.float64).reshape(len(rows), -1)
-        q = np.frombuffer(b"".join(queries["vec"]), np.float64).reshape(len(queries), -1)
+        r, q = _matrix(rows["vec"].tolist()), _matrix(queries["vec"].tolist())
         r_max, q_max = np.abs(r).max(axis=1, keepdims=True), np.abs(q).max(axis=1, keepdims=True)
         r, q = r / r_max, q / q_max  # cosines don't change, and squares stay finite
         near = (q @ r.T) / np.linalg.norm(q, axis=1)[:, None] / np.linalg.norm(r, axis=1)
@@ -216,7 +220,7 @@ def search(
     n = index.count()
     order = F.pmod(F.xxhash64("vec", F.lit(2)), F.lit(1_000_000))
     chosen = index.where(order < 1_000_000 * min(1.0, SAMPLE / max(n, 1))).select("vec").toPandas()["vec"]
-    sample = np.frombuffer(b"".join(sorted(chosen)), np.float64).reshape(len(chosen), -1)
+    sample = _matrix(sorted(chosen))
     sample = sample[np.random.default_rng(2).permutation(len(sample))]
     router = spark.sparkContext.broadcast(learn_router(sample, n, k))
 
