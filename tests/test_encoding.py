@@ -34,10 +34,9 @@ def expected_vocab(texts, size, first_id):
 
 
 @pytest.mark.parametrize("size", [5, 30, 1000])
-@pytest.mark.parametrize("one_task_words", [100, 3])
-def test_build_vocab(spark, corpus, size, one_task_words):
+def test_build_vocab(spark, corpus, size):
     texts, df = corpus
-    vocab = build_vocab(df, size, first_id=7, one_task_words=one_task_words)
+    vocab = build_vocab(df, size, first_id=7)
     assert {r.token: (r.id, r.n) for r in vocab.collect()} == expected_vocab(texts, size, 7)
 
 
@@ -48,7 +47,7 @@ def test_nothing_to_encode(spark):
     for broadcast_words in (10, 0):
         words = spark.createDataFrame([("a", 1)], "token string, id int")
         ready = Vocabulary(words if broadcast_words == 0 else vocab, 0, broadcast_words)
-        assert [r.input_ids for r in encode(empty, ready, key=["k"]).collect()] == [[], []]
+        assert [r.input_ids for r in encode(empty, ready).collect()] == [[], []]
     with pytest.raises(ValueError):
         build_vocab(empty, 0)
 
@@ -60,7 +59,7 @@ def test_encode(spark, corpus, max_length, broadcast_words):
     ids = {word: i for i, word in enumerate(WORDS, start=1)}
     vocab = Vocabulary(spark.createDataFrame(list(ids.items()), "token string, id int"), 0, broadcast_words)
     assert (vocab.lookup is None) == (broadcast_words < len(WORDS))
-    out = encode(df, vocab, max_length=max_length, key=["k"])
+    out = encode(df, vocab, max_length=max_length)
     assert out.columns == ["k", "text", "input_ids"]
     rows = out.collect()
     assert len(rows) == len(texts)
@@ -74,14 +73,19 @@ def test_broadcast_stays_within_its_bytes(spark, corpus, monkeypatch):
     ids = {word: i for i, word in enumerate(WORDS, start=1)}
     vocab = Vocabulary(spark.createDataFrame(list(ids.items()), "token string, id int"))
     assert vocab.lookup is None
-    for row in encode(df, vocab, key=["k"]).collect():
+    for row in encode(df, vocab).collect():
         assert row.input_ids == [ids.get(word, 0) for word in texts[row.k].split()]
 
 
-def test_large_vocabulary_needs_a_key(spark, corpus):
-    vocab = Vocabulary(build_vocab(corpus[1], 20), broadcast_words=3)
-    with pytest.raises(ValueError, match="key"):
-        encode(corpus[1], vocab)
+@pytest.mark.parametrize("broadcast_words", [1000, 1])
+def test_rows_need_no_key(spark, broadcast_words):
+    """Repeated rows and NULL columns give the same ids on both sides of the bound."""
+    vocab = spark.createDataFrame([(w, i) for i, w in enumerate("abcd", 1)], "token string, id int")
+    rows = [(1, "a b c d"), (1, "a b c d"), (1, "d d a"), (None, "d c b a a"), (None, "a x"), (None, None)]
+    out = encode(spark.createDataFrame(rows, "k int, text string").repartition(3), Vocabulary(vocab, 0, broadcast_words))
+    got = sorted((r.text or "", r.input_ids) for r in out.collect())
+    ids = {w: i for i, w in enumerate("abcd", 1)}
+    assert got == sorted((t or "", [ids.get(w, 0) for w in (t or "").split()]) for _, t in rows)
 
 
 @pytest.mark.parametrize("broadcast_words", [1000, 2])
@@ -94,8 +98,7 @@ def test_encode_pairs(spark, broadcast_words):
     rows = {r.k: r for r in out.collect()}
     assert rows[1].input_ids_j == rows[1].input_ids_k == [1, 3, 4, 2] and rows[1].attention_mask_j == [1, 1, 1, 1]
     assert (rows[2].input_ids_j, rows[2].input_ids_k) == ([1, 2, 3], [1, 2, 0])
-    if broadcast_words > 2:
-        assert encode_pairs(df, ready).columns == out.columns[1:]
+    assert encode_pairs(df, ready).columns == out.columns[1:]
 
 
 def test_encode_prompts(spark):

@@ -123,3 +123,24 @@ def test_scores(spark, vectors):
     weights = (0.5, -1.0, 2.0, 0.0)
     rows = score_pairs(df, PreferenceModel(weights)).select((F.col("rewards_j") - F.col("rewards_k")).alias("d")).collect()
     assert np.allclose(sorted(r.d for r in rows), sorted(margins @ np.array(weights)))
+
+
+def test_null_scores_make_the_loss_nan(spark):
+    from tuneprep.operators.metrics import pairwise_accuracy, pairwise_logloss
+
+    scores = spark.createDataFrame([(1.0, 0.0), (None, 0.0), (0.0, 1.0)], "rewards_j double, rewards_k double")
+    assert abs(pairwise_accuracy(scores).first()[0] - 1 / 3) < 1e-12
+    assert pairwise_logloss(scores).first()[0] != pairwise_logloss(scores).first()[0]
+
+
+def test_matrix_cells_must_be_there_once(spark):
+    import pytest
+
+    from tuneprep.operators.metrics import scores_from_matrix
+
+    cells = [(0, 0, 1.0), (1, 0, 2.0), (0, 1, 3.0)]
+    for wrong in (cells, [*cells, (1, 1, 4.0), (1, 1, 4.0)]):
+        with pytest.raises(Exception, match="exactly once"):
+            scores_from_matrix(spark.createDataFrame(wrong, "r int, c int, v double"), "r", "c", "v").collect()
+    whole = spark.createDataFrame([*cells, (1, 1, None)], "r int, c int, v double")
+    assert sorted(tuple(r) for r in scores_from_matrix(whole, "r", "c", "v").collect()) == [(1.0, 2.0), (3.0, None)]

@@ -74,18 +74,31 @@ def test_first_n(spark, n):
     assert sorted((r.a, r.b) for r in first_n(df, n, ["a", "b"]).collect()) == expected
 
 
-@pytest.mark.parametrize("n", [5, 40, 300])
-def test_nth_key_of_large_tables(spark, many_parts, n):
-    """A bound of 20 rows per task: sampled bound, then numbered candidates."""
+@pytest.mark.parametrize("n", [1, 5, 40, 300, 499])
+def test_nth_key_over_several_ranges(spark, many_parts, n):
     data, df = keyed(spark)
-    row = nth_key(df, ["a", "b"], n, one_task_rows=20)
+    row = nth_key(df, ["a", "b"], n)
     assert (row.a, row.b) == sorted(row[1:3] for row in data)[n - 1]
 
 
+def test_nth_key_evaluates_its_input_twice(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    counted = spark.range(1000).mapInArrow(count, "id long")
+    assert nth_key(counted, ["id"], 400).id == 399
+    assert seen.value <= 2000
+
+
 def test_first_n_refuses_unusable_keys(spark):
     repeated = spark.createDataFrame([(1,), (2,), (2,), (3,)], "k int")
-    with pytest.raises(ValueError, match="identify"):
-        first_n(repeated, 2, ["k"])
+    for n in (1, 2, 3):  # wherever the cut lies
+        with pytest.raises(ValueError, match="identify"):
+            first_n(repeated, n, ["k"])
     with pytest.raises(ValueError, match="NULL"):
         first_n(spark.createDataFrame([(1,), (None,)], "k int"), 1, ["k"])
 

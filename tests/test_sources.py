@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from tuneprep import storage
 from tuneprep.operators.mapping import map_batches
-from tuneprep.sources import layout_path, read_split, read_stream, read_train_eval, split_path, spread_small_scan, write_prepared
+from tuneprep.sources import layout_path, read_split, read_stream, read_train_eval, split_path, write_prepared
 from tuneprep.storage import materialize, scratch_path, shared_dir
 
 
@@ -104,12 +104,11 @@ def test_arrow_files(spark, tmp_path, layout):
     assert ids(single.select("id").where("id < 510")) == list(range(500, 510))
 
 
-def test_spread_and_map(spark, out_dir):
+def test_map_batches_keeps_partitions(spark, out_dir):
     spark.range(100).coalesce(1).write.parquet(out_dir)
     scan = spark.read.parquet(out_dir)
-    assert spread_small_scan(scan).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
     wide = spark.range(0, 100, 1, 50)
-    assert spread_small_scan(wide).rdd.getNumPartitions() == 50
+    assert map_batches(wide, lambda b: b, "id long", 4).rdd.getNumPartitions() == 50
 
     def double(batch):
         return batch.assign(id=batch["id"] * 2)

@@ -33,3 +33,13 @@ def test_members(spark):
 def test_too_small(spark, rows):
     with pytest.raises(ValueError, match="at least 2"):
         exact_split(numbers(spark, rows), 1, 0, ["id"])
+
+
+def test_existing_columns_are_kept(spark):
+    with pytest.raises(ValueError, match="Rename"):
+        exact_split(numbers(spark, 9).withColumn("split", F.lit("mine")), 2, 0, ["id"])
+
+
+def test_repeated_keys_are_refused(spark):
+    with pytest.raises(ValueError, match="identify"):
+        exact_split(numbers(spark, 9).union(numbers(spark, 1)), 2, 0, ["id"])

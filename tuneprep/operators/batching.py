@@ -13,8 +13,6 @@ from tuneprep.storage import materialize
 
 # Fixed value: the sides of a preference pair as column suffixes.
 SIDES = ("j", "k")
-# Up to this many groups, a table with one row per group may be broadcast.
-BROADCAST_GROUPS = 100_000
 
 
 def pack_wrapped(
@@ -113,14 +111,8 @@ def assign_batches(
 def _with_group_rows(numbered: DataFrame, groups: list[str], step: int) -> DataFrame:
     """Add ``_rows``, the group's size, as far as the last full batch depends on it.
 
-    A few groups are counted and broadcast. Of many groups each batch is counted by
-    itself: a group may be large, a batch never is.
+    Each batch is counted by itself: a group may be large, a batch never is.
     """
-    totals = numbered.groupBy(*groups).agg(F.count(F.lit(1)).alias("_rows"))
-    if not groups:
-        return numbered.withColumn("_rows", F.lit(totals.first()["_rows"]))
-    if totals.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS:
-        return numbered.join(F.broadcast(totals), groups)
     batch = F.expr(f"_position div {step}")
     in_batch = Window.partitionBy(*groups, batch)
     return numbered.withColumn("_rows", batch * step + F.count(F.lit(1)).over(in_batch))

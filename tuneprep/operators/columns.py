@@ -79,10 +79,11 @@ def ppo_prompt(df: DataFrame) -> Column:
     raise KeyError(PROMPT_SCHEMA_ERROR)
 
 
-def prune_chat_columns(df: DataFrame) -> DataFrame:
-    """Keep only what chat training reads, if ``messages`` comes with a bare ``prompt``."""
+def prune_chat_columns(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """Keep only what chat training reads and ``keep``, if ``messages`` comes with a bare ``prompt``."""
     if _has(df, "messages", "prompt") and not _has(df, "completion"):
-        return df.select("messages", *[name for name in CHAT_EXTRAS if name in df.columns])
+        read = ["messages", *[name for name in CHAT_EXTRAS if name in df.columns]]
+        return df.select(*dict.fromkeys([*keep, *read]))
     return df
 
 
@@ -104,7 +105,7 @@ def prepare_text(
     """Format both parts to text, or prune both, as the training columns demand."""
     if needs_text_formatting(train, text_field):
         return tuple(format_text(part, keep, text_field) for part in (train, evaluation))
-    return prune_chat_columns(train), prune_chat_columns(evaluation)
+    return prune_chat_columns(train, keep), prune_chat_columns(evaluation, keep)
 
 
 def chat_texts(

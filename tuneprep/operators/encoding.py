@@ -9,7 +9,6 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from tuneprep.functions.messages import ChatTemplate
 from tuneprep.functions.text import word_tokens
@@ -25,7 +24,7 @@ BROADCAST_BYTES = 256 << 20
 
 
 def build_vocab(
-    df: DataFrame, size: int, text_col: str = TEXT_FIELD, first_id: int = 1, one_task_words: int = 100_000
+    df: DataFrame, size: int, text_col: str = TEXT_FIELD, first_id: int = 1
 ) -> DataFrame:
     """The ``size`` most frequent words as (token, id, n), ids by count, then by word.
 
@@ -40,11 +39,7 @@ def build_vocab(
     )
     order = ["_rank", "token"]
     top = first_n(materialize(counts.select((-F.col("n")).alias("_rank"), "token", "n"), "counts"), size, order)
-    if size <= one_task_words:
-        in_order = Window.partitionBy(F.lit(0)).orderBy(*order)
-        numbered = top.withColumn("_row", F.row_number().over(in_order) - 1)
-    else:
-        numbered = with_running_total(top, order, before="_row")
+    numbered = with_running_total(top, order, before="_row")
     return numbered.select("token", (F.col("_row") + first_id).cast("int").alias("id"), "n")
 
 
@@ -79,35 +74,30 @@ class Vocabulary:
         if rows <= broadcast_words and (size or 0) <= BROADCAST_BYTES:
             self.lookup = _lookup(vocab.sparkSession, self.table.toArrow(), unknown_id)
 
-    def encode(
-        self,
-        df: DataFrame,
-        columns: dict[str, str],
-        max_length: int | None = None,
-        key: Sequence[str] = (),
-    ) -> DataFrame:
+    def encode(self, df: DataFrame, columns: dict[str, str], max_length: int | None = None) -> DataFrame:
         """Add one id array per text column: ``columns`` maps text column to output column.
 
-        The first ``max_length`` words count. ``key`` must identify rows; it is
-        needed only when the vocabulary is too large to broadcast.
+        The first ``max_length`` words count, if given. Rows need no key.
         """
         tokens = {output: word_tokens(F.col(text), max_length) for text, output in columns.items()}
         if self.lookup is not None:
             return df.withColumns({output: self.lookup(words) for output, words in tokens.items()})
-        if not key:
-            raise ValueError("This vocabulary is too large to broadcast: name the row key.")
-        for output, words in tokens.items():
-            df = self._encode_large(df, output, words, list(key))
-        return df
+        return self._encode_large(df, tokens)
 
-    def _encode_large(self, df: DataFrame, output: str, words: Column, key: list[str]) -> DataFrame:
+    def _encode_large(self, df: DataFrame, tokens: dict[str, Column]) -> DataFrame:
         """Broadcast the words that are frequent in these very texts and join the rest.
 
         Frequent words are known whether the vocabulary has them or not, so each word
-        left to the join is rare, and no join key is hot.
+        left to the join is rare, and no join key is hot. The rows are written once, with
+        a number of their own, and all text columns are looked up together.
         """
-        texts = df.withColumn("_words", words)
-        counts = texts.select(F.explode("_words").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("_n"))
+        names = list(tokens)
+        words = {f"_words{i}": tokens[name] for i, name in enumerate(names)}
+        rows = materialize(
+            df.withColumns(words).withColumn("_row", F.monotonically_increasing_id()), "texts"
+        )
+        every = F.explode(F.flatten(F.array(*words))).alias("token")
+        counts = rows.select(every).groupBy("token").agg(F.count(F.lit(1)).alias("_n"))
         used = materialize(
             counts.join(self.table, "token", "left").select(
                 "token", F.coalesce("id", F.lit(self.unknown_id)).alias("id"), (-F.col("_n")).alias("_rank")
@@ -118,23 +108,36 @@ class Vocabulary:
         lookup = _lookup(df.sparkSession, used.where(is_frequent).select("token", "id").toArrow(), None)
         rare = used.where(~is_frequent).select("token", "id")
 
-        looked_up = materialize(texts.withColumn("_ids", lookup(F.col("_words"))), "looked-up")
-        left_over = looked_up.select(*key, F.posexplode(F.arrays_zip("_words", "_ids")).alias("_pos", "_pair")).where(
-            F.col("_pair._ids").isNull()
+        looked_up = materialize(
+            rows.withColumns({f"_ids{i}": lookup(F.col(f"_words{i}")) for i in range(len(names))}), "looked-up"
+        )
+        sides = F.array(
+            *[
+                F.struct(F.lit(i).alias("side"), F.arrays_zip(F.col(f"_words{i}").alias("word"), F.col(f"_ids{i}").alias("id")).alias("pairs"))
+                for i in range(len(names))
+            ]
         )
+        left_over = (
+            looked_up.select("_row", F.inline(sides).alias("_side", "_pairs"))
+            .select("_row", "_side", F.posexplode("_pairs").alias("_pos", "_pair"))
+            .where(F.col("_pair.id").isNull())
+        )
+        item = F.struct("_pos", "id")
         found = (
-            left_over.select(*key, "_pos", F.col("_pair._words").alias("token"))
+            left_over.select("_row", "_side", "_pos", F.col("_pair.word").alias("token"))
             .join(rare, "token")
-            .groupBy(*key)
-            .agg(F.collect_list(F.struct("_pos", "id")).alias("_rare"))
-        )
-        known = F.filter(
-            F.transform("_ids", lambda value, pos: F.struct(pos.alias("_pos"), value.alias("id"))),
-            lambda item: item["id"].isNotNull(),
+            .groupBy("_row")
+            .agg(*[F.collect_list(F.when(F.col("_side") == i, item)).alias(f"_rare{i}") for i in range(len(names))])
         )
-        both = F.when(F.col("_rare").isNull(), known).otherwise(F.concat(known, "_rare"))
-        ids = F.transform(F.array_sort(both), lambda item: item["id"])
-        return looked_up.join(found, key, "left").withColumn(output, ids).drop("_words", "_ids", "_rare")
+
+        def whole(i: int) -> Column:
+            numbered = F.transform(f"_ids{i}", lambda value, pos: F.struct(pos.alias("_pos"), value.alias("id")))
+            known = F.filter(numbered, lambda x: x["id"].isNotNull())
+            both = F.when(F.col(f"_rare{i}").isNull(), known).otherwise(F.concat(known, f"_rare{i}"))
+            return F.transform(F.array_sort(both), lambda x: x["id"])
+
+        joined = looked_up.join(found, "_row", "left").withColumns({name: whole(i) for i, name in enumerate(names)})
+        return joined.select(*dict.fromkeys([*df.columns, *names]))
 
     def _frequent(self, used: DataFrame) -> Column:
         """Which words to broadcast: the most frequent, as many as are certain to fit."""
@@ -154,10 +157,9 @@ def encode(
     text_col: str = TEXT_FIELD,
     output: str = "input_ids",
     max_length: int | None = None,
-    key: Sequence[str] = (),
 ) -> DataFrame:
     """Add the id array of one text column."""
-    return _ready(vocab).encode(df, {text_col: output}, max_length, key)
+    return _ready(vocab).encode(df, {text_col: output}, max_length)
 
 
 def _ready(vocab: DataFrame | Vocabulary) -> Vocabulary:
@@ -197,13 +199,13 @@ def pad_or_eos(pad_id: int | None, eos_id: int) -> int:
 def encode_pairs(
     df: DataFrame,
     vocab: DataFrame | Vocabulary,
-    max_length: int | None = 512,
+    max_length: int | None = None,
     template: ChatTemplate | None = None,
     keep: Sequence[str] = (),
 ) -> DataFrame:
     """Preference rows to ids and masks of both sides (plus the ``keep`` key columns)."""
     texts = pair_texts(df, template, keep)
-    ids = _ready(vocab).encode(texts, {"text_j": "input_ids_j", "text_k": "input_ids_k"}, max_length, keep)
+    ids = _ready(vocab).encode(texts, {"text_j": "input_ids_j", "text_k": "input_ids_k"}, max_length)
     return ids.select(
         *keep,
         "input_ids_j",
@@ -216,10 +218,10 @@ def encode_pairs(
 def encode_prompts(
     df: DataFrame,
     vocab: DataFrame | Vocabulary,
-    max_length: int | None = 512,
+    max_length: int | None = None,
     template: ChatTemplate | None = None,
     keep: Sequence[str] = (),
 ) -> DataFrame:
     """Prompt rows to the single column ``input_ids`` (plus the ``keep`` key columns)."""
     texts = prompt_texts(df, template, keep)
-    return encode(texts, vocab, max_length=max_length, key=keep).select(*keep, "input_ids")
+    return encode(texts, vocab, max_length=max_length).select(*keep, "input_ids")

@@ -17,13 +17,12 @@ def map_batches(
 ) -> DataFrame:
     """Apply ``fn`` to Arrow batches of rows; only columns it returns are kept.
 
-    ``num_proc`` is a hint for the number of parallel parts; None or 0 keeps the
-    partitions as they are.
+    ``num_proc`` is accepted as a hint and changes nothing: the partitions there are run
+    in parallel anyway, and dealing rows to fewer would only slow them down.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             yield fn(batch)
 
-    parts = df.repartition(num_proc) if num_proc and num_proc > 0 else df
-    return parts.mapInPandas(run, schema)
+    return df.mapInPandas(run, schema)

@@ -20,10 +20,10 @@ def accuracy(rewards_j: Column, rewards_k: Column) -> Column:
 
 
 def logloss(rewards_j: Column, rewards_k: Column) -> Column:
-    """Mean of ``-log(sigmoid(j - k))``, stable for any margin; NaN if any pair has one."""
+    """Mean of ``-log(sigmoid(j - k))``, stable for any margin; NaN if any pair holds NaN or NULL."""
     margin = rewards_j.cast("double") - rewards_k.cast("double")
     stable = F.greatest(F.lit(0.0), -margin) + F.log1p(F.exp(-F.abs(margin)))
-    return F.avg(F.when(F.isnan(margin), F.lit(float("nan"))).otherwise(stable))
+    return F.avg(F.when(margin.isNull() | F.isnan(margin), F.lit(float("nan"))).otherwise(stable))
 
 
 def pairwise_accuracy(
@@ -58,7 +58,8 @@ def scores_from_arrays(df: DataFrame, array_j: str, array_k: str) -> DataFrame:
 def scores_from_matrix(df: DataFrame, row: str, column: str, value: str) -> DataFrame | None:
     """A matrix of cells (row, column, value), two rows or two columns; None for other shapes.
 
-    Two rows are tried first, so a 2x2 matrix holds one score vector per row.
+    Two rows are tried first, so a 2x2 matrix holds one score vector per row. A cell that
+    is missing or given twice fails the job; a NULL value is a score.
     """
     rows, columns = df.agg(F.max(row) + 1, F.max(column) + 1).first()
     if rows == 2:
@@ -67,10 +68,15 @@ def scores_from_matrix(df: DataFrame, row: str, column: str, value: str) -> Data
         side, position = column, row
     else:
         return None
-    return df.groupBy(position).agg(
+    cells = df.groupBy(position).agg(
         F.max(F.when(F.col(side) == 0, F.col(value))).alias(REWARD_J),
         F.max(F.when(F.col(side) == 1, F.col(value))).alias(REWARD_K),
-    ).select(REWARD_J, REWARD_K)
+        F.count_if(F.col(side) == 0).alias("_cells_j"),
+        F.count_if(F.col(side) == 1).alias("_cells_k"),
+    )
+    whole = (F.col("_cells_j") == 1) & (F.col("_cells_k") == 1)
+    wrong = F.raise_error(F.lit("A score matrix needs each cell exactly once."))
+    return cells.select(F.when(whole, F.col(REWARD_J)).otherwise(wrong).alias(REWARD_J), REWARD_K)
 
 
 def align_scores(

@@ -18,13 +18,6 @@ from pyspark.sql.window import Window
 
 from tuneprep.storage import materialize
 
-# Up to this many key rows may be merged in one task when the n-th key is looked up.
-ONE_TASK_ROWS = 1_000_000
-# Rows a sample aims at below the n-th key. Small, as each task may send as many to one
-# task; its only use is to skip far-away rows, so it need not be sharp.
-BOUND_SAMPLE = 100
-
-
 def _any_null(names: Sequence[str]) -> Column:
     return reduce(lambda a, b: a | b, [F.col(name).isNull() for name in names])
 
@@ -147,55 +140,43 @@ def up_to(df: DataFrame, order_by: Sequence[str], row: Row) -> Column:
     return first & (F.struct(*order_by) <= F.struct(*bound))
 
 
-def count_rows(df: DataFrame, order_by: Sequence[str]) -> int:
-    """Number of rows; refuses NULL in the order columns."""
-    rows, nulls = df.agg(F.count(F.lit(1)), F.count_if(_any_null(order_by))).first()
-    if nulls:
-        raise ValueError("Order columns must not be NULL.")
-    return rows
+class OrderedKeys:
+    """A table's order keys, written once in ranges, to look up the n-th of them.
 
-
-def nth_key(
-    df: DataFrame,
-    order_by: Sequence[str],
-    n: int,
-    rows: int | None = None,
-    one_task_rows: int | None = None,
-) -> Row | None:
-    """Key of the ``n``-th row (from 1) in order; None if there are no more than ``n`` rows.
-
-    Reads key columns only. When ``n`` is a small part of a large table, a sampled
-    bound first drops the rows that are certainly behind it; the bound is kept only
-    if a count proves that at least ``n`` rows lie before it, so the result is exact.
+    The input is evaluated to sample the ranges and to write (range, keys), never
+    again. Counts of the ranges say which one holds the n-th key, and only that one is
+    sorted. NULL keys and repeated keys are refused.
     """
-    order = _require_order(order_by)
-    limit = ONE_TASK_ROWS if one_task_rows is None else one_task_rows
-    keys = df.select(*order)
-    rows = count_rows(keys, order) if rows is None else rows
-    if n >= rows:
-        return None
-
-    candidates = keys
-    if rows > limit and n < rows // 4:
-        fraction = min(1.0, BOUND_SAMPLE / n)
-        rank = int(n * fraction + 5 * (n * fraction) ** 0.5) + 5
-        bound = keys.sample(fraction, seed=0).orderBy(*order).offset(rank - 1).limit(1).first()
-        if bound is not None:
-            near = keys.where(up_to(keys, order, bound))
-            if near.count() >= n:
-                candidates = near
-
-    if n <= limit:
-        row = candidates.orderBy(*order).offset(n - 1).limit(1).first()
-    else:
-        numbered = with_running_total(candidates, order)
-        row = numbered.where(F.col("rows_before") == n - 1).select(*order).first()
-    if keys.where(up_to(keys, order, row)).count() != n:
-        raise ValueError("order_by must identify each row, but some keys repeat.")
-    return row
-
-
-def first_n(df: DataFrame, n: int | None, order_by: Sequence[str], one_task_rows: int | None = None) -> DataFrame:
+
+    def __init__(self, df: DataFrame, order_by: Sequence[str]):
+        self.order = _require_order(order_by)
+        ranged = df.select(*self.order).repartitionByRange(*self.order).withColumn("_part", F.spark_partition_id())
+        self.keys = materialize(ranged, "order-keys")
+        nulls = F.count_if(_any_null(self.order))
+        self.parts = self.keys.groupBy("_part").agg(F.count(F.lit(1)).alias("rows"), nulls.alias("nulls"))
+        self.rows, missing = self.parts.agg(F.coalesce(F.sum("rows"), F.lit(0)), F.sum("nulls")).first()
+        if missing:
+            raise ValueError("Order columns must not be NULL.")
+        if not self.keys.groupBy(*self.order).count().where("count > 1").isEmpty():
+            raise ValueError("order_by must identify each row, but some keys repeat.")
+
+    def nth(self, n: int) -> Row | None:
+        """The ``n``-th key (from 1); None if there are no more than ``n`` rows."""
+        if n >= self.rows:
+            return None
+        before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+        parts = self.parts.withColumn("before", F.coalesce(F.sum("rows").over(before), F.lit(0)))
+        part = parts.where((F.col("before") < n) & (F.col("before") + F.col("rows") >= n)).first()
+        inside = self.keys.where(F.col("_part") == part["_part"]).select(*self.order)
+        return inside.orderBy(*self.order).offset(n - 1 - part["before"]).limit(1).first()
+
+
+def nth_key(df: DataFrame, order_by: Sequence[str], n: int) -> Row | None:
+    """Key of the ``n``-th row (from 1) in order; None if there are no more than ``n`` rows."""
+    return OrderedKeys(df, order_by).nth(n)
+
+
+def first_n(df: DataFrame, n: int | None, order_by: Sequence[str]) -> DataFrame:
     """The first ``min(n, rows)`` rows in order; all rows if ``n`` is None or not positive.
 
     Finds the last wanted key and filters, so rows stay where they are and the cut
@@ -204,5 +185,5 @@ def first_n(df: DataFrame, n: int | None, order_by: Sequence[str], one_task_rows
     if n is None or n <= 0:
         return df
     order = _require_order(order_by)
-    row = nth_key(df, order, n, one_task_rows=one_task_rows)
+    row = nth_key(df, order, n)
     return df if row is None else df.where(up_to(df, order, row))

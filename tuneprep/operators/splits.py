@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tuneprep.operators.ordering import count_rows, nth_key, up_to
+from tuneprep.operators.ordering import OrderedKeys, up_to
 
 SPLIT = "split"
 SPLIT_HASH = "split_hash"
@@ -27,14 +27,18 @@ def exact_split(df: DataFrame, size: int, seed: int, key: Sequence[str]) -> Data
     Exactly ``max(1, min(size, rows - 1))`` rows become ``test``: those with the
     smallest (hash, key). The same seed and keys give the same members whatever the
     partitioning. Each part's order for later steps is ``split_hash`` then ``key``.
+    A table that has columns of these names already is refused.
     """
     key = [key] if isinstance(key, str) else list(key)
-    rows = count_rows(df.select(*key), key)
-    if rows < 2:
-        raise ValueError("A train/test split needs at least 2 rows.")
+    taken = {SPLIT, SPLIT_HASH} & set(df.columns)
+    if taken:
+        raise ValueError(f"Rename the columns {sorted(taken)}: a split adds columns of that name.")
     hashed = df.withColumn(SPLIT_HASH, split_hash(seed, key))
     order = [SPLIT_HASH, *key]
-    last = nth_key(hashed, order, max(1, min(size, rows - 1)), rows)
+    keys = OrderedKeys(hashed, order)
+    if keys.rows < 2:
+        raise ValueError("A train/test split needs at least 2 rows.")
+    last = keys.nth(max(1, min(size, keys.rows - 1)))
     is_test = up_to(hashed, order, last)
     return hashed.withColumn(SPLIT, F.when(is_test, "test").otherwise("train"))
 

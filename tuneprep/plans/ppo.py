@@ -15,13 +15,11 @@ def ppo_prepare(
     df: DataFrame,
     key: Sequence[str],
     vocab: DataFrame | Vocabulary,
-    max_train_samples: int | None = 10000,
-    max_prompt_length: int | None = 512,
+    max_train_samples: int | None = None,
+    max_prompt_length: int | None = None,
     template: ChatTemplate | None = None,
     keep: Sequence[str] = (),
 ) -> DataFrame:
     """Encoded prompts: ``input_ids``, after any ``keep`` columns."""
     ready = vocab if isinstance(vocab, Vocabulary) else Vocabulary(vocab)
-    carried = list(dict.fromkeys([*keep, *key]))
-    encoded = encode_prompts(first_n(df, max_train_samples, list(key)), ready, max_prompt_length, template, carried)
-    return encoded.select(*keep, "input_ids")
+    return encode_prompts(first_n(df, max_train_samples, list(key)), ready, max_prompt_length, template, keep)

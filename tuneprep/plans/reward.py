@@ -18,9 +18,9 @@ def rm_prepare(
     key: Sequence[str],
     vocab: DataFrame | Vocabulary,
     pad_id: int,
-    train_subset: int | None = 100000,
-    eval_subset: int | None = 50000,
-    max_length: int | None = 512,
+    train_subset: int | None = None,
+    eval_subset: int | None = None,
+    max_length: int | None = None,
     batch_size: int = 4,
     accumulation: int = 1,
     template: ChatTemplate | None = None,

@@ -19,7 +19,7 @@ def sft_prepare(
     df: DataFrame,
     key: Sequence[str],
     size_valid_set: int = 4000,
-    max_train_samples: int | None = 160000,
+    max_train_samples: int | None = None,
     seed: int = 0,
     seq_length: int = 1024,
     batch_size: int = 4,
@@ -29,12 +29,14 @@ def sft_prepare(
     eos_id: int | None = None,
     template: ChatTemplate | None = None,
     text_field: str = TEXT_FIELD,
+    drop_last: bool = False,
 ) -> DataFrame:
     """Blocks of both parts as (split, block_id, batch_id, input_ids).
 
-    Rows are capped in ``key`` order, split exactly, and packed part by part in the
-    split's shuffled order; a last incomplete batch is dropped. Without ``vocab`` a
-    vocabulary is built from the training part.
+    All rows are used unless ``max_train_samples`` cuts them in ``key`` order. They are
+    split exactly and packed part by part in the split's shuffled order; ``drop_last``
+    drops a last incomplete batch. Without ``vocab`` a vocabulary is built from the
+    training part.
     """
     key = list(key)
     marked = exact_split(first_n(df, max_train_samples, key), size_valid_set, seed, key)
@@ -51,8 +53,8 @@ def sft_prepare(
     if vocab is None:
         vocab = build_vocab(texts.where(F.col(SPLIT) == "train"), vocab_size, text_field, UNKNOWN_ID + 1)
     ready = vocab if isinstance(vocab, Vocabulary) else Vocabulary(vocab)
-    encoded = ready.encode(texts, {text_field: "input_ids"}, key=carried)
+    encoded = ready.encode(texts, {text_field: "input_ids"})
     blocks = pack_wrapped(encoded, seq_length, [SPLIT_HASH, *key], group_by=[SPLIT], eos_id=eos_id, blocks="blocks")
     return assign_batches(
-        blocks, batch_size, position="block_id", rows="blocks", accumulation=accumulation, drop_last=True
+        blocks, batch_size, position="block_id", rows="blocks", accumulation=accumulation, drop_last=drop_last
     ).select(SPLIT, "block_id", "batch_id", "input_ids")

@@ -63,6 +63,27 @@ def logloss_of_lines(spark, sf_dir):
     return pairwise_logloss(views.scored(spark, sf_dir)).select(F.round("loss", DIGITS).alias("loss"))
 
 
+@query(
+    "SELECT l_returnflag, "
+    "avg(CASE WHEN l_linenumber <> 3 AND l_discount > l_tax THEN 1.0 ELSE 0.0 END) AS accuracy, "
+    "bool_or(l_linenumber = 3) AS loss_is_nan, "
+    f"round(avg({LOSS_SQL}) FILTER (WHERE l_linenumber <> 3), {DIGITS}) AS loss_of_others FROM "
+    "(SELECT *, l_discount AS rewards_j, l_tax AS rewards_k FROM lineitem) GROUP BY l_returnflag"
+)
+def pairwise_measures_null(spark, sf_dir):
+    """A NULL score is a wrong pair and makes the loss NaN."""
+    line = views.table(spark, sf_dir, "lineitem")
+    missing = F.col("l_linenumber") == 3
+    j, k = F.when(~missing, F.col("l_discount")), F.col("l_tax")
+    return line.groupBy("l_returnflag").agg(
+        accuracy(j, k).alias("accuracy"),
+        F.isnan(logloss(j, k)).alias("loss_is_nan"),
+        F.count_if(missing).alias("_missing"),
+        F.count(F.lit(1)).alias("_rows"),
+        F.sum(F.when(~missing, F.greatest(F.lit(0.0), k - j) + F.log1p(F.exp(-F.abs(j - k))))).alias("_sum"),
+    ).select("l_returnflag", "accuracy", "loss_is_nan", F.round(F.col("_sum") / (F.col("_rows") - F.col("_missing")), DIGITS).alias("loss_of_others"))
+
+
 @query(
     f"WITH scores AS (SELECT l_discount AS rewards_j, l_tax AS rewards_k FROM lineitem) SELECT {MEASURES_SQL} FROM scores"
 )

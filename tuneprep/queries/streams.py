@@ -1,4 +1,4 @@
-"""Streams over the conversation table, run until everything present is read."""
+"""Streams over tables staged as several files in key order, one file per micro-batch, run until all are read."""
 
 from __future__ import annotations
 
@@ -8,20 +8,44 @@ from tuneprep.operators.columns import format_text, prompt_texts
 from tuneprep.operators.encoding import Vocabulary
 from tuneprep.queries import sql
 from tuneprep.queries.registry import query
-from tuneprep.queries.tokens import BLOCK, CHAT_VOCAB, EOS, chat_vocab
+from tuneprep.queries.tokens import BLOCK, CHAT_VOCAB, DOC_VOCAB, EOS, chat_vocab, doc_vocab
 from tuneprep.sources import read_stream, views
 from tuneprep.storage import scratch_path
-from tuneprep.streaming import read_side, stream_pack, stream_split, stream_take
+from tuneprep.streaming import (
+    read_blocks,
+    read_side,
+    sft_prepare_stream,
+    stream_pack,
+    stream_split,
+    stream_take,
+)
 
 KEY = list(views.TURN_KEY)
 VALID_ROWS = 150
 PART_SQL = f"CASE WHEN row_number() OVER (ORDER BY conv_id, turn) <= {VALID_ROWS} THEN 'valid' ELSE 'train' END"
 
 
+FILES = 4
+
+
+def staged(spark, sf_dir, name, order):
+    """The whole table as a stream of ``FILES`` files, each a range of its leading key, written one after another."""
+    df = views.table(spark, sf_dir, name)
+    last = df.agg(F.max(order[0])).first()[0]
+    out = scratch_path(spark, f"stream-{name}")
+    for i in range(FILES):
+        part = df.where(F.expr(f"{order[0]} * {FILES} div ({last} + 1) = {i}"))
+        part.coalesce(1).sortWithinPartitions(*order).write.mode("append").parquet(out)
+    return read_stream(spark, out, df.schema, max_files_per_trigger=1)
+
+
+def batch_sql(key: str, name: str) -> str:
+    """The micro-batch of a row."""
+    return f"({key} * {FILES} // (SELECT max({key}) + 1 FROM {name}))"
+
+
 def conversations(spark, sf_dir):
-    """A pattern rather than a folder, as the table may be a single file."""
-    schema = views.table(spark, sf_dir, "conversations").schema
-    return read_stream(spark, sf_dir, schema, split="conversations.parquet*")
+    return staged(spark, sf_dir, "conversations", KEY)
 
 
 def _both_sides(spark, out, schema):
@@ -60,8 +84,7 @@ FROM documents""",
 def tuning_text_stream(spark, sf_dir):
     """Prompt/response rows arrive; both sides are formatted as they are written."""
     rows = views.doc_response(spark, sf_dir)
-    schema = views.table(spark, sf_dir, "documents").schema
-    stream = read_stream(spark, sf_dir, schema, split="documents.parquet*").select(
+    stream = staged(spark, sf_dir, "documents", ["doc_id"]).select(
         "doc_id", F.concat("lang", F.lit("/"), "source").alias("prompt"), F.col("text").alias("response")
     )
     out = scratch_path(spark, "stream-sft")
@@ -69,14 +92,17 @@ def tuning_text_stream(spark, sf_dir):
     return _both_sides(spark, out, format_text(rows, ["doc_id"]).schema)
 
 
-@query(f"SELECT least(count(*), {VALID_ROWS}) AS rows FROM conversations", "stream_take")
+@query(f"SELECT conv_id, turn, role, text FROM conversations ORDER BY conv_id, turn LIMIT {VALID_ROWS}", "stream_take")
 def taken_from_stream(spark, sf_dir):
-    """Which rows arrive first depends on the files; how many are taken does not."""
     out = scratch_path(spark, "stream-take")
     writer = stream_take(conversations(spark, sf_dir), VALID_ROWS).writeStream.format("parquet")
     writer = writer.option("path", f"{out}/rows").option("checkpointLocation", f"{out}/_checkpoint")
     writer.trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{out}/rows").agg(F.count(F.lit(1)).alias("rows"))
+    return spark.read.parquet(f"{out}/rows")
+
+
+def _shown(blocks, *columns):
+    return blocks.select(*columns, "batch_id", "block_id", F.array_join("input_ids", " ").alias("input_ids"))
 
 
 @query(
@@ -86,13 +112,41 @@ marked AS (
   SELECT conv_id, turn, pos, coalesce(id, 0) AS id FROM chat_words LEFT JOIN vocab USING (token)
   UNION ALL SELECT conv_id, turn, 1000000000, {EOS} FROM conversations
 ),
-placed AS (SELECT *, row_number() OVER (ORDER BY conv_id, turn, pos) - 1 AS place FROM marked)
-SELECT place // {BLOCK} AS block_id, string_agg(id, ' ' ORDER BY place) AS input_ids
-FROM placed GROUP BY place // {BLOCK}""",
+arrived AS (SELECT *, {batch_sql('conv_id', 'conversations')} AS batch_id FROM marked),
+placed AS (SELECT *, row_number() OVER (PARTITION BY batch_id ORDER BY conv_id, turn, pos) - 1 AS place FROM arrived)
+SELECT batch_id, place // {BLOCK} AS block_id, string_agg(id, ' ' ORDER BY place) AS input_ids
+FROM placed GROUP BY batch_id, place // {BLOCK}""",
     "stream_pack",
 )
 def packed_stream(spark, sf_dir):
     out = scratch_path(spark, "stream-pack")
     vocab = Vocabulary(chat_vocab(spark, sf_dir))
     stream_pack(conversations(spark, sf_dir), out, vocab, BLOCK, KEY, eos_id=EOS).awaitTermination()
-    return spark.read.parquet(f"{out}/blocks").select("block_id", F.array_join("input_ids", " ").alias("input_ids"))
+    return _shown(read_blocks(spark, out))
+
+
+@query(
+    f"""
+WITH {DOC_VOCAB},
+texts AS (
+  SELECT doc_id, {sql.qa_text("lang || '/' || source", 'text')} AS text, {batch_sql('doc_id', 'documents')} AS batch_id,
+    CASE WHEN row_number() OVER (ORDER BY doc_id) <= {VALID_ROWS} THEN 'valid' ELSE 'train' END AS part FROM documents
+), {sql.words('text_words', 'texts', 'doc_id, batch_id, part')},
+marked AS (
+  SELECT doc_id, batch_id, part, pos, coalesce(id, 0) AS id FROM text_words LEFT JOIN vocab USING (token)
+  UNION ALL SELECT doc_id, batch_id, part, 1000000000, {EOS} FROM texts
+),
+placed AS (SELECT *, row_number() OVER (PARTITION BY part, batch_id ORDER BY doc_id, pos) - 1 AS place FROM marked)
+SELECT part, batch_id, place // {BLOCK} AS block_id, string_agg(id, ' ' ORDER BY place) AS input_ids
+FROM placed GROUP BY part, batch_id, place // {BLOCK}""",
+    "sft_prepare_stream",
+)
+def prepared_stream(spark, sf_dir):
+    stream = staged(spark, sf_dir, "documents", ["doc_id"]).select(
+        "doc_id", F.concat("lang", F.lit("/"), "source").alias("prompt"), F.col("text").alias("response")
+    )
+    out = scratch_path(spark, "stream-prepared")
+    vocab = Vocabulary(doc_vocab(spark, sf_dir))
+    sft_prepare_stream(stream, out, vocab, VALID_ROWS, BLOCK, ["doc_id"], EOS).awaitTermination()
+    parts = [_shown(read_blocks(spark, out, side).withColumn("part", F.lit(side)), "part") for side in ("train", "valid")]
+    return parts[0].union(parts[1])

@@ -24,7 +24,7 @@ from tuneprep.operators.columns import (
 )
 from tuneprep.queries import sql
 from tuneprep.queries.registry import query
-from tuneprep.sources import spread_small_scan, views
+from tuneprep.sources import views
 
 KEY = views.TURN_KEY
 TEMPLATE = ChatTemplate()
@@ -82,14 +82,15 @@ def both_parts_as_text(spark, sf_dir):
 
 
 @query(
-    f"WITH {sql.CHAT} SELECT count(*) AS n_messages, 'search' AS tools, 'messages,tools' AS kept "
-    "FROM chat GROUP BY conv_id, turn",
+    f"WITH {sql.CHAT} SELECT conv_id, turn, string_agg(role || ':' || text, '|' ORDER BY message_turn) AS messages, "
+    "'search' AS tools, 'conv_id,turn,messages,tools' AS kept FROM chat GROUP BY conv_id, turn",
     "prune_chat_columns",
 )
 def pruned_chat(spark, sf_dir):
-    pruned = prune_chat_columns(views.chat(spark, sf_dir).withColumn("tools", F.lit("search")))
+    pruned = prune_chat_columns(views.chat(spark, sf_dir).withColumn("tools", F.lit("search")), KEY)
+    messages = F.transform("messages", lambda m: F.concat(m["role"], F.lit(":"), m["content"]))
     return pruned.select(
-        F.size("messages").cast("bigint").alias("n_messages"), "tools", F.lit(",".join(pruned.columns)).alias("kept")
+        *KEY, F.array_join(messages, "|").alias("messages"), "tools", F.lit(",".join(pruned.columns)).alias("kept")
     )
 
 
@@ -191,7 +192,7 @@ def ppo_prompt_template(spark, sf_dir):
     "csv_list",
 )
 def csv_items(spark, sf_dir):
-    documents = spread_small_scan(views.table(spark, sf_dir, "documents").select("doc_id", "text"))
+    documents = views.table(spark, sf_dir, "documents").select("doc_id", "text")
     return documents.select("doc_id", F.array_join(csv_list(F.col("text")), "|").alias("items"))
 
 

@@ -12,15 +12,16 @@ from tuneprep.operators.encoding import (
     encode,
     encode_pairs,
     encode_prompts,
+    encode_with,
 )
 from tuneprep.operators.mapping import map_batches
 from tuneprep.queries import sql
 from tuneprep.queries.registry import query
-from tuneprep.sources import spread_small_scan, views
+from tuneprep.sources import views
 
 KEY = list(views.TURN_KEY)
 WORDS, EOS, FIRST_ID = 2000, 1, 2
-MAX_LENGTH, PAIR_LENGTH, PROMPT_LENGTH = 64, 48, 32
+MAX_LENGTH = 512  # of encode_truncated alone; all other queries take whole texts
 BLOCK, BATCH = 128, 8
 
 DOC_WORDS = sql.words("doc_words", "documents", "doc_id, lang")
@@ -29,8 +30,7 @@ CHAT_VOCAB = f"{sql.words('chat_words', 'conversations', 'conv_id, turn')}, {sql
 
 
 def documents_text(spark, sf_dir, *columns):
-    documents = views.table(spark, sf_dir, "documents").select("doc_id", *columns, "text")
-    return spread_small_scan(documents)
+    return views.table(spark, sf_dir, "documents").select("doc_id", *columns, "text")
 
 
 def doc_vocab(spark, sf_dir):
@@ -51,18 +51,22 @@ def document_words(spark, sf_dir):
     return doc_vocab(spark, sf_dir)
 
 
-ENCODE_SQL = f"""
+def _encode_sql(condition: str = "") -> str:
+    return f"""
 WITH {DOC_VOCAB},
 ids AS (
   SELECT doc_id, count(*) AS n_ids, string_agg(coalesce(id, 0), ' ' ORDER BY pos) AS input_ids
-  FROM doc_words LEFT JOIN vocab USING (token) WHERE pos <= {MAX_LENGTH} GROUP BY doc_id
+  FROM doc_words LEFT JOIN vocab USING (token) {condition} GROUP BY doc_id
 )
 SELECT doc_id, coalesce(n_ids, 0) AS n_ids, coalesce(input_ids, '') AS input_ids
 FROM documents LEFT JOIN ids USING (doc_id)"""
 
 
-def _encoded(documents, vocab):
-    ids = encode(documents, vocab, max_length=MAX_LENGTH, key=["doc_id"])
+ENCODE_SQL = _encode_sql()
+
+
+def _encoded(documents, vocab, max_length=None):
+    ids = encode(documents, vocab, max_length=max_length)
     return ids.select("doc_id", F.size("input_ids").cast("bigint").alias("n_ids"), shown("input_ids"))
 
 
@@ -72,6 +76,28 @@ def encoded_documents(spark, sf_dir):
     return _encoded(documents, doc_vocab(spark, sf_dir))
 
 
+@query(_encode_sql(f"WHERE pos <= {MAX_LENGTH}"), "encode_truncated")
+def truncated_documents(spark, sf_dir):
+    return _encoded(documents_text(spark, sf_dir), doc_vocab(spark, sf_dir), MAX_LENGTH)
+
+
+@query(
+    f"""
+WITH {DOC_VOCAB}, ids AS (
+  SELECT doc_id, string_agg(pos * 31 + length(token), ' ' ORDER BY pos) AS input_ids FROM doc_words GROUP BY doc_id
+)
+SELECT doc_id, coalesce(input_ids, '') AS input_ids FROM documents LEFT JOIN ids USING (doc_id)""",
+    "encode_with",
+)
+def encoded_by_caller(spark, sf_dir):
+    """A caller's own tokenizer, here one that needs no vocabulary."""
+
+    def tokenize(texts):
+        return [[i * 31 + len(word) for i, word in enumerate(text.split(), 1)] for text in texts]
+
+    return encode_with(documents_text(spark, sf_dir), tokenize).select("doc_id", shown("input_ids"))
+
+
 @query(ENCODE_SQL, "encode_large_vocab")
 def encoded_with_joined_rest(spark, sf_dir):
     """The way for vocabularies beyond the broadcast bound."""
@@ -80,13 +106,13 @@ def encoded_with_joined_rest(spark, sf_dir):
 
 
 @query(
-    f"WITH {DOC_WORDS}, counted AS (SELECT doc_id, count(*) AS n FROM doc_words WHERE pos <= {MAX_LENGTH} GROUP BY doc_id) "
+    f"WITH {DOC_WORDS}, counted AS (SELECT doc_id, count(*) AS n FROM doc_words GROUP BY doc_id) "
     "SELECT doc_id, coalesce(n, 0) AS ones, coalesce(n, 0) AS length FROM documents LEFT JOIN counted USING (doc_id)",
     "attention_mask",
 )
 def document_masks(spark, sf_dir):
     documents = documents_text(spark, sf_dir)
-    ids = encode(documents, doc_vocab(spark, sf_dir), max_length=MAX_LENGTH)
+    ids = encode(documents, doc_vocab(spark, sf_dir))
     mask = ids.select("doc_id", attention_mask(F.col("input_ids")).alias("mask"))
     return mask.select(
         "doc_id",
@@ -104,7 +130,7 @@ sides AS (
 ), {sql.words('side_words', 'sides', 'conv_id, turn, side')},
 side_ids AS (
   SELECT conv_id, turn, side, list(coalesce(id, 0) ORDER BY pos) AS ids
-  FROM side_words LEFT JOIN vocab USING (token) WHERE pos <= {PAIR_LENGTH} GROUP BY conv_id, turn, side
+  FROM side_words LEFT JOIN vocab USING (token) GROUP BY conv_id, turn, side
 ),
 pair_ids AS (
   SELECT conv_id, turn, max(ids) FILTER (WHERE side = 'j') AS ids_j, max(ids) FILTER (WHERE side = 'k') AS ids_k
@@ -116,17 +142,28 @@ def _joined(ids: str) -> str:
     return f"array_to_string({ids}, ' ')"
 
 
-@query(
+PAIRS_SQL = (
     f"WITH {PAIR_IDS} SELECT conv_id, turn, {_joined('ids_j')} AS input_ids_j, {_joined('ids_k')} AS input_ids_k, "
     f"{_joined('list_transform(ids_j, lambda x: 1)')} AS attention_mask_j, "
-    f"{_joined('list_transform(ids_k, lambda x: 1)')} AS attention_mask_k FROM pair_ids",
-    "encode_pairs",
+    f"{_joined('list_transform(ids_k, lambda x: 1)')} AS attention_mask_k FROM pair_ids"
 )
-def encoded_pairs(spark, sf_dir):
-    ids = encode_pairs(views.pairs(spark, sf_dir), chat_vocab(spark, sf_dir), PAIR_LENGTH, keep=KEY)
+
+
+def _encoded_pairs(spark, sf_dir, vocab):
+    ids = encode_pairs(views.pairs(spark, sf_dir), vocab, keep=KEY)
     return ids.select(*KEY, *[shown(name) for name in ids.columns if name not in KEY])
 
 
+@query(PAIRS_SQL, "encode_pairs")
+def encoded_pairs(spark, sf_dir):
+    return _encoded_pairs(spark, sf_dir, chat_vocab(spark, sf_dir))
+
+
+@query(PAIRS_SQL, "encode_pairs_large_vocab")
+def encoded_pairs_with_joined_rest(spark, sf_dir):
+    return _encoded_pairs(spark, sf_dir, Vocabulary(chat_vocab(spark, sf_dir), broadcast_words=100))
+
+
 @query(
     f"""
 WITH {CHAT_VOCAB},
@@ -134,11 +171,11 @@ prompts AS (
   SELECT conv_id, turn, {sql.qa_text('text', "''")} AS prompt FROM conversations WHERE role = 'user'
 ), {sql.words('prompt_words', 'prompts', 'conv_id, turn', 'prompt')}
 SELECT string_agg(coalesce(id, 0), ' ' ORDER BY pos) AS input_ids
-FROM prompt_words LEFT JOIN vocab USING (token) WHERE pos <= {PROMPT_LENGTH} GROUP BY conv_id, turn""",
+FROM prompt_words LEFT JOIN vocab USING (token) GROUP BY conv_id, turn""",
     "encode_prompts",
 )
 def encoded_prompts(spark, sf_dir):
-    ids = encode_prompts(views.prompts(spark, sf_dir), chat_vocab(spark, sf_dir), PROMPT_LENGTH)
+    ids = encode_prompts(views.prompts(spark, sf_dir), chat_vocab(spark, sf_dir))
     return ids.select(shown("input_ids"))
 
 
@@ -225,7 +262,7 @@ measured AS (
 )
 def collated_pairs(spark, sf_dir):
     batched = assign_batches(views.pairs(spark, sf_dir), BATCH, KEY)
-    ids = encode_pairs(batched, chat_vocab(spark, sf_dir), PAIR_LENGTH, keep=[*KEY, "batch_id"])
+    ids = encode_pairs(batched, chat_vocab(spark, sf_dir), keep=[*KEY, "batch_id"])
     padded = collate_pairs(ids, EOS)
     names = [name for name in padded.columns if name.startswith(("input_ids", "attention_mask"))]
     return padded.select(*KEY, "batch_id", *[shown(name) for name in names], "return_loss")

@@ -15,14 +15,12 @@ from tuneprep.queries.tokens import (
     FIRST_ID,
     KEY,
     PAIR_IDS,
-    PAIR_LENGTH,
-    PROMPT_LENGTH,
     WORDS,
     chat_vocab,
     collate_sql,
     shown,
 )
-from tuneprep.sources import spread_small_scan, views
+from tuneprep.sources import views
 from tuneprep.storage import materialize
 
 VALID, SEED, SEQ_LENGTH, BATCH = 100, 11, 128, 4
@@ -41,16 +39,14 @@ ids AS (
 blocks AS (
   SELECT split, place // {SEQ_LENGTH} AS block_id, string_agg(id, ' ' ORDER BY place) AS input_ids
   FROM ids GROUP BY split, place // {SEQ_LENGTH}
-),
-counted AS (SELECT *, count(*) OVER (PARTITION BY split) AS n FROM blocks)
-SELECT split, block_id, block_id // {BATCH} AS batch_id, input_ids
-FROM counted WHERE block_id // {BATCH} < n // {BATCH}"""
+)
+SELECT split, block_id, block_id // {BATCH} AS batch_id, input_ids FROM blocks"""
 
 
 @query(SFT_SQL, "sft_prepare")
 def prepared_for_tuning(spark, sf_dir):
     blocks = sft_prepare(
-        spread_small_scan(views.doc_response(spark, sf_dir)),
+        views.doc_response(spark, sf_dir),
         ["doc_id"],
         size_valid_set=VALID,
         seed=SEED,
@@ -97,6 +93,7 @@ def prepared_chats(spark, sf_dir):
         vocab=chat_vocab(spark, sf_dir),
         eos_id=EOS,
         template=TEMPLATE,
+        drop_last=True,
     )
     return blocks.select("split", "block_id", "batch_id", shown("input_ids"))
 
@@ -117,27 +114,24 @@ measured AS (
 def prepared_for_rewards(spark, sf_dir):
     pairs = materialize(views.pairs(spark, sf_dir), "pairs")  # joined once, read by every pass
     marked = exact_split(pairs, VALID, SEED, KEY)
-    train, evaluation = (marked.where(F.col("split") == part) for part in ("train", "test"))
+    train, evaluation = (marked.where(F.col("split") == part).drop("split", "split_hash") for part in ("train", "test"))
     parts = rm_prepare(
-        train, evaluation, KEY, chat_vocab(spark, sf_dir), EOS, max_length=PAIR_LENGTH, batch_size=BATCH
+        train, evaluation, KEY, chat_vocab(spark, sf_dir), EOS, batch_size=BATCH
     )
     both = parts[0].union(parts[1])
     names = [name for name in both.columns if name.startswith(("input_ids", "attention_mask"))]
     return both.select(*KEY, "batch_id", *[shown(name) for name in names], "return_loss")
 
 
-PPO_ROWS = 200
-
-
 @query(
     f"""
 WITH {CHAT_VOCAB},
 prompts AS (
   SELECT conv_id, turn, {sql.template_message('role', 'text')} || '<|assistant|>' || chr(10) AS prompt
-  FROM conversations WHERE role = 'user' ORDER BY conv_id, turn LIMIT {PPO_ROWS}
+  FROM conversations WHERE role = 'user'
 ), {sql.words('prompt_words', 'prompts', 'conv_id, turn', 'prompt')}
 SELECT conv_id, turn, string_agg(coalesce(id, 0), ' ' ORDER BY pos) AS input_ids
-FROM prompt_words LEFT JOIN vocab USING (token) WHERE pos <= {PROMPT_LENGTH} GROUP BY conv_id, turn""",
+FROM prompt_words LEFT JOIN vocab USING (token) GROUP BY conv_id, turn""",
     "ppo_prepare",
 )
 def prepared_for_policy(spark, sf_dir):
@@ -145,8 +139,6 @@ def prepared_for_policy(spark, sf_dir):
         views.prompts(spark, sf_dir),
         KEY,
         chat_vocab(spark, sf_dir),
-        max_train_samples=PPO_ROWS,
-        max_prompt_length=PROMPT_LENGTH,
         template=TEMPLATE,
         keep=KEY,
     )

@@ -5,7 +5,6 @@ from tuneprep.sources.datasets import (
     read_stream,
     read_train_eval,
     split_path,
-    spread_small_scan,
     write_prepared,
 )
 
@@ -16,6 +15,5 @@ __all__ = [
     "read_stream",
     "read_train_eval",
     "split_path",
-    "spread_small_scan",
     "write_prepared",
 ]

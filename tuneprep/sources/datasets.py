@@ -60,17 +60,6 @@ def read_split(
     return df if split_column is None else df.where(F.col(split_column) == split).drop(split_column)
 
 
-def spread_small_scan(df: DataFrame) -> DataFrame:
-    """Spread a bare scan that has fewer parts than there are cores; leave any other alone.
-
-    For costly work per row on a table of a few row groups. Such a table is small for
-    the cluster that reads it, and so is the shuffle. ``df`` must be a scan with at
-    most projections and filters, so that counting its parts runs nothing.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
-
-
 def read_train_eval(
     spark: SparkSession, base: str, train_split: str = "train_prefs", eval_split: str = "test_prefs", **options
 ) -> tuple[DataFrame, DataFrame]:

@@ -1,44 +1,84 @@
 """Shared scratch storage: where plans are cut and intermediate tables are written.
 
 Tables go to the folder the cluster names in ``spark.checkpoint.dir``, so every
-executor sees them and a lost executor costs nothing but a re-read.
+executor sees them and a lost executor costs nothing but a re-read. The session's own
+settings are left as they are.
 """
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+_scope: ContextVar[str | None] = ContextVar("tuneprep_scratch", default=None)
+_local: dict[str, str] = {}
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a fresh one of our own only in local mode."""
+    """The cluster's checkpoint folder. Only a local session may lack it; it gets one of its own."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    java_context = spark.sparkContext._jsc.sc()
-    if java_context.getCheckpointDir().isDefined():
-        return java_context.getCheckpointDir().get().rstrip("/")
+    context_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if context_dir.isDefined():
+        return context_dir.get().rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("Set spark.checkpoint.dir to a folder that every executor can reach.")
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tuneprep-"))
-    return java_context.getCheckpointDir().get().rstrip("/")
+    app = spark.sparkContext.applicationId
+    if app not in _local:
+        _local[app] = tempfile.mkdtemp(prefix="tuneprep-")
+    return _local[app]
+
+
+def _app_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/tuneprep/{spark.sparkContext.applicationId}"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A path nobody has used yet, below this application's part of the shared folder."""
-    return f"{shared_dir(spark)}/tuneprep/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    """A path nobody has used yet, below the current scope or this application's part of the shared folder."""
+    return f"{_scope.get() or _app_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def drop_scratch(spark: SparkSession) -> None:
-    """Delete what this application wrote below the shared folder; call when all results are stored."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(
-        f"{shared_dir(spark)}/tuneprep/{spark.sparkContext.applicationId}"
-    )
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+class Scratch:
+    """What one operation has written; ``drop`` it once its results are stored elsewhere."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def drop(self) -> None:
+        _delete(self.spark, self.path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Scratch]:
+    """Collect what is written inside the block under one handle of its own.
+
+    Lazy results still read these tables after the block, so nothing is deleted until
+    the handle's ``drop`` is called.
+    """
+    handle = Scratch(spark, f"{_app_dir(spark)}/scope-{uuid.uuid4().hex}")
+    token = _scope.set(handle.path)
+    try:
+        yield handle
+    finally:
+        _scope.reset(token)
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete all that this application wrote below the shared folder; call when all results are stored."""
+    _delete(spark, _app_dir(spark))
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once and go on from the written table.
 

@@ -1,3 +1,10 @@
-from tuneprep.streaming.batches import read_side, stream_pack, stream_split, stream_take
+from tuneprep.streaming.batches import (
+    read_blocks,
+    read_side,
+    sft_prepare_stream,
+    stream_pack,
+    stream_split,
+    stream_take,
+)
 
-__all__ = ["read_side", "stream_pack", "stream_split", "stream_take"]
+__all__ = ["read_blocks", "read_side", "sft_prepare_stream", "stream_pack", "stream_split", "stream_take"]

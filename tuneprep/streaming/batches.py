@@ -15,8 +15,10 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from tuneprep.operators.batching import pack_wrapped
+from tuneprep.operators.columns import format_text
 from tuneprep.operators.encoding import Vocabulary
 from tuneprep.operators.ordering import nth_key, up_to
+from tuneprep.storage import materialize
 
 TRAIN, VALID = "train", "valid"
 LEDGER = T.StructType([T.StructField("batch_id", T.LongType()), T.StructField("taken", T.LongType())])
@@ -53,8 +55,8 @@ def stream_split(
 
     ``prepare`` maps the rows of either side (formatting to text, say). A ledger of
     the validation rows each micro-batch took says how many are still wanted; only
-    the micro-batch in which the last of them arrives is ordered, and later ones
-    pass straight through.
+    micro-batches up to the one in which the last of them arrives are written once and
+    split from there; later ones pass straight through.
     """
     wanted, order = max(1, valid_size), list(order_by)
     prepare = prepare or (lambda df: df)
@@ -72,14 +74,15 @@ def stream_split(
         if missing <= 0:
             _write_side(prepare(batch), out, TRAIN, batch_id)
             return
+        batch = materialize(batch, "micro-batch")
         last = nth_key(batch, order, missing)
         if last is None:
-            valid, train, taken = batch, batch.limit(0), batch.count()
+            taken = batch.count()
+            _write_side(prepare(batch), out, VALID, batch_id)
         else:
-            is_valid = up_to(batch, order, last)
-            valid, train, taken = batch.where(is_valid), batch.where(~is_valid), missing
-        _write_side(prepare(valid), out, VALID, batch_id)
-        _write_side(prepare(train), out, TRAIN, batch_id)
+            is_valid, taken = up_to(batch, order, last), missing
+            _write_side(prepare(batch.where(is_valid)), out, VALID, batch_id)
+            _write_side(prepare(batch.where(~is_valid)), out, TRAIN, batch_id)
         entry = spark.createDataFrame([(batch_id, taken)], LEDGER).coalesce(1)
         entry.write.mode("overwrite").parquet(f"{out}/_ledger/entry={batch_id}")
 
@@ -93,6 +96,15 @@ def read_side(spark: SparkSession, out: str, side: str, schema: T.StructType) ->
     return spark.read.schema(schema).option("basePath", f"{out}/{side}").parquet(f"{out}/{side}").select(*schema.names)
 
 
+BLOCKS = T.StructType(
+    [
+        T.StructField("batch_id", T.LongType()),
+        T.StructField("block_id", T.LongType()),
+        T.StructField("input_ids", T.ArrayType(T.IntegerType())),
+    ]
+)
+
+
 def stream_pack(
     stream: DataFrame,
     out: str,
@@ -103,10 +115,42 @@ def stream_pack(
     eos_id: int | None = None,
     trigger: dict | None = None,
 ) -> StreamingQuery:
-    """Encode and pack each micro-batch by itself into ``out/blocks`` (a short tail per micro-batch)."""
+    """Encode and pack each micro-batch by itself into ``out/blocks`` (a short tail per micro-batch).
+
+    A block is named by (batch_id, block_id): micro-batch and place in it.
+    """
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        ids = vocab.encode(batch, {text_col: "input_ids"}, key=order_by).select(*order_by, "input_ids")
+        ids = vocab.encode(batch, {text_col: "input_ids"}).select(*order_by, "input_ids")
         _write_side(pack_wrapped(ids, seq_length, order_by, eos_id=eos_id), out, "blocks", batch_id)
 
     return _start(stream, out, run, trigger or {"availableNow": True})
+
+
+def read_blocks(spark: SparkSession, out: str, side: str = "blocks") -> DataFrame:
+    """(batch_id, block_id, input_ids) that a stream has packed so far."""
+    return read_side(spark, out, side, BLOCKS)
+
+
+def sft_prepare_stream(
+    stream: DataFrame,
+    out: str,
+    vocab: Vocabulary,
+    valid_size: int,
+    seq_length: int,
+    order_by: Sequence[str],
+    eos_id: int | None = None,
+    trigger: dict | None = None,
+) -> StreamingQuery:
+    """Prompt/response rows to packed blocks of both sides, as they arrive.
+
+    The first ``valid_size`` rows are split off; both sides are formatted, encoded and packed per
+    micro-batch into ``out/train`` and ``out/valid`` (see :func:`read_blocks`).
+    """
+    order = list(order_by)
+
+    def blocks(df: DataFrame) -> DataFrame:
+        ids = vocab.encode(format_text(df, order), {"text": "input_ids"})
+        return pack_wrapped(ids.drop("text"), seq_length, order, eos_id=eos_id)
+
+    return stream_split(stream, out, valid_size, order, blocks, trigger)
