@@ -9,13 +9,15 @@ Nothing is capped. Lists of up to ``LIST`` members are compared whole, in one ta
 the mark of a common passage, and a similar pair nearly always shares shorter lists too: of
 ``KEYS`` values two documents of similarity 0.8 share 12.8 on average, and fewer than ``HOT_KEYS``
 with probability 4e-6. So only documents with ``HOT_KEYS`` or more values in long lists meet
-there, in random blocks, twice, to join what is close; members that are then still apart from
-their list's main component are compared with all of the list, block by block. A pair of
-similarity 0.8 or more shares no value at all with probability 0.2 ** KEYS, and its estimate
-falls below ``ESTIMATE`` with probability about 1e-6.
+there, in random blocks, and then members that are still apart from their list's main
+family are compared with all of the list, block by block. A pair of similarity 0.8 or more
+shares no value at all with probability 0.2 ** KEYS, and its estimate falls below ``ESTIMATE`` with
+probability about 1e-6.
 
-Links found are a spanning forest first, so a group of n copies costs about n confirmations; pairs
-still in different components follow.
+The estimates only join documents into families, by few links in place of all pairs, so a group of n copies
+costs about n rows and not its pairs. Any linked pair is inside one family. There the full sets
+are compared: a family of up to ``LIST`` in one task, a larger one in blocks and then, for members
+apart from its main component, against all its blocks.
 
 Defined cases: a NULL or empty text, or one without words, has an empty set and links with nothing;
 fewer words than a shingle make one shingle of the whole sequence; repeated texts are linked; rows of equal
@@ -89,8 +91,8 @@ def union_estimate(sketches: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.nda
     return (shared & (rank < size[:, None])).sum(axis=1) / np.maximum(size, 1)
 
 
-def _forest(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """The pairs that join what earlier ones did not."""
+def _joined(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The same components with few links: every node with the smallest one that it reaches."""
     parent: dict[int, int] = {}
 
     def root(x: int) -> int:
@@ -98,57 +100,47 @@ def _forest(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
             parent[x] = x = parent[parent[x]]
         return x
 
-    kept = []
     for a, b in pairs:
         x, y = root(a), root(b)
         if x != y:
             parent[max(x, y)] = min(x, y)
-            kept.append((a, b))
-    return kept
+    return [(root(x), x) for x in parent if root(x) != x]
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs that may be similar within each list block.
+    """Links that join whatever pairs may be similar, within each list block.
 
-    Rows come sorted by (value, block): rep, component, n_shingles, sketch, ``every`` (all pairs of different
-    components, else a spanning forest) and ``guest`` (compared with the block's own rows only).
+    Rows come sorted by (value, block, guest): rep, component, n_shingles, sketch. Guests are compared with
+    the block's own rows only, and pairs of one component are left out.
     """
     for rows in _grouped(batches, ["value", "block"]):
         reps = rows.column("rep").to_numpy()
         comp = rows.column("component").to_numpy()
         sizes = rows.column("n_shingles").to_numpy()
         guest = rows.column("guest").to_numpy(zero_copy_only=False)
-        every = rows.column("every").to_numpy(zero_copy_only=False)
         group = rows.column("group").to_numpy()
         raw = rows.column("sketch").to_pylist()
         sketches = np.full((len(raw), SKETCH), PAD, np.uint32)
         for k, s in enumerate(raw):
             sketches[k, : len(s) // 4] = np.frombuffer(s, "<u4")
         ends = np.append(np.flatnonzero(np.diff(group)) + 1, len(group))
-        # Every row with all later rows of its block.
+        # Every own row with all later rows of its block.
         stop = np.repeat(ends, np.diff(np.append(0, ends)))
-        later = stop - np.arange(len(stop)) - 1
-        out_a, out_b = [], []
+        later = np.where(guest, 0, stop - np.arange(len(stop)) - 1)
+        found: list[tuple[int, int]] = []
         for a, b in _bands(later):
             left = np.repeat(np.arange(a, b), later[a:b])
             right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(later[a:b]) - later[a:b], later[a:b])
             low, high = np.minimum(sizes[left], sizes[right]), np.maximum(sizes[left], sizes[right])
-            ok = (comp[left] != comp[right]) & ~(guest[left] & guest[right]) & (SIMILARITY[1] * low >= SIMILARITY[0] * high)
-            ok &= reps[left] != reps[right]
+            ok = (comp[left] != comp[right]) & (SIMILARITY[1] * low >= SIMILARITY[0] * high)
             left, right = left[ok], right[ok]
-            if not len(left):
-                continue
-            score = union_estimate(sketches, left, right)
-            ok = score >= ESTIMATE
-            left, right, score = left[ok], right[ok], score[ok]
-            lo, hi = np.minimum(reps[left], reps[right]), np.maximum(reps[left], reps[right])
-            order = np.lexsort((hi, lo, -score))
-            whole = every[left[order]]
-            forest = _forest([*zip(lo[order][~whole].tolist(), hi[order][~whole].tolist(), strict=True)])
-            out_a += [p[0] for p in forest] + lo[order][whole].tolist()
-            out_b += [p[1] for p in forest] + hi[order][whole].tolist()
-        if out_a:
-            yield pa.RecordBatch.from_pydict({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())}).slice(0)
+            if len(left):
+                ok = union_estimate(sketches, left, right) >= ESTIMATE
+                found += zip(reps[left[ok]].tolist(), reps[right[ok]].tolist(), strict=True)
+            if len(found) > 1 << 17:
+                found = _joined(found)
+        if found:
+            yield _pairs(_joined(found))
 
 
 def _bands(later: np.ndarray, pairs: int = 1 << 17) -> Iterator[tuple[int, int]]:
@@ -223,17 +215,90 @@ def _full_sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Rec
             yield pa.RecordBatch.from_arrays([cut.column("doc_id"), pa.array(packed, pa.binary())], ["rep", "full"])
 
 
-def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _similar(own: list[np.ndarray], other: list[np.ndarray]) -> Iterator[tuple[int, int]]:
+    """Index pairs (own, other) whose sets are similar enough."""
+    values, place = np.unique(np.concatenate([*own, *other]), return_inverse=True)
+    sizes = np.array([len(x) for x in (*own, *other)])
+    ends = np.cumsum(sizes)
+    starts = ends - sizes
+    marks = np.zeros(len(values), np.int64)
+    base, n = starts[len(own)] if other else ends[-1], sizes[len(own) :]
+    for i in range(len(own)):
+        mine = place[starts[i] : ends[i]]
+        marks[mine] = 1
+        both = np.add.reduceat(marks[place[base:]], starts[len(own) :] - base)
+        marks[mine] = 0
+        for j in np.flatnonzero(SIMILARITY[1] * both >= SIMILARITY[0] * (sizes[i] + n - both)):
+            yield i, int(j)
+
+
+def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links between members of a family's block, and between its own members and guests, joined to few.
+
+    Rows come sorted by (family, block, guest): rep, component, full. Own members are held, guests pass by
+    ``LIST`` at a time.
+    """
+    key, own, guests = None, [], []
+    pairs: list[tuple[int, int]] = []
+
+    def flush(last: bool) -> None:
+        for others in (own if last and len(own) > 1 and not seen_guests[0] else [], guests):
+            if own and others:
+                for i, j in _similar([x[2] for x in own], [x[2] for x in others]):
+                    x, y = own[i], others[j]
+                    if x[1] != y[1]:
+                        pairs.append((min(x[0], y[0]), max(x[0], y[0])))
+        guests.clear()
+
+    seen_guests = [False]
     for batch in batches:
-        ok = []
-        for x, y in zip(batch.column("full_a").to_pylist(), batch.column("full_b").to_pylist(), strict=True):
-            a, b = (np.frombuffer(s, np.dtype((np.void, SET_BYTES))) for s in (x, y))
-            wide = [np.zeros((len(v), 8), np.uint8) for v in (a, b)]
-            for w, v in zip(wide, (a, b), strict=True):
-                w[:, :SET_BYTES] = v.view(np.uint8).reshape(-1, SET_BYTES)
-            both = len(np.intersect1d(wide[0].view("<u8").ravel(), wide[1].view("<u8").ravel(), assume_unique=True))
-            ok.append(SIMILARITY[1] * both >= SIMILARITY[0] * (len(a) + len(b) - both))
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(ok, pa.bool_())], ["a", "b", "linked"])
+        columns = (batch.column(c).to_pylist() for c in ("family", "block", "guest", "rep", "component", "full"))
+        for family, block, guest, rep, component, full in zip(*columns, strict=True):
+            if (family, block) != key:
+                flush(True)
+                key, seen_guests[0] = (family, block), False
+                own.clear()
+            wide = np.zeros((len(full) // SET_BYTES, 8), np.uint8)
+            wide[:, :SET_BYTES] = np.frombuffer(full, np.uint8).reshape(-1, SET_BYTES)
+            row = (rep, component, wide.view("<u8").ravel())
+            if guest:
+                seen_guests[0] = True
+                guests.append(row)
+                if len(guests) == LIST:
+                    flush(False)
+            else:
+                own.append(row)
+        if len(pairs) > 4096:
+            yield _pairs(_joined(pairs))
+            pairs.clear()
+    flush(True)
+    if pairs:
+        yield _pairs(_joined(pairs))
+
+
+def _pairs(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    a, b = zip(*pairs, strict=True)
+    return pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def _with_guests(rows: DataFrame, key: str, blocks, salt: int) -> DataFrame:
+    """Deal members of each ``key`` to blocks; those outside its main component also visit all other blocks."""
+    block = F.pmod(F.xxhash64("rep", F.lit(salt)), blocks).cast("int")
+    rows = rows.withColumns({"block": block, "guest": F.lit(False)})
+    sizes = rows.groupBy(key, "component").agg(F.count(F.lit(1)).alias("n"))
+    main = sizes.groupBy(key).agg(F.max(F.struct("n", "component")).alias("m"))
+    rows = rows.join(main.select(key, F.col("m.component").alias("main")), key)
+    visits = F.array_except(F.sequence(F.lit(0), blocks - 1), F.array("block"))
+    guests = rows.where("component <> main").withColumns({"block": F.explode(visits), "guest": F.lit(True)})
+    return rows.unionByName(guests).drop("main")
+
+
+def _labelled(rows: DataFrame, labels: DataFrame, key: str) -> DataFrame:
+    """Rows with their component so far, without the keys whose members are all in one."""
+    rows = rows.join(labels.withColumnsRenamed({"node": "rep"}), "rep", "left")
+    rows = materialize(rows.withColumn("component", F.coalesce("component", "rep")), "labelled")
+    apart = rows.groupBy(key).agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+    return rows.join(apart.where("lo <> hi").select(key), key, "left_semi")
 
 
 class NearDuplicates:
@@ -254,8 +319,6 @@ class NearDuplicates:
             ),
             "classes",
         )
-        self.links: DataFrame | None = None
-        self.tested: DataFrame | None = None
 
     def lists(self) -> DataFrame:
         """(value, rep, members, hot) of all lists with several members that can give a pair."""
@@ -270,37 +333,27 @@ class NearDuplicates:
         hot = hot.join(hot_counts, "value").withColumn("hot", F.lit(True))
         return materialize(shared.where("not hot").unionByName(hot), "lists")
 
-    def compared(self, lists: DataFrame, labels: DataFrame | None, step: int) -> DataFrame:
-        """Distinct pairs (a, b) worth confirming; lists whose members are in one component are skipped.
+    def candidates(self, rows: DataFrame) -> DataFrame:
+        """Links of maybe similar pairs over rows with value, block, guest, rep and component."""
+        members = rows.join(self.classes.select("rep", "n_shingles", "sketch"), "rep")
+        columns = ["value", "block", "guest", "rep", "component", "n_shingles", "sketch"]
+        dealt = members.select(*columns).repartition("value", "block").sortWithinPartitions("value", "block", "guest", "rep")
+        return materialize(dealt.mapInArrow(_compare, "a long, b long").distinct(), "candidates")
 
-        Step 0 gives spanning forests; step 1 all pairs of short lists and forests of newly
-        dealt blocks of long ones; step 2 all pairs of long lists that are still apart.
-        """
-        rows = lists.where("hot") if step == 2 else lists
-        if labels is None:
-            rows = rows.withColumn("component", F.col("rep"))
-        else:
-            rows = rows.join(labels.withColumnsRenamed({"node": "rep"}), "rep", "left")
-            rows = materialize(rows.withColumn("component", F.coalesce("component", "rep")), "labelled-lists")
-            apart = rows.groupBy("value").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-            rows = rows.join(apart.where("lo <> hi").select("value"), "value", "left_semi")
+    def families(self) -> DataFrame:
+        """(node, component): documents joined by estimates; every linked pair is in one family."""
+        lists = self.lists()
         blocks = F.ceil(F.col("members") / LIST).cast("int")
-        rows = rows.withColumns({"block": F.pmod(F.xxhash64("rep", F.lit(step)), blocks).cast("int"), "guest": F.lit(False)})
-        if step == 2:
-            sizes = rows.groupBy("value", "component").agg(F.count(F.lit(1)).alias("n"))
-            main = sizes.groupBy("value").agg(F.max(F.struct("n", "component")).alias("m"))
-            rows = rows.join(main.select("value", F.col("m.component").alias("main")), "value")
-            visits = F.array_except(F.sequence(F.lit(0), blocks - 1), F.array("block"))
-            guests = rows.where("component <> main").withColumns({"block": F.explode(visits), "guest": F.lit(True)})
-            rows = rows.unionByName(guests).drop("main")
-        every = ~F.col("hot") if step == 1 else F.lit(step == 2)
-        members = rows.withColumn("every", every).join(self.classes.select("rep", "n_shingles", "sketch"), "rep")
-        columns = ["value", "block", "rep", "component", "n_shingles", "sketch", "every", "guest"]
-        dealt = members.select(*columns).repartition("value", "block").sortWithinPartitions("value", "block", "rep")
-        pairs = dealt.mapInArrow(_compare, "a long, b long").distinct()
-        if self.tested is not None:
-            pairs = pairs.join(self.tested, ["a", "b"], "left_anti")
-        return materialize(pairs, "pairs")
+        block = F.pmod(F.xxhash64("rep", F.lit(0)), blocks).cast("int")
+        first = lists.withColumns({"component": F.col("rep"), "block": block, "guest": F.lit(False)})
+        links = self.candidates(first)
+        hot = lists.where("hot").drop("hot")
+        if hot.isEmpty():
+            return materialize(components(links), "families")
+        labels = materialize(components(links), "families")
+        rest = _with_guests(_labelled(hot, labels, "value"), "value", blocks, 2)
+        links = links.unionByName(self.candidates(rest))
+        return materialize(components(links), "families")
 
     def full_sets(self, reps: DataFrame) -> DataFrame:
         """(rep, full): whole shingle sets of the given representatives, from another scan of the texts."""
@@ -316,28 +369,30 @@ class NearDuplicates:
         sets = passing.mapInArrow(lambda b: _full_sets(b, width), "rep long, full binary")
         return materialize(sets.join(reps, "rep", "left_semi"), "full-sets")
 
-    def confirm(self, pairs: DataFrame, sets: DataFrame) -> None:
-        """Keep the pairs whose full sets are similar enough as links; remember all as tested."""
-        joined = pairs.join(sets.withColumnsRenamed({"rep": "a", "full": "full_a"}), "a")
-        joined = joined.join(sets.withColumnsRenamed({"rep": "b", "full": "full_b"}), "b")
-        done = materialize(joined.select("a", "b", "full_a", "full_b").mapInArrow(_confirm, "a long, b long, linked boolean"), "confirmed")
-        linked, tested = done.where("linked").select("a", "b"), done.select("a", "b")
-        self.links = linked if self.links is None else self.links.unionByName(linked)
-        self.tested = tested if self.tested is None else self.tested.unionByName(tested)
+    def linked(self, rows: DataFrame, sets: DataFrame) -> DataFrame:
+        """True links, joined to few, over rows with family, block, guest, rep and component."""
+        members = rows.join(sets, "rep").select("family", "block", "guest", "rep", "component", "full")
+        dealt = members.repartition("family", "block").sortWithinPartitions("family", "block", "guest", "rep")
+        return materialize(dealt.mapInArrow(_link, "a long, b long").distinct(), "true-links")
+
+    def links(self) -> DataFrame:
+        families = self.families().select(F.col("node").alias("rep"), F.col("component").alias("family"))
+        sets = self.full_sets(families.select("rep"))
+        sizes = families.groupBy("family").agg(F.count(F.lit(1)).alias("members"))
+        members = materialize(families.join(sizes, "family"), "members")
+        blocks = F.ceil(F.col("members") / LIST).cast("int")
+        block = F.pmod(F.xxhash64("rep", F.lit(3)), blocks).cast("int")
+        first = members.withColumns({"component": F.col("rep"), "block": block, "guest": F.lit(False)})
+        links = self.linked(first, sets)
+        large = members.where(F.col("members") > LIST)
+        if large.isEmpty():
+            return links
+        # Within its block every member has met all others; what is apart there visits the other blocks.
+        apart = _labelled(large, components(links), "family")
+        return links.unionByName(self.linked(_with_guests(apart, "family", blocks, 3), sets))
 
     def run(self) -> DataFrame:
-        lists = self.lists()
-        pairs = self.compared(lists, None, 0)
-        hot_reps = lists.where("hot").select("rep")
-        reps = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).union(hot_reps).distinct()
-        sets = self.full_sets(materialize(reps, "candidates"))
-        self.confirm(pairs, sets)
-        for step in (1, 2):
-            labels = materialize(components(self.links), "labels")
-            pairs = self.compared(lists, labels, step)
-            if not pairs.isEmpty():
-                self.confirm(pairs, sets)
-        labels = components(self.links).withColumnsRenamed({"node": "rep"})
+        labels = components(self.links()).withColumnsRenamed({"node": "rep"})
         of_class = self.classes.select("same", "rep").join(labels, "rep", "left")
         of_class = of_class.select("same", F.coalesce("component", "rep").alias("component_id"))
         counted = F.when(F.col("n_shingles") > 0, F.col("same"))  # empty sets join nothing
