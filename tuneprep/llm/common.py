@@ -17,9 +17,13 @@ def held_out(doc_id: Column, folds: int = 5) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == 0, F.lit(True))
 
 
+# Small enough that the arrays made for a slice stay in tens of MB.
+APPEND_BYTES = 1 << 20
+
+
 def _append(batches: Iterator[pa.RecordBatch], text: str, compute: Callable, names: list[str]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for cut in slices(batch, text):
+        for cut in slices(batch, text, APPEND_BYTES):
             yield pa.RecordBatch.from_arrays([*cut.columns, *compute(cut)], [*cut.schema.names, *names])
 
 
@@ -32,7 +36,7 @@ def free_name(df: DataFrame, name: str) -> str:
 
 
 def append_columns(df: DataFrame, text: str, fields: list[T.StructField], compute: Callable) -> DataFrame:
-    """All columns of ``df`` and new ones that ``compute`` makes from each slice of rows, a few MB of text at a time."""
+    """All columns of ``df`` and new ones that ``compute`` makes from each slice of rows, about a MB of text at a time."""
     taken = {f.name for f in fields} & set(df.columns)
     if taken:
         raise ValueError(f"Columns {sorted(taken)} exist already.")

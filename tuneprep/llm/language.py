@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tuneprep.llm.common import append_columns, free_name
+from tuneprep.llm.common import APPEND_BYTES, append_columns, free_name
 from tuneprep.llm.words import LOWER, slices, text_bytes
 
 SIZE = 1 << 16
@@ -63,7 +63,7 @@ def trigrams(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarr
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     totals: dict[str, np.ndarray] = {}
     for batch in batches:
-        for cut in slices(batch, "text"):
+        for cut in slices(batch, "text", APPEND_BYTES):
             data, bounds = text_bytes(cut.column("text"))
             grams, starts, first = trigrams(data, bounds)
             at = np.append(starts, len(grams))[first]

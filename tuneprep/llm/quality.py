@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tuneprep.llm.common import append_columns, held_out
+from tuneprep.llm.common import APPEND_BYTES, append_columns, held_out
 from tuneprep.llm.words import find_words, hash_words, slices, text_bytes, windows
 
 BITS = 20
@@ -50,7 +50,7 @@ def ngrams(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for cut in slices(batch, "text"):
+        for cut in slices(batch, "text", APPEND_BYTES):
             place, first = ngrams(cut.column("text"))
             grams = [place[a:b].astype(np.int32).tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
             yield pa.RecordBatch.from_arrays(

@@ -29,7 +29,7 @@ from tuneprep.storage import materialize, scratch_path
 
 END_ID = 0
 SHARD_IDS = 64 << 20
-CACHED_PIECES = 500_000
+CACHED_PIECES = 400_000
 # Punctuation that the tokenizer never joins with letters before it.
 TAIL = '!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
 FOOTER = struct.Struct("<QQQQQqB7s")  # documents, ids, index offset, its two lengths, smallest doc_id, width, mark
@@ -238,6 +238,7 @@ class TokenShard:
 
 
 def _read_shards(batches: Iterator[pa.RecordBatch], chunk_ids: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    _encoders.clear()  # the shards are written: the worker gives their memory back
     for batch in batches:
         for path, base in zip(batch.column("path").to_pylist(), batch.column("base").to_pylist(), strict=True):
             with open_file(path) as source:
