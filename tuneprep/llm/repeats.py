@@ -308,14 +308,14 @@ def repeated_paths(manifest: DataFrame, width: int = WIDTH) -> DataFrame:
     found = dealt.groupBy("bucket").applyInPandas(_find, "chunk long, found binary")
     of_chunk = found.groupBy("chunk").agg(F.collect_list("found").alias("found"))
     paths = materialize(
-        places.join(of_chunk, "chunk", "left")
+        places.join(of_chunk.hint("merge"), "chunk", "left")  # large, though derived from a short table
         .repartition(chunks, "chunk")
         .mapInArrow(lambda b: _paths(b, width), PATH_SCHEMA),
         "paths",
     )
     # A source that many paths name is read by as many tasks as it has tens of thousands of them.
     load = paths.groupBy("source").agg(F.ceil(F.count(F.lit(1)) / PATHS).cast("int").alias("salts"))
-    sources = load.join(places.withColumnRenamed("chunk", "source"), "source")
+    sources = materialize(load.join(places.withColumnRenamed("chunk", "source"), "source"), "sources")
     salt = F.pmod(F.xxhash64("chunk", "row", "start"), F.col("salts")).cast("int")
     asked = paths.join(sources, "source").withColumn("salt", salt).drop("salts")
     asked = asked.repartition(chunks, "source", "salt").sortWithinPartitions("source")
@@ -330,7 +330,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     manifest = materialize(named.mapInArrow(lambda b: _write_chunks(b, out), MANIFEST), "chunk-manifest")
     spans = repeated_paths(manifest, width).groupBy("chunk").agg(F.collect_list(F.struct("row", "start", "words")).alias("paths"))
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string"
-    joined = manifest.select("chunk", "path").join(spans, "chunk", "left")
+    joined = manifest.select("chunk", "path").join(spans.hint("merge"), "chunk", "left")
     result = joined.repartition(max(1, manifest.count()), "chunk").mapInArrow(_remove, schema)
     unnamed = texts.where(F.col("doc_id").isNull()).mapInArrow(_unnamed, schema)
     return result.unionByName(unnamed)
