@@ -144,3 +144,24 @@ def test_matrix_cells_must_be_there_once(spark):
             scores_from_matrix(spark.createDataFrame(wrong, "r int, c int, v double"), "r", "c", "v").collect()
     whole = spark.createDataFrame([*cells, (1, 1, None)], "r int, c int, v double")
     assert sorted(tuple(r) for r in scores_from_matrix(whole, "r", "c", "v").collect()) == [(1.0, 2.0), (3.0, None)]
+
+
+def test_score_with(spark):
+    from tuneprep.operators.preference import score_with
+
+    pairs = spark.createDataFrame([(1, "abc", "a"), (2, None, "xy")], "k int, text_j string, text_k string")
+    scored = score_with(pairs, lambda texts: [float(len(t)) for t in texts])
+    assert scored.columns == ["k", "text_j", "text_k", "rewards_j", "rewards_k"]
+    assert sorted((r.k, r.rewards_j, r.rewards_k) for r in scored.collect()) == [(1, 3.0, 1.0), (2, 0.0, 2.0)]
+
+
+def test_a_fit_that_stops_early_fails(spark):
+    import random
+
+    import pytest
+
+    rng = random.Random(1)
+    rows = [([rng.gauss(1, 2), rng.gauss(0, 9)], [rng.gauss(0, 2), rng.gauss(0, 9)]) for _ in range(200)]
+    df = spark.createDataFrame(rows, "x_j array<double>, x_k array<double>")
+    with pytest.raises(RuntimeError, match="gradient"):
+        fit_preference(df, max_iter=1)

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from tuneprep import storage
 from tuneprep.operators.mapping import map_batches
-from tuneprep.sources import layout_path, read_split, read_stream, read_train_eval, split_path, write_prepared
+from tuneprep.sources import layout_path, read_arrow, read_split, read_stream, read_train_eval, split_path, write_prepared
 from tuneprep.storage import materialize, scratch_path, shared_dir
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -186,6 +187,18 @@ def encode_with(
     return df.withColumn(output, run(F.coalesce(F.col(text_col), F.lit(""))))
 
 
+def term_counts(size: int) -> Callable[[Column], Column]:
+    """A column function ids -> counts of the ids below ``size``, each by the root of the number of ids."""
+
+    @F.arrow_udf("array<double>")
+    def count(ids: pa.Array) -> pa.Array:
+        rows = [np.asarray(row.values if row.is_valid else [], np.int64) for row in ids]
+        counts = [np.bincount(row[row < size], minlength=size) / max(len(row), 1) ** 0.5 for row in rows]
+        return pa.array(counts, pa.list_(pa.float64()))
+
+    return count
+
+
 def attention_mask(ids: Column) -> Column:
     """All ones, as long as the ids."""
     return F.array_repeat(F.lit(1), F.size(ids))

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
@@ -13,6 +14,10 @@ from pyspark.sql import functions as F
 from tuneprep.operators.metrics import REWARD_J, REWARD_K, accuracy, logloss
 
 
+# The largest entry of the loss's gradient that counts as a minimum.
+GRADIENT_BOUND = 1e-4
+
+
 @dataclass(frozen=True)
 class PreferenceModel:
     """Weights of a scalar scorer, and the fitted model they come from."""
@@ -37,7 +42,8 @@ def fit_preference(
     """Fit weights w that minimise the mean of ``-log(sigmoid(w·x_j - w·x_k))``.
 
     That is a logistic regression without intercept on the differences. Every pair
-    is given both ways round, which doubles the loss and leaves its minimum in place.
+    is given both ways round, which doubles the loss and leaves its minimum in place. The
+    gradient at the weights found is checked; a fit that stopped elsewhere fails.
     """
     margin = F.zip_with(x_j, x_k, lambda j, k: j.cast("double") - k.cast("double"))
     both = F.array(
@@ -46,10 +52,41 @@ def fit_preference(
     )
     training = df.select(F.inline(both).alias("x", "label")).select(array_to_vector("x").alias("features"), "label")
     regression = LogisticRegression(
-        fitIntercept=False, standardization=False, regParam=reg_param, maxIter=max_iter, tol=1e-9
+        fitIntercept=False, standardization=False, regParam=reg_param, maxIter=max_iter, tol=1e-7
     )
     fitted = regression.fit(training)
-    return PreferenceModel(tuple(fitted.coefficients.toArray().tolist()), fitted)
+    weights = fitted.coefficients.toArray()
+    steepest = _gradient(df.select(margin.alias("x")), weights.tolist(), reg_param)
+    if steepest > GRADIENT_BOUND:
+        raise RuntimeError(f"The fit stopped at a gradient of {steepest:.2g}: raise max_iter or reg_param.")
+    return PreferenceModel(tuple(weights.tolist()), fitted)
+
+
+def _gradient(margins: DataFrame, weights: Sequence[float], reg_param: float) -> float:
+    """Largest entry of the regularised loss's gradient, by one aggregate."""
+    wrong = 1 / (1 + F.exp(score(F.col("x"), weights)))
+    means = margins.select("x", wrong.alias("p")).agg(*[F.avg(-F.col("p") * F.col("x")[i]) for i in range(len(weights))])
+    return max((abs((g or 0.0) + reg_param * w) for g, w in zip(means.first(), weights, strict=True)), default=0.0)
+
+
+def score_with(
+    df: DataFrame, fn: Callable[[list[str]], Sequence[float]], text_j: str = "text_j", text_k: str = "text_k"
+) -> DataFrame:
+    """Add the scores of both texts of every pair by a caller's own scorer.
+
+    ``fn`` must be picklable. It is called once per Arrow batch, with the texts of both
+    sides; NULL texts are empty.
+    """
+
+    @F.arrow_udf("struct<j:double,k:double>")
+    def run(j: pa.Array, k: pa.Array) -> pa.Array:
+        scores = list(fn([*j.to_pylist(), *k.to_pylist()]))
+        sides = [pa.array(s, pa.float64()) for s in (scores[: len(j)], scores[len(j) :])]
+        return pa.StructArray.from_arrays(sides, ["j", "k"])
+
+    texts = [F.coalesce(F.col(name), F.lit("")) for name in (text_j, text_k)]
+    scored = df.withColumn("_scores", run(*texts))
+    return scored.withColumns({REWARD_J: F.col("_scores.j"), REWARD_K: F.col("_scores.k")}).drop("_scores")
 
 
 def score(features: Column, weights: Sequence[float]) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tuneprep.operators.splits import exact_split
-from tuneprep.plans import ppo_prepare, rm_prepare, sft_prepare
+from tuneprep.plans import ppo_prepare, rm_evaluate, rm_prepare, sft_prepare
 from tuneprep.queries import sql
 from tuneprep.queries.registry import query
 from tuneprep.queries.texts import TEMPLATE
@@ -123,6 +123,14 @@ def prepared_for_rewards(spark, sf_dir):
     return both.select(*KEY, "batch_id", *[shown(name) for name in names], "return_loss")
 
 
+@query(name="rm_evaluate")
+def measured_preferences(spark, sf_dir):
+    """From pairs of texts to accuracy and loss on held-out pairs; tests compare with Newton's method."""
+    marked = exact_split(materialize(views.pairs(spark, sf_dir), "pairs"), VALID, SEED, KEY)
+    train, evaluation = (marked.where(F.col("split") == part).drop("split", "split_hash") for part in ("train", "test"))
+    return rm_evaluate(train, evaluation, chat_vocab(spark, sf_dir), features=50)[0]
+
+
 @query(
     f"""
 WITH {CHAT_VOCAB},

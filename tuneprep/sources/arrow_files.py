@@ -1,8 +1,9 @@
 """Arrow IPC files as a batch data source, in the file or the stream layout.
 
-A file in the file layout is read in parallel, a few record batches per task; one in
-the stream layout has no index and is one task's work. Paths go through pyarrow's
-file systems, so every executor must reach them.
+A file in the file layout is read in parallel, each task a share of its record batches;
+one in the stream layout has no index and is one task's work. Tasks are planned from
+file sizes; only tasks open files. Paths go through pyarrow's file systems, so every
+executor must reach them.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 NAME = "tuneprep_arrow"
-BATCHES_PER_TASK = 64
+TASK_BYTES = 128 << 20
 
 
 def _open(path: str):
@@ -30,50 +31,46 @@ def _open(path: str):
         return source, pa.ipc.open_stream(source)
 
 
-def _files(path: str) -> list[str]:
-    """The path itself, or the data files below it."""
+def _files(path: str) -> list[tuple[str, int]]:
+    """The path itself, or the data files below it, with their sizes."""
     system, inner = fs.FileSystem.from_uri(path) if ":" in path else (fs.LocalFileSystem(), path)
     prefix = path[: len(path) - len(inner)]
-    if system.get_file_info(inner).type != fs.FileType.Directory:
-        return [path]
+    info = system.get_file_info(inner)
+    if info.type != fs.FileType.Directory:
+        return [(path, info.size or 0)]
     found = system.get_file_info(fs.FileSelector(inner, recursive=True))
     hidden = ("_", ".")
-    return sorted(prefix + f.path for f in found if f.type == fs.FileType.File and not f.base_name.startswith(hidden))
+    return sorted(
+        (prefix + f.path, f.size) for f in found if f.type == fs.FileType.File and not f.base_name.startswith(hidden)
+    )
 
 
 @dataclass
 class Batches(InputPartition):
+    """Share ``part`` of ``parts`` of a file's record batches."""
+
     path: str
-    first: int
-    count: int | None
+    part: int
+    parts: int
 
 
 class ArrowReader(DataSourceReader):
-    def __init__(self, path: str, columns: list[str]):
-        self.path, self.columns = path, columns
+    def __init__(self, path: str, columns: list[str], task_bytes: int):
+        self.path, self.columns, self.task_bytes = path, columns, task_bytes
 
     def partitions(self) -> list[Batches]:
-        parts = []
-        for path in _files(self.path):
-            source, reader = _open(path)
-            with source:
-                batches = getattr(reader, "num_record_batches", None)
-            if batches is None:
-                parts.append(Batches(path, 0, None))
-            else:
-                parts += [
-                    Batches(path, first, min(BATCHES_PER_TASK, batches - first))
-                    for first in range(0, batches, BATCHES_PER_TASK)
-                ]
-        return parts
+        shares = [(path, max(1, -(-size // self.task_bytes))) for path, size in _files(self.path)]
+        return [Batches(path, part, parts) for path, parts in shares for part in range(parts)]
 
     def read(self, partition: Batches) -> Iterator[pa.RecordBatch]:
         source, reader = _open(partition.path)
         with source:
-            if partition.count is None:
-                batches = iter(reader)
+            count = getattr(reader, "num_record_batches", None)
+            if count is None:
+                batches = iter(reader if partition.part == 0 else ())
             else:
-                batches = (reader.get_batch(partition.first + i) for i in range(partition.count))
+                first, last = (count * k // partition.parts for k in (partition.part, partition.part + 1))
+                batches = (reader.get_batch(i) for i in range(first, last))
             for batch in batches:
                 yield batch.select(self.columns)
 
@@ -84,17 +81,20 @@ class ArrowFiles(DataSource):
         return NAME
 
     def reader(self, schema) -> ArrowReader:
-        return ArrowReader(self.options["path"], schema.names)
+        return ArrowReader(self.options["path"], schema.names, int(self.options["task_bytes"]))
+
 
+def read_arrow(spark: SparkSession, path: str, schema=None, task_bytes: int = TASK_BYTES) -> DataFrame:
+    """The Arrow files at ``path``; without ``schema`` the first file's schema is taken.
 
-def read_arrow(spark: SparkSession, path: str, schema=None) -> DataFrame:
-    """The Arrow files at ``path``; without ``schema`` the first file's schema is taken."""
+    A file is cut into as many tasks as it has ``task_bytes``.
+    """
     if schema is None:
         first = next(iter(_files(path)), None)
         if first is None:
             raise ValueError(f"No Arrow files at {path}.")
-        source, reader = _open(first)
+        source, reader = _open(first[0])
         with source:
             schema = spark.createDataFrame(reader.schema.empty_table()).schema
     spark.dataSource.register(ArrowFiles)
-    return spark.read.format(NAME).schema(schema).load(path)
+    return spark.read.format(NAME).schema(schema).option("task_bytes", task_bytes).load(path)
