@@ -94,8 +94,10 @@ def test_arrow_files(spark, tmp_path, layout):
     (tmp_path / "train" / "_state.json").write_text("{}")
     df = read_split(spark, str(tmp_path), "train", fmt="arrow")
     assert df.columns == ["id", "prompt", "messages"]
-    # 100 batches a file, 64 a task where the layout has an index.
-    assert df.rdd.getNumPartitions() == (4 if layout == "file" else 2)
+    assert df.rdd.getNumPartitions() == 2  # two small files
+    cut = read_arrow(spark, f"{tmp_path}/train", task_bytes=5_000)
+    assert cut.rdd.getNumPartitions() > 4
+    assert ids(cut) == list(range(1000))
     rows = {r.id: r for r in df.collect()}
     assert len(rows) == 1000 and rows[7].prompt is None and rows[8].prompt == "p8"
     assert rows[999].messages[0].content == "m999"
