@@ -3,7 +3,6 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tuneprep.operators import batching
 from tuneprep.operators.batching import assign_batches, collate_pairs, pack_wrapped
 
 SCHEMA = "g string, k int, input_ids array<int>"
@@ -68,9 +67,7 @@ def test_batches(spark, rows, drop, kept):
     assert {(r.id, r.batch_id) for r in given.collect()} == {(i, i // 4) for i in range(kept)}
 
 
-@pytest.mark.parametrize("groups_to_broadcast", [100, 1])
-def test_batches_of_given_positions_by_group(spark, monkeypatch, groups_to_broadcast):
-    monkeypatch.setattr(batching, "BROADCAST_GROUPS", groups_to_broadcast)
+def test_batches_of_given_positions_by_group(spark):
     data = [("a", i) for i in range(11)] + [("b", i) for i in range(8)] + [("c", 0)]
     df = spark.createDataFrame(data, "g string, block_id long")
     out = assign_batches(df, 4, position="block_id", group_by=["g"], drop_last=True)
