@@ -65,6 +65,20 @@ def test_near_duplicates(spark, monkeypatch, width, longest, hot):
     assert sorted(rows_of(got, "doc_id", "n_shingles", "component_id", "kept")) == brute_components(rows, width)
 
 
+@pytest.mark.parametrize("width", [4, 5])
+def test_short_texts_in_long_lists(spark, width):
+    """Sets of four and five share four values, fewer than ``HOT_KEYS``, all of them in lists longer than ``LIST``."""
+    base = prose(600, width + 3)
+    rows = [(1, base)] + [(10 + i, f"{base} tail{i}") for i in range(300)]  # 4 of 5
+    rows += [(1000 + i, " ".join(f"{base} tail{i}".split()[1:])) for i in range(5)]  # sets of four, of which 4 of 5 too
+    rows += [(2000 + i, " ".join(base.split()[: width + 2]) + f" end{i}") for i in range(5)]  # 3 of 5: no link
+    rows += [(3000 + i, " ".join(base.split()[:width]) + f" two{i}") for i in range(5)]  # sets of two
+    got = near_duplicates(frame(spark, rows).repartition(5), width)
+    expected = brute_components(rows, width)
+    assert sum(r[2] == 1 for r in expected) == 306
+    assert sorted(rows_of(got, "doc_id", "n_shingles", "component_id", "kept")) == expected
+
+
 def test_near_duplicate_cases(spark):
     long = prose(1, 40_000)
     rows = [(1, long), (2, long + " tail"), (3, prose(9, 50)), (3, prose(9, 50)), (None, long), (None, None)]

@@ -9,7 +9,8 @@ Nothing is capped. Lists of up to ``LIST`` members are compared whole, in one ta
 the mark of a common passage, and a similar pair nearly always shares shorter lists too: of
 ``KEYS`` values two documents of similarity 0.8 share 12.8 on average, and fewer than ``HOT_KEYS``
 with probability 4e-6. So only documents with ``HOT_KEYS`` or more values in long lists meet
-there, in random blocks, and then members that are still apart from their list's main
+there, in random blocks; sets of five or fewer from as many values on as a partner must share, as they
+have no more to share. Then members that are still apart from their list's main
 family are compared with all of the list, block by block. A pair of similarity 0.8 or more
 shares no value at all with probability 0.2 ** KEYS, and its estimate falls below ``ESTIMATE`` with
 probability about 1e-6.
@@ -322,16 +323,19 @@ class NearDuplicates:
 
     def lists(self) -> DataFrame:
         """(value, rep, members, hot) of all lists with several members that can give a pair."""
-        keys = self.classes.select("rep", F.explode("keys").alias("value"))
+        # Two different sets share at most n of n + 1 values, so the smallest sets have no partner.
+        paired = self.classes.where(f"n_shingles * {SIMILARITY[1] - SIMILARITY[0]} >= {SIMILARITY[0]}")
+        least = F.expr(f"least({HOT_KEYS}, ({SIMILARITY[0]} * n_shingles + {SIMILARITY[1] - 1}) div {SIMILARITY[1]})")
+        keys = paired.select("rep", least.alias("least"), F.explode("keys").alias("value"))
         counts = keys.groupBy("value").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
         shared = materialize(
             keys.join(counts, "value").withColumn("hot", F.col("members") > LIST), "shared-values"
         )
-        hot_reps = shared.where("hot").groupBy("rep").count().where(f"count >= {HOT_KEYS}").select("rep")
+        hot_reps = shared.where("hot").groupBy("rep", "least").count().where("count >= least").select("rep")
         hot = shared.where("hot").join(hot_reps, "rep", "left_semi").select("value", "rep")
         hot_counts = hot.groupBy("value").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
         hot = hot.join(hot_counts, "value").withColumn("hot", F.lit(True))
-        return materialize(shared.where("not hot").unionByName(hot), "lists")
+        return materialize(shared.where("not hot").drop("least").unionByName(hot), "lists")
 
     def candidates(self, rows: DataFrame) -> DataFrame:
         """Links of maybe similar pairs over rows with value, block, guest, rep and component."""
