@@ -17,7 +17,7 @@ from helpers import frame, prose, rows_of
 
 from tuneprep.llm import chat_tree, mixing, neighbours, ranges, warc
 from tuneprep.llm.files import open_file
-from tuneprep.llm.queries import PROBE, TOKENIZER
+from tuneprep.llm.queries import MIXTURE, PROBE, THIN, TOKENIZER
 
 PAGES = "page_id long, url string, html string"
 
@@ -237,3 +237,30 @@ def test_mixture_without_labels_or_rows(spark):
     assert {r["rate"] for r in table.collect()} == {1.0}
     assert mixing.mix(docs.limit(0), labels, {"red": 1.0}).count() == 0
     assert mixing.document_rates(docs.limit(0), labels, {"red": 1.0})[0].where(F.col("rate") != 1).count() == 0
+
+
+@pytest.mark.parametrize("apart", [1, 2, 5])
+def test_mixture_reaches_production_targets(spark, apart):
+    rng = np.random.default_rng(apart)
+    margin = rng.normal(0, 1, (4000, 3))
+    margin[np.arange(4000), rng.choice(3, 4000, p=[0.75, 0.15, 0.1])] += apart
+    score = 1 / (1 + np.exp(-1.5 * (margin - apart / 2)))
+    domains = score / score.sum(axis=1, keepdims=True)
+    tokens = rng.lognormal(5, 1, 4000).astype(int) + 1
+    rows = [(int(t), p.tolist()) for t, p in zip(tokens, domains, strict=True)]
+    table = spark.createDataFrame(rows, "tokens long, domains array<double>").repartition(4).cache()
+    mixture = mixing.fit_rates(table, ["good", "plain", "toxic"], MIXTURE, THIN)
+    got = mixing.add_rates(table, mixture).collect()
+    rate = np.array([r["rate"] for r in got])
+    totals = (np.array([r["tokens"] for r in got]) * rate) @ np.array([r["domains"] for r in got])
+    assert (rate >= 0).all() and mixture.met
+    assert np.allclose(totals, mixture.target, atol=2e-5 * tokens.sum())
+    assert np.allclose(totals / totals.sum(), [0.85, 0.13, 0.02], atol=1e-4)
+
+
+def test_mixture_says_when_targets_are_out_of_reach(spark):
+    rows = [(100 + i, [0.6 - 0.001 * i, 0.2 + 0.001 * i, 0.2]) for i in range(200)]
+    table = spark.createDataFrame(rows, "tokens long, domains array<double>").cache()
+    with pytest.warns(UserWarning, match="target weights not reached"):
+        mixture = mixing.fit_rates(table, ["good", "plain", "toxic"], MIXTURE, THIN)
+    assert not mixture.met

@@ -4,10 +4,16 @@ A classifier learned from a labelled table gives every document a probability fo
 domain. Rates (how often a document is used, 0 or more) are then fitted so that the
 expected tokens of every domain, ``sum(rate * tokens * probability)``, match the targets:
 least squares by accelerated projected gradient. An iteration is one distributed pass over
-(tokens, probabilities) that sends back one number per domain and task. A document's rate
+(tokens, probabilities) that sends back a few numbers per pair of domains and task. A document's rate
 follows from its probabilities and the residuals of all passes, so rates are never stored
 between passes nor gathered.
 
+Steps are scaled by the measured matrix of ``sum(tokens * probability * probability)``. After ``PASSES``
+accelerated passes the momentum stops and the matrix is measured anew in each pass, over the documents
+still used, until every total is within ``TOLERANCE`` of all tokens. Targets that no rates reach, as of a
+domain of which every document holds more than its target share, leave the nearest totals of the accelerated passes
+(later ones only drive a few rates up), with a warning that names them.
+
 Defined cases: a NULL or empty text has no tokens, so its rate moves no total; its
 probabilities are those of a text without features. Rows are rated one by one, repeated rows
 alike. Labels that are NULL do not count; of several labels of one doc_id the smallest name
@@ -16,7 +22,8 @@ counts. An empty table gives an empty result; without labels all rates are 1.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import warnings
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,8 +39,10 @@ from tuneprep.llm.words import find_words, text_bytes
 from tuneprep.storage import materialize
 
 SAMPLE_ROWS = 12_000
-PASSES = 60
+PASSES = 30
 TOLERANCE = 1e-5
+HALVINGS = 20
+MOST_PASSES = 150
 FIELDS = [T.StructField("tokens", T.LongType()), T.StructField("domains", T.ArrayType(T.DoubleType()))]
 
 
@@ -112,14 +121,18 @@ def add_domains(docs: DataFrame, model: DomainModel) -> DataFrame:
     return append_columns(docs, "text", FIELDS, compute)
 
 
-def rates(domains: np.ndarray, history: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rates after the passes whose residuals are given, and the point where the next gradient is taken."""
+def rates(domains: np.ndarray, history: np.ndarray, accelerated: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Rates after the passes whose residuals are given, and the point where the next gradient is taken.
+
+    Momentum counts in the first ``accelerated`` passes, or in all of them.
+    """
     rate = np.ones(len(domains))
     ahead, speed = rate, 1.0
-    for residual in history:
+    for done, residual in enumerate(history, 1):
         moved = np.maximum(0.0, ahead - domains @ residual)
         faster = (1 + np.sqrt(1 + 4 * speed * speed)) / 2
-        ahead = moved + (speed - 1) / faster * (moved - rate)
+        keep = accelerated is None or done < accelerated
+        ahead = moved + (speed - 1) / faster * (moved - rate) if keep else moved
         rate, speed = moved, faster
     return rate, ahead
 
@@ -133,18 +146,21 @@ def _sums(batches: Iterator[pa.RecordBatch], history: np.ndarray) -> Iterator[pa
     for batch in batches:
         if batch.num_rows:
             tokens, domains = batch.column("tokens").to_numpy(), _matrix(batch.column("domains"))
-            fitted, ahead = rates(domains, history)
+            fitted, ahead = rates(domains, history, PASSES)
             part = np.stack([(tokens * r) @ domains for r in (np.ones(len(tokens)), fitted, ahead)])
+            used = fitted > 0
+            part = np.vstack([part, (domains[used] * tokens[used, None]).T @ domains[used]])
             total = part if total is None else total + part
     if total is not None:
         yield pa.RecordBatch.from_arrays([_lists(total.reshape(1, -1))], ["sums"])
 
 
 def _totals(table: DataFrame, history: np.ndarray, domains: int) -> np.ndarray:
-    """Domain totals over all documents: at rate 1, at the fitted rates, at the next gradient's point."""
+    """Domain totals over all documents: at rate 1, at the fitted rates, at the next gradient's point; below, a row
+    per domain, the sums of tokens * probability * probability over documents with a rate above 0."""
     parts = table.select("tokens", "domains").mapInArrow(lambda b: _sums(b, history), "sums array<double>")
-    columns = [F.sum(F.col("sums")[i]) for i in range(3 * domains)]
-    return np.array([x or 0.0 for x in parts.agg(*columns).first()]).reshape(3, domains)
+    columns = [F.sum(F.col("sums")[i]) for i in range((3 + domains) * domains)]
+    return np.array([x or 0.0 for x in parts.agg(*columns).first()]).reshape(3 + domains, domains)
 
 
 @dataclass
@@ -157,6 +173,11 @@ class Mixture:
     target: np.ndarray
     reached: np.ndarray
 
+    @property
+    def met(self) -> bool:
+        """Whether every total is within ``TOLERANCE`` of all tokens."""
+        return bool((np.abs(self.reached - self.target) <= TOLERANCE * self.natural.sum()).all())
+
 
 def fit_rates(table: DataFrame, names: list[str], weights: dict[str, float], thin: tuple[str, ...] = ()) -> Mixture:
     """Fit rates to target weights over a table of ``tokens`` and ``domains``.
@@ -165,7 +186,8 @@ def fit_rates(table: DataFrame, names: list[str], weights: dict[str, float], thi
     in ``thin``, which may be used less than once.
     """
     d = len(names)
-    natural = _totals(table, np.zeros((0, d)), d)[0] if d else np.zeros(0)
+    first = _totals(table, np.zeros((0, d)), d) if d else np.zeros((3, 0))
+    natural = first[0]
     whole = natural.sum()
     if not d or not whole:
         return Mixture(names, np.zeros((0, d)), natural, natural, natural)
@@ -173,21 +195,48 @@ def fit_rates(table: DataFrame, names: list[str], weights: dict[str, float], thi
     share = share / share.sum()
     full = [i for i, name in enumerate(names) if name not in thin and share[i] > 0]
     target = share * max(natural[i] / share[i] for i in full)
-    # Errors count relative to a domain's natural share, so rare domains converge as fast; 1/d bounds the step.
-    scale = whole / np.maximum(natural, TOLERANCE * whole) / d
-    history, reached, point = np.zeros((0, d)), natural, natural
-    for _ in range(PASSES):
-        if np.abs(reached - target).max() <= TOLERANCE * whole:
+    fitted = _fit(lambda history: _totals(table, history, d)[1:], first[1:], target, whole)
+    mixture = Mixture(names, fitted[0], natural, target, fitted[1])
+    if not mixture.met:
+        shares = (f"{n} {r / whole:.5f} of {t / whole:.5f}" for n, r, t in zip(names, mixture.reached, target, strict=True))
+        warnings.warn(f"target weights not reached after {len(fitted[0])} passes, in all tokens: {', '.join(shares)}", stacklevel=2)
+    return mixture
+
+
+def _fit(
+    measure: Callable[[np.ndarray], np.ndarray], sums: np.ndarray, target: np.ndarray, whole: float
+) -> tuple[np.ndarray, np.ndarray]:
+    """Residuals of all passes and the totals they reach; ``measure`` gives a history's totals and matrix."""
+    history, best = np.zeros((0, len(target))), (np.inf, np.zeros((0, len(target))), sums[0])
+    scale = np.linalg.pinv(sums[2:], rcond=TOLERANCE**2, hermitian=True)  # bounds the step by 1 while it covers all documents
+    halved = 0
+    for _ in range(MOST_PASSES):
+        error = np.abs(sums[0] - target).max()
+        if error < best[0] and (len(history) <= PASSES or error <= TOLERANCE * whole):
+            best = error, history, sums[0]
+        if error <= TOLERANCE * whole or halved > HALVINGS:
             break
-        history = np.vstack([history, scale * (point - target) / whole])
-        _, reached, point = _totals(table, history, d)
-    return Mixture(names, history, natural, target, reached)
+        if len(history) < PASSES:
+            history = np.vstack([history, scale @ (sums[1] - target)])
+            sums = measure(history)
+            continue
+        if not halved:
+            residual = sums[0] - target
+            scale = np.linalg.pinv(sums[2:], rcond=TOLERANCE**2, hermitian=True)
+        tried = np.vstack([history, scale @ residual / 2**halved])
+        after = measure(tried)
+        left = after[0] - target
+        if left @ scale @ left < residual @ scale @ residual:
+            history, sums, halved = tried, after, 0
+        else:
+            halved += 1
+    return best[1:]
 
 
 def _rate(batches: Iterator[pa.RecordBatch], history: np.ndarray) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows:
-            rate = rates(_matrix(batch.column("domains")), history)[0]
+            rate = rates(_matrix(batch.column("domains")), history, PASSES)[0]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rate)], [*batch.schema.names, "rate"])
 
 
@@ -218,7 +267,7 @@ def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float], thin: tup
 
     def rated(batch: pa.RecordBatch) -> list[pa.Array]:
         model_weights, history = shared.value
-        return [pa.array(rates(_posteriors(batch.column("text"), model_weights)[1], history)[0])]
+        return [pa.array(rates(_posteriors(batch.column("text"), model_weights)[1], history, PASSES)[0])]
 
     rate = free_name(docs, "rate")
     copy = free_name(docs, "copy")
