@@ -13,6 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tuneprep.llm import bpe
 from tuneprep.llm.chat_tree import build_tree, read_tree
 from tuneprep.llm.common import held_out
 from tuneprep.llm.decontaminate import contaminated
@@ -121,3 +122,9 @@ def op3_near_duplicates(spark, sf_dir):
 @query
 def op9_repeats(spark, sf_dir):
     return remove_repeats(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_bpe_chunks(spark, sf_dir):
+    rule = bpe.rules(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return bpe.digests(table(spark, sf_dir, "documents"), rule)
