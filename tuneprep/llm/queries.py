@@ -23,6 +23,7 @@ from tuneprep.llm.near_dedup import near_duplicates
 from tuneprep.llm.neighbours import search
 from tuneprep.llm.quality import learn_quality, score_quality
 from tuneprep.llm.repeats import remove_repeats
+from tuneprep.llm.resampling import resample
 from tuneprep.llm.token_ids import tokenized
 from tuneprep.llm.warc import archived
 
@@ -128,3 +129,8 @@ def op9_repeats(spark, sf_dir):
 def op11_bpe_chunks(spark, sf_dir):
     rule = bpe.rules(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
     return bpe.digests(table(spark, sf_dir, "documents"), rule)
+
+
+@query
+def op13_importance_resampling(spark, sf_dir):
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
