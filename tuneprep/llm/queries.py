@@ -146,10 +146,10 @@ def op12_hard_negatives(spark, sf_dir):
 SQL["op12_hard_negatives"] = """
 WITH numbered AS (
     SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
-        list_transform(embedding, x -> floor(256 * CAST(x AS DOUBLE))) AS v
+        list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
     FROM embeddings
     WHERE label IS NOT NULL AND embedding IS NOT NULL
-        AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ),
 scored AS (
     SELECT a.vec_id AS anchor_id, r.vec_id, a.label = r.label AS same, CAST(list_inner_product(a.v, r.v) AS BIGINT) AS score
@@ -164,6 +164,60 @@ SELECT p.anchor_id, p.positive_id, CAST(row_number() OVER best AS INTEGER) AS ra
     s.vec_id AS negative_id, p.positive_score, s.score AS negative_score
 FROM positives p JOIN scored s ON s.anchor_id = p.anchor_id AND NOT s.same
     AND 80 * p.positive_score <= 100 * s.score AND s.score <= p.positive_score
-QUALIFY row_number() OVER best <= 5
 WINDOW best AS (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.vec_id)
+QUALIFY row_number() OVER best <= 5
+"""
+
+
+# CRC-32 byte by byte, over the bytes of the feature's hexadecimal form.
+SQL["op13_importance_resampling"] = r"""
+WITH texts AS (
+    SELECT row_number() OVER () AS r, doc_id, true AS corpus, text FROM documents
+    UNION ALL SELECT NULL, NULL, false, text FROM benchmark
+),
+words AS (
+    SELECT * EXCLUDE (text), regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+    FROM texts
+),
+features AS (
+    SELECT r, corpus, unnest(list_concat(w,
+        list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]),
+        list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS feature
+    FROM words
+),
+counted AS (SELECT feature, r, corpus, count(*) AS n FROM features GROUP BY ALL),
+steps AS (
+    SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) ORDER BY i) AS t
+    FROM range(256) x(i)
+),
+spelled AS (SELECT feature, hex(encode(feature)) AS h FROM (SELECT DISTINCT feature FROM counted)),
+bucketed AS (
+    SELECT feature, xor(4294967295, list_reduce(
+        list_transform(range(0, len(h) // 2), lambda i: CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT)),
+        lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)]), 4294967295)) % 10000 AS bucket
+    FROM spelled, steps
+),
+totals AS (
+    SELECT bucket, coalesce(sum(n) FILTER (corpus), 0) AS s, coalesce(sum(n) FILTER (NOT corpus), 0) AS t
+    FROM counted JOIN bucketed USING (feature) GROUP BY bucket
+),
+gains AS (
+    SELECT bucket, CAST(floor(1000 * ln((t + 1.0::DOUBLE) * (sum(s) OVER () + 10000) / ((s + 1.0::DOUBLE) * (sum(t) OVER () + 10000)))) AS BIGINT) AS gain
+    FROM totals
+),
+weights AS (
+    SELECT r, CAST(sum(n * gain) AS BIGINT) AS weight, CAST(sum(n) AS BIGINT) AS n_features
+    FROM counted JOIN bucketed USING (feature) JOIN gains USING (bucket) WHERE corpus GROUP BY r
+),
+scored AS (
+    SELECT doc_id, len(w) >= 20 AS able, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+        coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('42:' || doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score
+    FROM words LEFT JOIN weights USING (r) WHERE corpus
+),
+placed AS (
+    SELECT *, row_number() OVER (PARTITION BY able ORDER BY score DESC, doc_id) AS place, count(*) FILTER (able) OVER () AS all_able FROM scored
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN able AND place <= 5 * all_able // 100 THEN place END AS rank FROM placed
 """
