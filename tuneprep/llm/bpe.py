@@ -17,6 +17,9 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
+import unicodedata
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
@@ -30,7 +33,7 @@ from pyspark.sql.window import Window
 from tuneprep.llm.words import slices
 from tuneprep.storage import materialize
 
-CHUNK, OVERLAP = 16_384, 512  # characters
+CHUNK, OVERLAP = 32_768, 512  # characters
 PROBES = (r"\p{L}", r"\p{N}", r"\s")  # classes that regular expression engines may know differently
 CACHED_PIECES = 300_000
 SLICE_BYTES = 1 << 20
@@ -40,7 +43,8 @@ DIGESTS = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 @dataclass(frozen=True)
 class Rules:
-    """How to cut texts: a pattern, the same with all classes spelled out, and the characters for which they differ.
+    """How to cut texts: a pattern, the same with all classes spelled out, the characters for which they
+    differ, and the spelled form for texts in Latin-1 only, which the standard library matches faster.
 
     ``reach`` is how many characters past its end can decide a match.
     """
@@ -49,6 +53,7 @@ class Rules:
     pattern: str
     exact: str
     differing: str
+    latin: str
     reach: int = 3
 
 
@@ -59,6 +64,30 @@ def _ranges(points: np.ndarray) -> str:
     return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(firsts, lasts, strict=True))
 
 
+def _spelled(pattern: str, classes: dict[str, str]) -> str:
+    """The pattern with its named classes as ranges, inside and outside of sets."""
+    out, inside, at = "", False, 0
+    while at < len(pattern):
+        name = next((name for name in classes if pattern.startswith(name, at)), None)
+        if name is not None:
+            out, step = out + (classes[name] if inside else f"[{classes[name]}]"), len(name)
+        elif pattern.startswith(r"\S", at) and not inside:
+            out, step = out + f"[^{classes[PROBES[-1]]}]", 2
+        else:
+            step = 2 if pattern[at] == "\\" else 1
+            out += pattern[at : at + step]
+            inside = pattern[at] == "[" or (inside and pattern[at] != "]")
+        at += step
+    return out
+
+
+def latin_pattern(pattern: str) -> str:
+    """The pattern for texts of Latin-1 characters only, whose classes don't change between versions of Unicode."""
+    named = {r"\p{L}": "L", r"\p{N}": "N"}
+    classes = {name: _ranges(np.array([c for c in range(256) if unicodedata.category(chr(c))[0] == kind])) for name, kind in named.items()}
+    return _spelled(pattern, classes | {r"\s": r"\t-\r \x85\xa0"})
+
+
 def rules(ranks: str, pattern: str) -> Rules:
     """Compare Python's character classes with those of the tokenizer library over all characters."""
     import regex
@@ -71,17 +100,25 @@ def rules(ranks: str, pattern: str) -> Rules:
     def matched(found: str) -> np.ndarray:
         return np.frombuffer(found.encode("utf-32-le"), "<u4").astype(np.int64)
 
-    exact, differing = pattern, [np.zeros(0, np.int64)]
+    theirs = {}
     for name in PROBES:
-        if name in pattern:
-            library = tiktoken.Encoding("class", pat_str=name, mergeable_ranks=single, special_tokens={})
-            theirs = matched(library.decode(library.encode_ordinary(text)))
-            ours = matched("".join(regex.findall(name, text)))
-            differing.append(np.setxor1d(theirs, ours))
-            spelled = f"[{_ranges(theirs)}]"
-            exact = exact.replace(name, spelled).replace(name.upper() if len(name) == 2 else name, f"[^{_ranges(theirs)}]")
-    odd = np.unique(np.concatenate(differing))
-    return Rules(ranks, pattern, exact, f"[{_ranges(odd)}]" if len(odd) else "")
+        library = tiktoken.Encoding("class", pat_str=name, mergeable_ranks=single, special_tokens={})
+        theirs[name] = matched(library.decode(library.encode_ordinary(text)))
+    odd = np.unique(np.concatenate([np.setxor1d(theirs[name], matched("".join(regex.findall(name, text)))) for name in PROBES]))
+    every = {name: _ranges(found) for name, found in theirs.items()}
+    return Rules(ranks, pattern, _spelled(pattern, every), f"[{_ranges(odd)}]" if len(odd) else "", latin_pattern(pattern))
+
+
+class Known(dict):
+    """Ids of pieces met before; others are encoded when asked for."""
+
+    def __init__(self, own: Codec):
+        self.own = own
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = array("i", self.own.library.encode_ordinary(piece)).tobytes()
+        self[piece] = ids
+        return ids
 
 
 class Codec:
@@ -93,14 +130,15 @@ class Codec:
         with open(rule.ranks, "rb") as lines:
             self.ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
         self.find = regex.compile(rule.pattern).findall
-        self.find_exact = regex.compile(rule.exact, regex.V1).findall  # sets inside sets
+        self.find_latin = re.compile(rule.latin).findall
+        self.find_exact = regex.compile(rule.exact).findall
         self.differs = regex.compile(rule.differing).search if rule.differing else lambda text: None
         self.reach = rule.reach
         self.tokens = [b""] * (max(self.ranks.values()) + 1)
         for token, rank in self.ranks.items():
             self.tokens[rank] = token
         self.names = [str(i) for i in range(len(self.tokens))]
-        self.known: dict[str, bytes] = {}
+        self.known = Known(self)
 
     @cached_property
     def library(self):
@@ -110,18 +148,16 @@ class Codec:
         return tiktoken.Encoding("pieces", pat_str=r"(?s:.+)", mergeable_ranks=self.ranks, special_tokens={})
 
     def pieces(self, text: str) -> list[str]:
-        if text.isascii() or not self.differs(text):
-            return self.find(text)
-        return self.find_exact(text)
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return self.find_exact(text) if self.differs(text) else self.find(text)
+        return self.find_latin(text)
 
     def encode(self, pieces: list[list[str]]) -> list[bytes]:
-        """Ids of each list of pieces, as little-endian 32-bit integers; a new piece is encoded once."""
-        new = set().union(*pieces).difference(self.known)
-        if len(self.known) + len(new) > CACHED_PIECES:
+        """Ids of each list of pieces, as little-endian 32-bit integers; a piece is encoded when it is first met."""
+        if len(self.known) > CACHED_PIECES:
             self.known.clear()
-            new = set().union(*pieces)
-        encode = self.library.encode_ordinary
-        self.known.update((piece, np.array(encode(piece), "<i4").tobytes()) for piece in new)
         known = self.known.__getitem__
         return [b"".join(map(known, row)) for row in pieces]
 
@@ -147,6 +183,13 @@ def _id_lists(rows: list[bytes]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(rows), "<i4")))
 
 
+def _id_rows(batch: pa.RecordBatch) -> Iterator[list[int]]:
+    column = batch.column("ids")
+    ids, ends = column.flatten().to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+    for a, b in zip((ends[:-1] - ends[0]).tolist(), (ends[1:] - ends[0]).tolist(), strict=True):
+        yield ids[a:b].tolist()
+
+
 def _encode_short(batches: Iterator[pa.RecordBatch], rule: Rules) -> Iterator[pa.RecordBatch]:
     own = codec(rule)
     for batch in batches:
@@ -161,10 +204,13 @@ def _named(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
 
+def _short(docs: DataFrame, chunk: int) -> DataFrame:
+    return _named(docs).where(F.coalesce(F.length("text"), F.lit(0)) <= chunk)
+
+
 def encode_short(docs: DataFrame, rule: Rules, chunk: int = CHUNK) -> DataFrame:
     """(doc_id, part, ids) of the texts that are one chunk; nothing is shuffled."""
-    short = _named(docs).where(F.coalesce(F.length("text"), F.lit(0)) <= chunk)
-    return short.mapInArrow(lambda batches: _encode_short(batches, rule), PARTS)
+    return _short(docs, chunk).mapInArrow(lambda batches: _encode_short(batches, rule), PARTS)
 
 
 def _cut(batches: Iterator[pa.RecordBatch], chunk: int, overlap: int) -> Iterator[pa.RecordBatch]:
@@ -318,7 +364,7 @@ def encode(docs: DataFrame, rule: Rules, chunk: int = CHUNK, overlap: int = OVER
 def _decode(batches: Iterator[pa.RecordBatch], rule: Rules) -> Iterator[pa.RecordBatch]:
     own = codec(rule)
     for batch in batches:
-        raw = [own.decode(row.as_py()) for row in batch.column("ids")]
+        raw = [own.decode(ids) for ids in _id_rows(batch)]
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(raw, pa.binary())], [*batch.schema.names, "bytes"])
 
 
@@ -338,16 +384,14 @@ def _digest_rows(batches: Iterator[pa.RecordBatch], rule: Rules, name: str) -> I
     if name == "doc_id":
         for batch in batches:
             counts, texts, raws = [], [], []
-            for ids in batch.column("ids"):
-                ids = ids.values.to_pylist()
+            for ids in _id_rows(batch):
                 counts.append(len(ids))
                 texts.append(hashlib.sha256(own.decimals(ids).encode()).hexdigest())
                 raws.append(hashlib.sha256(own.decode(ids)).hexdigest())
             yield row(batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(texts, pa.string()), pa.array(raws, pa.string()))
         return
     for batch in batches:
-        for key, ids in zip(batch.column(name).to_pylist(), batch.column("ids"), strict=True):
-            ids = ids.values.to_pylist()
+        for key, ids in zip(batch.column(name).to_pylist(), _id_rows(batch), strict=True):
             if key != current:
                 if current is not None:
                     yield row(pa.array([current], pa.binary()), [total], [of_ids.hexdigest()], [of_bytes.hexdigest()])
@@ -365,7 +409,8 @@ def digests(docs: DataFrame, rule: Rules, chunk: int = CHUNK, overlap: int = OVE
 
     A long text's parts go by in order through one task, which keeps a running digest.
     """
-    short = encode_short(docs, rule, chunk).mapInArrow(lambda b: _digest_rows(b, rule, "doc_id"), f"doc_id long, {DIGESTS}")
+    # One worker encodes and digests: the ids need not pass through the JVM between.
+    short = _short(docs, chunk).mapInArrow(lambda b: _digest_rows(_encode_short(b, rule), rule, "doc_id"), f"doc_id long, {DIGESTS}")
     parts = encode_long(docs, rule, chunk, overlap).repartition("key").sortWithinPartitions("key", "part")
     long = parts.mapInArrow(lambda b: _digest_rows(b, rule, "key"), f"key binary, {DIGESTS}")
     return short.unionByName(for_rows(long, docs, chunk))
