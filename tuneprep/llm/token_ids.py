@@ -12,17 +12,20 @@ once by the one task that encodes it.
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tuneprep.llm import elias_fano
+from tuneprep.llm.bpe import latin_pattern
 from tuneprep.llm.files import new_file, open_file
 from tuneprep.llm.words import slices
 from tuneprep.storage import materialize, scratch_path
@@ -30,21 +33,34 @@ from tuneprep.storage import materialize, scratch_path
 END_ID = 0
 SHARD_IDS = 64 << 20
 CACHED_PIECES = 400_000
-# Punctuation that the tokenizer never joins with letters before it.
-TAIL = '!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
 FOOTER = struct.Struct("<QQQQQqB7s")  # documents, ids, index offset, its two lengths, smallest doc_id, width, mark
 MARK = b"EFTOK01"
 MANIFEST = "part int, file int, path string, docs long, ids long"
 
 
+class Pieces(dict):
+    """Ids of pieces met before; others go through the tokenizer's merges when asked for."""
+
+    def __init__(self, own: Encoder):
+        from tokenizers import pre_tokenizers
+
+        self.model, self.kind = own.tokenizer.model, f"<u{own.width}"
+        # The merges are over stand-ins of bytes.
+        spell = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self.spelling = {c: "".join(part for part, _ in spell(chr(c))) for c in range(256)}
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = np.array([token.id for token in self.model.tokenize(piece.translate(self.spelling))], self.kind).tobytes()
+        self[piece] = ids
+        return ids
+
+
 class Encoder:
-    """Whole-text ids from a tokenizer file, remembering the ids of pieces between spaces.
+    """Whole-text ids from a tokenizer file, remembering the ids of pieces.
 
-    A byte-level tokenizer always cuts before a single space that has other characters than
-    white space on both sides, around a single line end between such characters, and between
-    letters and punctuation. So a text's ids are those of its pieces in a row, and a new
-    piece's are those of its units. Texts with other spacing, or with a special token's
-    string, go to the tokenizer whole.
+    A byte-level tokenizer cuts a text by a fixed pattern and encodes each piece by itself, so a
+    text's ids are those of its pieces in a row. Texts beyond Latin-1, where versions of Unicode
+    decide about pieces, and texts with a special token's string go to the tokenizer whole.
     """
 
     def __init__(self, path: str):
@@ -53,86 +69,33 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.special = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
-        line = self.tokenizer.encode("\n", add_special_tokens=False).ids
-        self.line = line[0]
+        cutter = self.tokenizer.pre_tokenizer
         self.by_pieces = (
-            type(self.tokenizer.pre_tokenizer).__name__ == "ByteLevel"
+            type(cutter).__name__ == "ByteLevel"
+            and cutter.use_regex
+            and not cutter.add_prefix_space
             and self.tokenizer.normalizer is None
-            and len(line) == 1
-            and not any(" " in s for s in self.special)
         )
-        self.pieces: dict[str, bytes | None] = {}  # NULL: the text must be encoded whole
-        self.heads: dict[str, bytes | None] = {}
-        self.units: dict[str, bytes] = {}
+        self.cut = re.compile(latin_pattern(public_tokenizers.PATTERN)).findall
+        self.pieces = Pieces(self)
 
     def whole(self, texts: list[str]) -> list[bytes]:
         encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, f"<u{self.width}").tobytes() for e in encoded]
 
-    def _split(self, word: str, before: str) -> list[str] | None:
-        """A piece's units; None if it isn't certain that the tokenizer cuts there."""
-        if not word or word[0].isspace() or word[-1].isspace():
-            return None
-        if word.isalpha():
-            return [before + word]
-        core = word.rstrip(TAIL)
-        if core.isalpha():
-            return [before + core, word[len(core) :]]
-        head, line, rest = word.partition("\n")
-        if line:
-            first, second = self._split(head, before), self._split(rest, "")
-            return None if first is None or second is None else [*first, "\n", *second]
-        return None if any(s in word for s in self.special) else [before + word]
-
-    def _learn_units(self, units: set[str]) -> None:
-        """Encode new units as lines of long texts, which costs less than one by one."""
-        if len(self.units) > CACHED_PIECES:
-            self.units.clear()
-        new = list(units.difference(self.units))
-        for i in range(0, len(new), 10_000):
-            lines = new[i : i + 10_000]
-            raw = self.whole(["\n".join(lines)])[0]
-            ends = np.flatnonzero(np.frombuffer(raw, f"<u{self.width}") == self.line)
-            if len(ends) == len(lines) - 1:
-                at = [0, *((ends + 1) * self.width).tolist()]
-                to = [*(ends * self.width).tolist(), len(raw)]
-                self.units.update(zip(lines, [raw[a:b] for a, b in zip(at, to, strict=True)], strict=True))
-            else:
-                self.units.update(zip(lines, self.whole(lines), strict=True))
-
-    def _learn(self, cache: dict, words: set[str], before: str) -> None:
-        if len(cache) > CACHED_PIECES:
-            kept = {word: cache[word] for word in words if word in cache}
-            cache.clear()
-            cache.update(kept)
-        # Most new pieces are letters, or letters and punctuation.
-        new = [(word, word.rstrip(TAIL)) for word in words.difference(cache)]
-        simple = [(word, before + core, word[len(core) :]) for word, core in new if core.isalpha()]
-        other = [(word, self._split(word, before)) for word, core in new if not core.isalpha()]
-        units = {unit for _, unit, _ in simple}
-        units.update(tail for _, _, tail in simple)
-        units.update(*(found for _, found in other if found))
-        self._learn_units(units - {"", "\n"})
-        ids = self.units
-        ids[""], ids["\n"] = b"", self.line.to_bytes(self.width, "little")
-        cache.update({word: ids[unit] + ids[tail] if tail else ids[unit] for word, unit, tail in simple})
-        cache.update({word: found and b"".join([ids[u] for u in found]) for word, found in other})
+    def _simple(self, text: str) -> bool:
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return False
+        return self.by_pieces and not any(s in text for s in self.special)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian ids of every text."""
-        if not self.by_pieces:
-            return self.whole(texts)
-        split = [text.split(" ") for text in texts]
-        self._learn(self.heads, {words[0] for words in split}, "")
-        self._learn(self.pieces, set().union(*split), " ")
-        piece, out = self.pieces.__getitem__, []
-        for text, words in zip(texts, split, strict=True):
-            try:
-                rest = iter(words)
-                out.append(self.heads[next(rest)] + b"".join(map(piece, rest)))
-            except TypeError:
-                out.append(self.whole([text])[0] if text else b"")
-        return out
+        if len(self.pieces) > CACHED_PIECES:
+            self.pieces.clear()
+        known = self.pieces.__getitem__
+        return [b"".join(map(known, self.cut(text))) if self._simple(text) else self.whole([text])[0] for text in texts]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -188,6 +151,7 @@ def _write_shards(
             }
         )
         file += 1
+    encode.pieces.clear()  # an idle worker holds no pieces
 
 
 def write_token_ids(
