@@ -16,6 +16,14 @@ from tuneprep.functions.messages import (
     to_messages,
 )
 from tuneprep.functions.text import none_str, prompt_text, qa_text
+from tuneprep.functions.variants import (
+    is_variant,
+    variant_exchange,
+    variant_is_text,
+    variant_messages,
+    variant_reply,
+    variant_text,
+)
 
 TEXT_FIELD = "text"
 # Columns a chat dataset keeps next to its messages.
@@ -37,7 +45,8 @@ def _has(df: DataFrame, *names: str) -> bool:
 
 
 def _text(df: DataFrame, name: str) -> Column:
-    return none_str(F.col(name), df.schema[name].dataType)
+    dtype = df.schema[name].dataType
+    return variant_text(F.col(name)) if is_variant(dtype) else none_str(F.col(name), dtype)
 
 
 def sft_pair(df: DataFrame) -> tuple[Column, Column]:
@@ -45,15 +54,17 @@ def sft_pair(df: DataFrame) -> tuple[Column, Column]:
 
     ``question + response_j`` wins, then ``prompt + chosen`` where ``chosen`` is text,
     then ``prompt + response``. Only the test "is ``chosen`` text" is made per row: a
-    NULL there falls through to ``response``, or fails the job if there is none.
+    NULL there, or a VARIANT that holds no text, falls through to ``response``, or fails the job if there is none.
     """
     if _has(df, "question", "response_j"):
         return _text(df, "question"), _text(df, "response_j")
-    chosen_is_text = _has(df, "prompt", "chosen") and isinstance(df.schema["chosen"].dataType, T.StringType)
+    chosen_type = df.schema["chosen"].dataType if _has(df, "prompt", "chosen") else None
     has_response = _has(df, "prompt", "response")
-    if chosen_is_text:
+    if isinstance(chosen_type, T.StringType) or is_variant(chosen_type):
         otherwise = _text(df, "response") if has_response else F.raise_error(F.lit(SFT_SCHEMA_ERROR)).cast("string")
-        return _text(df, "prompt"), F.when(F.col("chosen").isNotNull(), F.col("chosen")).otherwise(otherwise)
+        chosen = F.col("chosen")
+        is_text = variant_is_text(chosen) if is_variant(chosen_type) else chosen.isNotNull()
+        return _text(df, "prompt"), F.when(is_text, _text(df, "chosen")).otherwise(otherwise)
     if has_response:
         return _text(df, "prompt"), _text(df, "response")
     raise KeyError(SFT_SCHEMA_ERROR)
@@ -112,7 +123,11 @@ def chat_texts(
     df: DataFrame, template: ChatTemplate, keep: Sequence[str] = (), text_field: str = TEXT_FIELD
 ) -> DataFrame:
     """``messages`` rows to one text column through a template."""
-    text = render_chat(F.col("messages"), template, df.schema["messages"].dataType)
+    dtype = df.schema["messages"].dataType
+    if is_variant(dtype):
+        text = render_chat(variant_messages(F.col("messages")), template)
+    else:
+        text = render_chat(F.col("messages"), template, dtype)
     return df.select(*keep, text.alias(text_field))
 
 
@@ -120,13 +135,19 @@ def pair_texts(df: DataFrame, template: ChatTemplate | None = None, keep: Sequen
     """Preference rows to ``text_j`` (preferred) and ``text_k``.
 
     With a template both message lists are rendered whole. Without one each side is
-    the plain question/answer text of the prompt and the side's (last assistant) reply.
+    the plain question/answer text of the prompt and the side's (last assistant) reply. A
+    VARIANT side may be text in one row and a message list in the next.
     """
     prompt_name, chosen, rejected = rm_triple(df)
     prompt = _text(df, prompt_name)
 
     def side(name: str) -> Column:
         dtype = df.schema[name].dataType
+        if is_variant(dtype):
+            value = F.col(name)
+            if template is not None:
+                return render_chat(variant_exchange(prompt, value), template)
+            return qa_text(prompt, variant_reply(value))
         messages = to_messages(prompt, F.col(name), dtype)
         if template is not None:
             return render_chat(messages, template)

@@ -28,6 +28,14 @@ chat AS (
   WHERE u.role = 'user'
 )"""
 
+
+
+def mixed(name: str, cases: list[str], shift: int, answer: str, other: str) -> str:
+    """A case for each way in which a side of a mixed pair is put; ``{a}`` and ``{o}`` are its own and the other reply."""
+    kinds = " ".join(f"WHEN {i} THEN {case.format(a=answer, o=other)}" for i, case in enumerate(cases))
+    return f"CASE (conv_id + turn + {shift}) % {len(cases)} {kinds} END AS {name}"
+
+
 WHITESPACE = " || ".join(f"chr({ord(c)})" for c in PYTHON_WHITESPACE)
 
 

@@ -22,9 +22,11 @@ from tuneprep.operators.columns import (
     prompt_texts,
     prune_chat_columns,
 )
+from tuneprep.functions.variants import variant_is_messages, variant_messages
 from tuneprep.queries import sql
 from tuneprep.queries.registry import query
-from tuneprep.sources import views
+from tuneprep.sources import read_split, views, write_prepared
+from tuneprep.storage import scratch_path
 
 KEY = views.TURN_KEY
 TEMPLATE = ChatTemplate()
@@ -209,3 +211,85 @@ def python_text(spark, sf_dir):
         py_strip(padded).alias("name"),
         none_str(F.when(F.col("p_brand") != "Brand#1", F.col("p_brand"))).alias("brand"),
     )
+
+
+# What the text of each way to put a side is (see views.mixed_pairs): the reply, and the rendered list.
+MIXED_REPLY = [
+    "{a}", "{a}", "{a}", "'stray'", "''", "CAST(length({a}) AS VARCHAR)", "'None'", "''", "'True'", "'[\"a\",\"b\"]'",
+]
+
+
+def _asked(answer: str) -> str:
+    return f"{sql.template_message("'user'", 'question')} || {sql.template_message("'assistant'", answer)}"
+
+
+MIXED_CHAT = [
+    _asked("{a}"),
+    _asked("{a}"),
+    f"{sql.template_message("'assistant'", '{o}')} || {sql.template_message("'assistant'", '{a}')}",
+    sql.template_message("'user'", "question"),
+    "''",
+    *[_asked(MIXED_REPLY[kind]) for kind in (5, 6)],
+    f"{sql.template_message("'assistant'", "''")} || {sql.template_message("'user'", 'question')}",
+    *[_asked(MIXED_REPLY[kind]) for kind in (8, 9)],
+]
+MIXED_LINES = [
+    "NULL",
+    "'User: ' || question || chr(10) || 'Assistant: ' || {a}",
+    "'Assistant: ' || {o} || chr(10) || 'Assistant: ' || {a}",
+    "'User: ' || question",
+    "''",
+    "NULL",
+    "NULL",
+    "'Assistant: ' || chr(10) || 'User: ' || question",
+    "NULL",
+    "NULL",
+]
+
+
+def mixed_sql(cases: list[str]) -> str:
+    sides = [sql.mixed(f"text_{k}", cases, *more) for k, *more in (("j", 0, "response_j", "response_k"), ("k", 3, "response_k", "response_j"))]
+    return f"WITH {sql.QA}, sides AS (SELECT conv_id, turn, question, {', '.join(sides)} FROM qa) "
+
+
+def mixed_rows(spark, sf_dir):
+    """The mixed pairs from JSON lines, where a field's type differs from row to row."""
+    rows = views.mixed_pairs(spark, sf_dir)
+    base = scratch_path(spark, "mixed")
+    write_prepared(rows, base, "train_prefs", fmt="json")
+    return read_split(spark, base, "train_prefs", fmt="json", schema=rows.schema)
+
+
+@query(
+    mixed_sql(MIXED_REPLY)
+    + f"SELECT conv_id, turn, {sql.qa_text('question', 'text_j')} AS text_j, {sql.qa_text('question', 'text_k')} AS text_k FROM sides"
+)
+def rm_pair_text_rows(spark, sf_dir):
+    """Text or message list, decided row by row."""
+    return pair_texts(mixed_rows(spark, sf_dir), keep=KEY)
+
+
+@query(mixed_sql(MIXED_CHAT) + "SELECT conv_id, turn, text_j, text_k FROM sides")
+def rm_pair_text_rows_template(spark, sf_dir):
+    return pair_texts(mixed_rows(spark, sf_dir), TEMPLATE, KEY)
+
+
+@query(
+    f"WITH {sql.QA} SELECT conv_id, turn, "
+    + sql.qa_text("question", "CASE WHEN (conv_id + turn) % 10 = 0 THEN response_j ELSE response_k END")
+    + " AS text FROM qa"
+)
+def sft_text_rows(spark, sf_dir):
+    """The chosen reply where it is text, else the response."""
+    return format_text(mixed_rows(spark, sf_dir), KEY)
+
+
+@query(
+    mixed_sql(MIXED_LINES)
+    + f"SELECT conv_id, turn, {sql.strip('text_j')} AS text FROM sides WHERE text_j IS NOT NULL",
+    "role_transcript_rows",
+)
+def transcripts_with_strays(spark, sf_dir):
+    """Elements that are no messages are left out."""
+    lists = mixed_rows(spark, sf_dir).where(variant_is_messages(F.col("chosen")))
+    return lists.select(*KEY, role_transcript(variant_messages(F.col("chosen"))).alias("text"))

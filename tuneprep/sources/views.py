@@ -86,6 +86,46 @@ def pairs_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# How the sides of mixed pairs are put, by the remainder of (conv_id + turn).
+MIXED_KINDS = 10
+
+
+def mixed_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(prompt, chosen, rejected) whose sides are VARIANT: text, message lists with and without stray
+    elements or missing fields, empty lists, numbers, null, booleans and lists of text."""
+
+    def message(role: str, content: str | None):
+        fields = [F.lit(role).alias("role"), *([F.col(content).alias("content")] if content else [])]
+        return F.to_json(F.struct(*fields))
+
+    def listed(*parts):
+        return F.concat(F.lit("["), *[p for part in parts for p in (F.lit(","), part)][1:], F.lit("]"))
+
+    def side(answer: str, other: str, shift: int):
+        text = F.to_json(F.array(answer))
+        kinds = [
+            F.substring(text, F.lit(2), F.length(text) - 2),
+            listed(message("user", "question"), message("assistant", answer)),
+            listed(message("assistant", other), F.lit('"stray"'), message("assistant", answer), F.lit("7")),
+            listed(message("user", "question"), F.lit('"stray"')),
+            F.lit("[]"),
+            F.length(answer).cast("string"),
+            F.lit("null"),
+            listed(message("assistant", None), message("user", "question")),
+            F.lit("true"),
+            F.lit('["a","b"]'),
+        ]
+        return F.parse_json(F.get(F.array(*kinds), F.pmod(F.col("conv_id") + F.col("turn") + shift, F.lit(MIXED_KINDS)).cast("int")))
+
+    return qa(spark, sf_dir).select(
+        *TURN_KEY,
+        F.col("question").alias("prompt"),
+        side("response_j", "response_k", 0).alias("chosen"),
+        side("response_k", "response_j", 3).alias("rejected"),
+        F.col("response_k").alias("response"),
+    )
+
+
 def doc_response(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(
         "doc_id", F.concat("lang", F.lit("/"), "source").alias("prompt"), F.col("text").alias("response")
