@@ -1,10 +1,12 @@
+import os
+
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tuneprep import storage
 from tuneprep.operators.mapping import map_batches
-from tuneprep.sources import layout_path, read_arrow, read_split, read_stream, read_train_eval, split_path, write_prepared
+from tuneprep.sources import arrow_files, layout_path, read_arrow, read_split, read_stream, read_train_eval, split_path, write_arrow, write_prepared
 from tuneprep.storage import materialize, scratch_path, shared_dir
 
 
@@ -117,3 +119,124 @@ def test_map_batches_keeps_partitions(spark, out_dir):
 
     for workers in (None, 0, 3):
         assert ids(map_batches(scan, double, "id long", workers)) == list(range(0, 200, 2))
+
+
+def arrow_names(path):
+    return sorted(p.name for p in path.iterdir())
+
+
+def test_arrow_is_written_and_read_back(spark, tmp_path):
+    df = spark.range(1000).select(
+        "id", F.when(F.col("id") % 7 > 0, F.concat(F.lit("p"), "id")).alias("prompt"), F.array(F.struct(F.lit("user").alias("role"), "id")).alias("m")
+    )
+    path = write_prepared(df.repartition(5), str(tmp_path), "train", "arrow")
+    back = read_split(spark, str(tmp_path), "train", fmt="arrow")
+    assert back.schema.simpleString() == df.schema.simpleString() and not back.exceptAll(df).count() and back.count() == 1000
+    assert all(name.endswith(".arrow") or name == "_manifest.json" for name in arrow_names(tmp_path / "train"))
+    assert ids(read_arrow(spark, path, columns=["id"])) == list(range(1000))
+    assert ids(read_split(spark, write_prepared(df.limit(3), str(tmp_path), "train", "arrow"), fmt="arrow")) == [0, 1, 2]
+    write_arrow(df.where("id >= 998").coalesce(1), path, "append")
+    assert ids(read_arrow(spark, path)) == [0, 1, 2, 998, 999]
+    assert len(arrow_names(tmp_path / "train")) <= 3
+    assert read_arrow(spark, write_prepared(df.limit(0), str(tmp_path), "none", "arrow"), df.schema).count() == 0
+    with pytest.raises(ValueError):
+        write_prepared(df, str(tmp_path), "train", "arrow", ("id",))
+
+
+def test_a_failed_arrow_job_leaves_the_old_result(spark, tmp_path):
+    path = write_prepared(spark.range(5), str(tmp_path), "train", "arrow")
+    names = arrow_names(tmp_path / "train")
+    fails = spark.range(0, 100, 1, 4).select(F.when(F.col("id") < 99, F.col("id")).otherwise(F.raise_error(F.lit("broken")).cast("long")).alias("id"))
+    for mode in ("overwrite", "append"):
+        with pytest.raises(Exception, match="broken"):
+            write_arrow(fails, path, mode)
+        assert names == [name for name in arrow_names(tmp_path / "train") if not name.startswith("_staging")]
+        assert not list((tmp_path / "train").glob("_staging*/*")) and ids(read_arrow(spark, path)) == list(range(5))
+    with pytest.raises(Exception, match="broken"):
+        write_arrow(fails, f"{tmp_path}/new")
+    assert not list((tmp_path / "new").glob("**/*.arrow"))
+    write_arrow(spark.range(3), path)
+    assert len(arrow_names(tmp_path / "train")) <= 4 and ids(read_arrow(spark, path)) == [0, 1, 2]
+
+
+def test_arrow_files_that_no_commit_names_do_not_count(spark, tmp_path):
+    path = write_prepared(spark.range(5), str(tmp_path), "train", "arrow")
+    with pa.ipc.new_file(f"{path}/part-lost.arrow", pa.schema([("id", pa.int64())])) as writer:
+        writer.write_table(pa.table({"id": [77]}))
+    assert ids(read_arrow(spark, path)) == list(range(5))
+
+
+@pytest.fixture
+def pushdown(spark):
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    yield
+    spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+
+
+@pytest.mark.parametrize("layout", ["file", "stream"])
+def test_arrow_filters_are_pushed(spark, tmp_path, pushdown, layout):
+    table = pa.table(
+        {
+            "id": pa.array(range(100), pa.int64()),
+            "split": pa.array(["train"] * 60 + [None] * 10 + ["test"] * 30).dictionary_encode(),
+            "score": pa.array([i / 10 for i in range(100)]),
+        }
+    )
+    new = pa.ipc.new_file if layout == "file" else pa.ipc.new_stream
+    with new(f"{tmp_path}/x.arrow", table.schema) as writer:
+        writer.write_table(table, max_chunksize=10)
+    part = read_split(spark, str(tmp_path), "test", split_column="split", fmt="arrow")
+    assert ids(part) == list(range(70, 100))
+    plan = spark._jvm.PythonSQLUtils.explainString(part._jdf.queryExecution(), "formatted")
+    assert "PushedFilters: [IsNotNull(split), EqualTo(split,test)]" in plan and "Filter [" not in plan
+    df = read_arrow(spark, str(tmp_path))
+    for where, expected in {
+        "id >= 95": range(95, 100), "id in (3, 50, 200)": [3, 50], "split is null and id < 62": [60, 61], "split like 'te%' and id <= 71": [70, 71],
+        "score > 9.85": [99], "id % 50 = 0": [0, 50], "split = 'test' or id = 1": [1, *range(70, 100)], "not split = 'test' and id > 57": [58, 59],
+    }.items():
+        assert ids(df.where(where)) == list(expected), where
+    reader = arrow_files.DecidingArrowReader(str(tmp_path), df.schema, 1 << 20)
+    assert list(reader.pushFilters([arrow_files.EqualTo(("split",), "test")])) == []
+    read = list(reader.read(reader.partitions()[0]))
+    assert sum(batch.num_rows for batch in read) == 30
+    if layout == "file":
+        assert len(read) == 3  # batches without a match are not read
+
+
+def test_arrow_stream_goes_on_after_a_restart(spark, tmp_path):
+    schema, path, out = spark.range(1).schema, str(tmp_path / "in"), str(tmp_path / "out")
+    batches = []
+
+    def run():
+        stream = read_stream(spark, path, schema, fmt="arrow")
+        writer = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-log")
+        writer.trigger(availableNow=True).start().awaitTermination()
+        batches.append(spark.read.schema(schema).parquet(out).count())
+
+    write_arrow(spark.range(10), path)
+    run()
+    run()
+    write_arrow(spark.range(10, 25), path, "append")
+    write_arrow(spark.range(25, 30), path, "append")
+    run()
+    assert batches == [10, 10, 30]
+    assert ids(spark.read.parquet(out)) == ids(read_arrow(spark, path)) == list(range(30))
+
+
+def test_arrow_stream_of_files_put_there(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+
+    def put(name, value, time):
+        with pa.ipc.new_file(f"{tmp_path}/in/{name}", pa.schema([("id", pa.int64())])) as writer:
+            writer.write_table(pa.table({"id": [value]}))
+        os.utime(f"{tmp_path}/in/{name}", ns=(time, time))
+
+    reader = arrow_files.ArrowStreamReader(str(tmp_path / "in"), spark.range(1).schema, 1 << 20)
+    offsets = [reader.initialOffset()]
+    for names in (["b"], [], ["a", "c"], ["d"]):
+        for name in names:
+            put(f"{name}.arrow", ord(name), 10**18 if name != "d" else 10**18 + 1)  # a, b and c at the same time
+        offsets.append(reader.latestOffset())
+    arrived = [[p.path[-7:-6] for p in reader.partitions(a, b)] for a, b in zip(offsets, offsets[1:])]
+    assert arrived == [["b"], [], ["a", "c"], ["d"]]
+    assert [p.path[-7:-6] for p in reader.partitions(offsets[0], offsets[-1])] == ["a", "b", "c", "d"]

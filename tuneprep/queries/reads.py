@@ -9,7 +9,16 @@ from pyspark.sql import functions as F
 from tuneprep.operators.columns import format_text
 from tuneprep.queries import sql
 from tuneprep.queries.registry import query
-from tuneprep.sources import read_split, read_train_eval, views, write_prepared
+from tuneprep.sources import (
+    layout_path,
+    read_arrow,
+    read_split,
+    read_stream,
+    read_train_eval,
+    views,
+    write_arrow,
+    write_prepared,
+)
 from tuneprep.storage import scratch_path
 
 
@@ -68,3 +77,57 @@ def read_split_json(spark, sf_dir):
 def prepared_table(spark, sf_dir):
     texts = format_text(views.qa(spark, sf_dir), views.TURN_KEY)
     return spark.read.parquet(write_prepared(texts, scratch_path(spark, "prepared")))
+
+
+@query("SELECT role, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM conversations GROUP BY role")
+def read_split_arrow(spark, sf_dir):
+    """Written by the sink in two commits, read back with two of four columns."""
+    turns = views.table(spark, sf_dir, "conversations")
+    base = scratch_path(spark, "arrow")
+    path = write_prepared(turns.where("conv_id % 2 = 0"), base, "train_sft", fmt="arrow")
+    write_arrow(turns.where("conv_id % 2 <> 0 OR conv_id IS NULL"), path, "append")
+    copy = read_arrow(spark, path, turns.schema, columns=["role", "text"])
+    return copy.groupBy("role").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"))
+
+
+@query("SELECT doc_id, lang, source, length(text) AS n FROM documents WHERE source = 'src1' AND doc_id >= 10")
+def read_split_arrow_column(spark, sf_dir):
+    """A split column and a comparison that the reader decides where the session lets it."""
+    documents = views.table(spark, sf_dir, "documents")
+    base = scratch_path(spark, "arrow")
+    write_prepared(documents.withColumn("split", F.col("source")), base, "all", fmt="arrow")
+    part = read_split(spark, f"{base}/all", "src1", split_column="split", fmt="arrow")
+    return part.where("doc_id >= 10").select("doc_id", "lang", "source", F.length("text").cast("long").alias("n"))
+
+
+@query("SELECT doc_id, lang, source, n_chars, md5(text) AS text FROM documents")
+def read_stream_arrow(spark, sf_dir):
+    """A stream over files that arrive in two commits, run twice from one checkpoint, holds what a batch does."""
+    documents = views.table(spark, sf_dir, "documents")
+    base, out = scratch_path(spark, "arrow-stream"), scratch_path(spark, "arrow-rows")
+    first = F.coalesce(F.pmod("doc_id", F.lit(3)) == 0, F.lit(True))
+    for part in (documents.where(first), documents.where(~first)):
+        write_arrow(part, base, "append")
+        stream = read_stream(spark, base, documents.schema, fmt="arrow")
+        writer = stream.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/log")
+        writer.trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.schema(documents.schema).parquet(f"{out}/rows")
+    return rows.select("doc_id", "lang", "source", "n_chars", F.md5("text").alias("text"))
+
+
+@query(
+    "SELECT CASE role WHEN 'user' THEN 'finetune' WHEN 'assistant' THEN 'reward' ELSE 'rl' END AS folder, "
+    "count(*) AS n FROM conversations GROUP BY 1",
+    "layout_path",
+)
+def dataset_layout(spark, sf_dir):
+    """One table per stage of a local dataset, written to and read from its fixed folder."""
+    turns, root = views.table(spark, sf_dir, "conversations"), scratch_path(spark, "layout")
+    parts = {"sft": F.col("role") == "user", "reward_train": F.col("role") == "assistant", "prompts": ~F.col("role").isin("user", "assistant")}
+    counts = []
+    for stage, where in parts.items():
+        folder, name = os.path.split(layout_path(root, stage))
+        write_prepared(turns.where(where), folder, name)
+        part = read_split(spark, layout_path(root, stage)).groupBy(F.lit(name).alias("folder"))
+        counts.append(part.agg(F.count(F.lit(1)).alias("n")))
+    return counts[0].union(counts[1]).union(counts[2])

@@ -1,4 +1,4 @@
-from tuneprep.sources.arrow_files import read_arrow
+from tuneprep.sources.arrow_files import read_arrow, stream_arrow, write_arrow
 from tuneprep.sources.datasets import (
     layout_path,
     read_split,
@@ -11,6 +11,8 @@ from tuneprep.sources.datasets import (
 __all__ = [
     "layout_path",
     "read_arrow",
+    "stream_arrow",
+    "write_arrow",
     "read_split",
     "read_stream",
     "read_train_eval",

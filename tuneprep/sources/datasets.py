@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tuneprep.sources.arrow_files import read_arrow
+from tuneprep.sources.arrow_files import read_arrow, stream_arrow, write_arrow
 
 # The usual folders of a local dataset and the final result folder.
 LAYOUT = {"sft": "finetune", "reward_train": "reward", "reward_eval": "evaluation", "prompts": "rl"}
@@ -28,9 +28,9 @@ def layout_path(root: str, stage: str) -> str:
     return split_path(root, None, LAYOUT[stage])
 
 
-def _check_format(fmt: str, allowed: tuple[str, ...] = ("parquet", "json")) -> None:
-    if fmt not in allowed:
-        raise ValueError(f"Unknown format {fmt!r}: expected one of {', '.join(allowed)}.")
+def _check_format(fmt: str) -> None:
+    if fmt not in FORMATS:
+        raise ValueError(f"Unknown format {fmt!r}: expected one of {', '.join(FORMATS)}.")
 
 
 def read_split(
@@ -46,9 +46,9 @@ def read_split(
 
     A split column's rows are chosen by a filter that reaches the scan: as partition
     pruning where the dataset is partitioned by it, else as a pushed-down predicate.
-    Arrow files are read whole.
+    Arrow files decide it in their reader where the session lets Python sources take filters.
     """
-    _check_format(fmt, FORMATS)
+    _check_format(fmt)
     if split_column is not None and split is None:
         raise ValueError("Name the split to read from the split column.")
     path = split_path(base, split if split_column is None else None, data_dir)
@@ -78,6 +78,10 @@ def read_stream(
 ) -> DataFrame:
     """One named split as a stream of files in order of arrival."""
     _check_format(fmt)
+    if fmt == "arrow":
+        if max_files_per_trigger is not None:
+            raise ValueError("A stream of Arrow files takes all new files at each trigger.")
+        return stream_arrow(spark, split_path(base, split, data_dir), schema)
     reader = spark.readStream.format(fmt).schema(schema)
     if max_files_per_trigger is not None:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
@@ -90,5 +94,10 @@ def write_prepared(df: DataFrame, out: str, name: str = FINAL, fmt: str = "parqu
         raise ValueError("Name an output folder.")
     _check_format(fmt)
     path = f"{out.rstrip('/')}/{name}"
+    if fmt == "arrow":
+        if partition_by:
+            raise ValueError("Arrow files are not written by partition.")
+        write_arrow(df, path)
+        return path
     df.write.mode("overwrite").partitionBy(*partition_by).format(fmt).save(path)
     return path
