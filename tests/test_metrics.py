@@ -165,3 +165,63 @@ def test_a_fit_that_stops_early_fails(spark):
     df = spark.createDataFrame(rows, "x_j array<double>, x_k array<double>")
     with pytest.raises(RuntimeError, match="gradient"):
         fit_preference(df, max_iter=1)
+
+
+def test_fit_on_all_terms(spark, out_dir):
+    """Sparse differences over a whole vocabulary reach the minimum that Newton's method finds."""
+    from tuneprep.operators.preference import evaluate_terms, fit_terms
+
+    rng, size = np.random.default_rng(6), 40
+    ids = [[rng.integers(0, size, n).tolist() for n in rng.integers(0, 30, 2)] for _ in range(300)]
+    df = spark.createDataFrame([*[tuple(x) for x in ids], (None, [1, 1])], "input_ids_j array<int>, input_ids_k array<int>")
+    x = np.array([np.bincount(j, minlength=size) / max(len(j), 1) ** 0.5 - np.bincount(k, minlength=size) / max(len(k), 1) ** 0.5 for j, k in [*ids, ([], [1, 1])]])
+    w = np.zeros(size)
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-x @ w))
+        gradient = 0.1 * w - x.T @ (1 - p) / len(x)
+        w -= np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x / len(x) + 0.1 * np.eye(size), gradient)
+    model = fit_terms(df, size, reg_param=0.1, tol=1e-8)
+    assert np.allclose(model.weights, w, atol=1e-6)
+    result = evaluate_terms(df, model).first()
+    assert result.accuracy == pytest.approx(np.mean(x @ w > 0), abs=0.004)
+    assert result.loss == pytest.approx(np.mean(np.log1p(np.exp(-x @ w))), abs=1e-8)
+    model.save(out_dir)
+    assert type(model).load(out_dir) == model
+    with pytest.raises(RuntimeError, match="gradient"):
+        fit_terms(df, size, max_iter=1)
+    assert set(fit_terms(df.limit(0), 3).weights) == {0.0}
+    with pytest.raises(Exception, match="beyond a vocabulary"):
+        fit_terms(df, 10, reg_param=0.1)
+
+
+def test_rare_words_count(spark):
+    """Pairs that differ only in an id beyond the frequent ones get different scores."""
+    from tuneprep.operators.preference import PreferenceModel, evaluate_terms
+
+    df = spark.createDataFrame([([1, 31_999], [1, 5])], "input_ids_j array<int>, input_ids_k array<int>")
+    weights = [0.0] * 32_000
+    weights[31_999] = 1.0
+    assert evaluate_terms(df, PreferenceModel(tuple(weights))).first().accuracy == 1.0
+
+
+def test_a_scorer_is_loaded_once_a_worker(spark, tmp_path):
+    from tuneprep.operators.preference import score_with
+
+    (tmp_path / "rate.txt").write_text("2.5")
+
+    def load(files):
+        import os
+        import uuid
+
+        rate = float(open(files["rate.txt"]).read())
+        mark = (os.getpid() * 1000 + uuid.uuid4().int % 1000) * 1000.0
+        return lambda texts: [mark + rate * len(text) for text in texts]
+
+    pairs = spark.range(0, 4000, 1, 16).selectExpr("id", "repeat('x', int(id % 7)) AS text_j", "CAST(NULL AS STRING) AS text_k")
+    scored = score_with(pairs, load=load, files=[str(tmp_path / "rate.txt")]).collect()
+    assert all(r.rewards_j - r.rewards_k == 2.5 * (r.id % 7) for r in scored)
+    marks = {r.rewards_k for r in scored}
+    assert len(marks) == len({m // 1_000_000 for m in marks})  # each process loaded once
+    for wrong in ({}, {"fn": len, "load": load}):
+        with pytest.raises(ValueError):
+            score_with(pairs, **wrong)

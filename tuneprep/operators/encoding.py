@@ -70,7 +70,8 @@ class Vocabulary:
         self.unknown_id = unknown_id
         self.broadcast_words = broadcast_words
         self.table = materialize(vocab.select("token", "id"), "vocabulary")
-        rows, size = self.table.agg(F.count(F.lit(1)), F.sum(F.octet_length("token"))).first()
+        rows, size, last = self.table.agg(F.count(F.lit(1)), F.sum(F.octet_length("token")), F.max("id")).first()
+        self.ids = 1 + max(unknown_id, last or 0)  # all ids are below
         self.lookup = None
         if rows <= broadcast_words and (size or 0) <= BROADCAST_BYTES:
             self.lookup = _lookup(vocab.sparkSession, self.table.toArrow(), unknown_id)
@@ -187,18 +188,6 @@ def encode_with(
     return df.withColumn(output, run(F.coalesce(F.col(text_col), F.lit(""))))
 
 
-def term_counts(size: int) -> Callable[[Column], Column]:
-    """A column function ids -> counts of the ids below ``size``, each by the root of the number of ids."""
-
-    @F.arrow_udf("array<double>")
-    def count(ids: pa.Array) -> pa.Array:
-        rows = [np.asarray(row.values if row.is_valid else [], np.int64) for row in ids]
-        counts = [np.bincount(row[row < size], minlength=size) / max(len(row), 1) ** 0.5 for row in rows]
-        return pa.array(counts, pa.list_(pa.float64()))
-
-    return count
-
-
 def attention_mask(ids: Column) -> Column:
     """All ones, as long as the ids."""
     return F.array_repeat(F.lit(1), F.size(ids))

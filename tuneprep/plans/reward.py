@@ -5,14 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from tuneprep.functions.messages import ChatTemplate
 from tuneprep.operators.batching import assign_batches, collate_pairs
-from tuneprep.operators.encoding import Vocabulary, encode_pairs, term_counts
+from tuneprep.operators.encoding import Vocabulary, encode_pairs
 from tuneprep.operators.ordering import first_n
-from tuneprep.operators.preference import PreferenceModel, evaluate_preference, fit_preference
-from tuneprep.storage import materialize
+from tuneprep.operators.preference import PreferenceModel, evaluate_terms, fit_terms
 
 
 def rm_prepare(
@@ -46,21 +44,17 @@ def rm_evaluate(
     train: DataFrame,
     evaluation: DataFrame,
     vocab: DataFrame | Vocabulary,
-    features: int,
     reg_param: float = 0.01,
     max_length: int | None = None,
     template: ChatTemplate | None = None,
+    max_iter: int = 200,
+    tol: float = 1e-5,
 ) -> tuple[DataFrame, PreferenceModel]:
     """Preference pairs from text to metric: (accuracy, loss) on ``evaluation``, and the model.
 
-    Both sides are encoded; the counts of ids below ``features``, by the root of the text's
+    Both sides are encoded; the counts of all the vocabulary's ids, by the root of the text's
     length, are its features. The model is fitted on ``train``.
     """
     ready = vocab if isinstance(vocab, Vocabulary) else Vocabulary(vocab)
-
-    def vectors(df: DataFrame) -> DataFrame:
-        ids = encode_pairs(df, ready, max_length, template)
-        return ids.select(*[term_counts(features)(F.col(f"input_ids_{side}")).alias(f"x_{side}") for side in ("j", "k")])
-
-    model = fit_preference(materialize(vectors(train), "pair-features"), reg_param=reg_param)
-    return evaluate_preference(vectors(evaluation), model), model
+    model = fit_terms(encode_pairs(train, ready, max_length, template), ready.ids, reg_param=reg_param, max_iter=max_iter, tol=tol)
+    return evaluate_terms(encode_pairs(evaluation, ready, max_length, template), model), model

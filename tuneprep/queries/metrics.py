@@ -15,8 +15,10 @@ from tuneprep.operators.metrics import (
     scores_from_matrix,
     scores_from_struct,
 )
-from tuneprep.operators.preference import PreferenceModel, evaluate_preference, fit_preference, score_pairs
+from tuneprep.operators.columns import pair_texts
+from tuneprep.operators.preference import PreferenceModel, evaluate_preference, fit_preference, score_pairs, score_with
 from tuneprep.operators.splits import train_test
+from tuneprep.queries import sql
 from tuneprep.queries.registry import query
 from tuneprep.sources import views
 from tuneprep.storage import materialize
@@ -183,18 +185,56 @@ def evaluate_fixed_weights(spark, sf_dir):
     return measures(score_pairs(views.vector_pairs(spark, sf_dir), PreferenceModel(tuple(WEIGHTS))))
 
 
-@query(name="fit_preference")
+REG_PARAM, FIT_STEPS, FIT_DIGITS = 0.01, 400, 4
+FEATURES_SQL = "SELECT pair_id AS pair, i, CAST(x_j[i] AS DOUBLE) - CAST(x_k[i] AS DOUBLE) AS x FROM {pairs}, range(1, 65) r(i)"
+
+
+@query(
+    f"WITH RECURSIVE {PAIRS_SQL}, features AS ({FEATURES_SQL.format(pairs='pairs')}), "
+    f"{sql.fit('fitted', 'features', REG_PARAM, FIT_STEPS)} "
+    f"SELECT CAST(i - 1 AS INTEGER) AS feature, round(w, {FIT_DIGITS}) AS weight FROM fitted",
+    "fit_preference",
+)
 def fitted_weights(spark, sf_dir):
-    """One row per feature. The fit is iterative, so there is no SQL for it."""
-    model = fit_preference(views.vector_pairs(spark, sf_dir), reg_param=0.01)
+    """One row per feature."""
+    model = fit_preference(views.vector_pairs(spark, sf_dir), reg_param=REG_PARAM, max_iter=500, tol=1e-13)
     return spark.createDataFrame(
-        [(i, round(w, DIGITS)) for i, w in enumerate(model.weights)], "feature int, weight double"
+        [(i, round(w, FIT_DIGITS)) for i, w in enumerate(model.weights)], "feature int, weight double"
     )
 
 
-@query(name="evaluate_preference")
+@query(
+    f"WITH RECURSIVE {PAIRS_SQL}, {sql.split('marked', 'pairs', ['pair_id'], 50, 3)}, "
+    "train AS (SELECT * FROM marked WHERE split = 'train'), test AS (SELECT * FROM marked WHERE split = 'test'), "
+    f"features AS ({FEATURES_SQL.format(pairs='train')}), {sql.fit('fitted', 'features', REG_PARAM, FIT_STEPS)}, "
+    f"margins AS (SELECT sum(f.x * w) AS rewards_j, 0.0::DOUBLE AS rewards_k FROM ({FEATURES_SQL.format(pairs='test')}) f JOIN fitted USING (i) GROUP BY pair) "
+    f"SELECT avg(CASE WHEN rewards_j > rewards_k THEN 1.0 ELSE 0.0 END) AS accuracy, round(avg({LOSS_SQL}), {FIT_DIGITS}) AS loss FROM margins",
+    "evaluate_preference",
+)
 def held_out_measures(spark, sf_dir):
     """Fit on one part of the pairs, measure on the other."""
     pairs = materialize(views.vector_pairs(spark, sf_dir), "pairs")
     train, test = train_test(pairs, 50, 3, ["pair_id"])
-    return evaluate_preference(test, fit_preference(train, reg_param=0.01))
+    found = evaluate_preference(test, fit_preference(train, reg_param=REG_PARAM, max_iter=500, tol=1e-13))
+    return found.select("accuracy", F.round("loss", FIT_DIGITS).alias("loss"))
+
+
+SCORER_SQL = "length({t}) / 100.0 + 0.5 * (length({t}) - length(replace({t}, 'e', ''))) - 0.25 * (length({t}) - length(replace({t}, 'th', '')))"
+
+
+def load_scorer(files):
+    """Stands for loading a large model: a worker does it once."""
+    rates = {"e": 0.5, "th": -0.5}
+    return lambda texts: [len(text) / 100 + sum(rate * text.count(part) for part, rate in rates.items()) for text in texts]
+
+
+@query(
+    f"WITH {sql.QA}, texts AS (SELECT conv_id, turn, {sql.qa_text('question', 'response_j')} AS j, {sql.qa_text('question', 'response_k')} AS k FROM qa) "
+    f"SELECT conv_id, turn, round({SCORER_SQL.format(t='j')}, {DIGITS}) AS rewards_j, round({SCORER_SQL.format(t='k')}, {DIGITS}) AS rewards_k FROM texts",
+    "score_with",
+)
+def scored_by_caller(spark, sf_dir):
+    """Both sides' texts through a caller's scorer, in one pass."""
+    texts = pair_texts(views.qa(spark, sf_dir), keep=views.TURN_KEY)
+    scored = score_with(texts, load=load_scorer)
+    return scored.select(*views.TURN_KEY, *[F.round(name, DIGITS).alias(name) for name in ("rewards_j", "rewards_k")])

@@ -85,3 +85,30 @@ def split(name: str, source: str, keys: list[str], size: int, seed: int) -> str:
       <= greatest(1, least({size}, count(*) OVER () - 1)) THEN 'test' ELSE 'train' END AS split
   FROM (SELECT *, md5({hashed}) AS split_hash FROM {source})
 )"""
+
+
+def fit(name: str, features: str, reg_param: float, steps: int) -> str:
+    """``name``(i, w): weights that minimise the mean pairwise log-loss, by accelerated gradient steps.
+
+    ``features`` has rows (pair, i, x) of the differences. The step is the inverse of a bound of the curvature;
+    momentum suits the bound's ratio to ``reg_param``.
+    """
+    return f"""
+{name}_shape AS (
+  SELECT 0.25 * max(s) + {reg_param} AS curve, count(*) AS n FROM (SELECT sum(x * x) AS s FROM {features} GROUP BY pair)
+),
+{name}_rate AS (SELECT n, curve, (sqrt(curve / {reg_param}) - 1) / (sqrt(curve / {reg_param}) + 1) AS momentum FROM {name}_shape),
+{name}_steps(step, i, w, v) AS (
+  SELECT 0, i, 0.0::DOUBLE, 0.0::DOUBLE FROM (SELECT DISTINCT i FROM {features})
+  UNION ALL
+  SELECT step + 1, i, new_w, new_w + momentum * (new_w - w) FROM (
+    SELECT s.step, s.i, s.w, r.momentum, s.v - ({reg_param} * s.v - g.g / r.n) / r.curve AS new_w
+    FROM {name}_steps s JOIN {name}_rate r ON true JOIN (
+      SELECT f.i, sum(f.x * p.wrong) AS g FROM {features} f JOIN (
+        SELECT f.pair, 1 / (1 + exp(sum(f.x * s.v))) AS wrong FROM {features} f JOIN {name}_steps s ON f.i = s.i GROUP BY f.pair
+      ) p ON f.pair = p.pair GROUP BY f.i
+    ) g ON g.i = s.i
+    WHERE s.step < {steps}
+  )
+),
+{name} AS (SELECT i, w FROM {name}_steps WHERE step = {steps})"""

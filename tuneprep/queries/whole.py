@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tuneprep.operators.splits import exact_split
 from tuneprep.plans import ppo_prepare, rm_evaluate, rm_prepare, sft_prepare
 from tuneprep.queries import sql
+from tuneprep.queries.metrics import FIT_STEPS, LOSS_SQL, REG_PARAM
 from tuneprep.queries.registry import query
 from tuneprep.queries.texts import TEMPLATE
 from tuneprep.queries.tokens import (
@@ -123,12 +124,30 @@ def prepared_for_rewards(spark, sf_dir):
     return both.select(*KEY, "batch_id", *[shown(name) for name in names], "return_loss")
 
 
-@query(name="rm_evaluate")
+EVALUATE_SQL = f"""
+WITH RECURSIVE {PAIR_IDS}, {sql.split('marked', 'pair_ids', ['conv_id', 'turn'], VALID, SEED)},
+numbered AS (SELECT row_number() OVER () AS pair, split, ids_j, ids_k FROM marked),
+terms AS (
+  SELECT pair, split, unnest(ids_j) AS i, 1 / sqrt(len(ids_j)) AS x FROM numbered
+  UNION ALL SELECT pair, split, unnest(ids_k), -1 / sqrt(len(ids_k)) FROM numbered
+),
+differences AS (SELECT pair, split, i, sum(x) AS x FROM terms GROUP BY pair, split, i),
+features AS MATERIALIZED (SELECT pair, i, x FROM differences WHERE split = 'train'),
+{sql.fit('fitted', 'features', REG_PARAM, FIT_STEPS)},
+margins AS (
+  SELECT coalesce(sum(x * w), 0) AS rewards_j, 0.0::DOUBLE AS rewards_k
+  FROM differences LEFT JOIN fitted USING (i) WHERE split = 'test' GROUP BY pair
+)
+SELECT avg(CASE WHEN rewards_j > rewards_k THEN 1.0 ELSE 0.0 END) AS accuracy, round(avg({LOSS_SQL}), 3) AS loss FROM margins"""
+
+
+@query(EVALUATE_SQL, "rm_evaluate")
 def measured_preferences(spark, sf_dir):
-    """From pairs of texts to accuracy and loss on held-out pairs; tests compare with Newton's method."""
+    """From pairs of texts to accuracy and loss on held-out pairs, on all words of the vocabulary."""
     marked = exact_split(materialize(views.pairs(spark, sf_dir), "pairs"), VALID, SEED, KEY)
     train, evaluation = (marked.where(F.col("split") == part).drop("split", "split_hash") for part in ("train", "test"))
-    return rm_evaluate(train, evaluation, chat_vocab(spark, sf_dir), features=50)[0]
+    found, _ = rm_evaluate(train, evaluation, chat_vocab(spark, sf_dir), REG_PARAM)
+    return found.select("accuracy", F.round("loss", 3).alias("loss"))
 
 
 @query(
