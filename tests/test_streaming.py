@@ -87,13 +87,76 @@ def test_take(spark, source, out_dir, size, taken):
     assert spark.read.parquet(f"{out_dir}/rows").count() == taken
 
 
-def test_packing_by_micro_batch(spark, source, out_dir):
+def packed(rows, vocab, length):
+    return sorted((r.block_id, r.input_ids) for r in pack_wrapped(encoding.encode(rows, vocab), length, KEY, eos_id=9).collect())
+
+
+def blocks(spark, out, side="blocks"):
+    return sorted((r.block_id, r.input_ids) for r in read_blocks(spark, out, side).collect())
+
+
+@pytest.mark.parametrize("length", [7, 20, 1, 1000])
+def test_packing_goes_on_over_micro_batches(spark, source, out_dir, length):
     rows = spark.read.parquet(source)
     vocab = encoding.Vocabulary(encoding.build_vocab(rows, 50))
+    stream_pack(stream_of(spark, source), out_dir, vocab, length, KEY, eos_id=9).awaitTermination()
+    assert blocks(spark, out_dir) == packed(rows, vocab, length)
+
+
+def test_packing_after_a_failure(spark, source, out_dir, monkeypatch):
+    """Fails after a micro-batch's blocks are written and before what it leaves over is."""
+    rows = spark.read.parquet(source)
+    vocab = encoding.Vocabulary(encoding.build_vocab(rows, 50))
+    write, state = batches._write_side, {"left": 2}
+
+    def failing(df, out, side, batch_id):
+        write(df, out, side, batch_id)
+        if batch_id in (1, 3) and state["left"]:
+            state["left"] -= 1
+            raise RuntimeError("lost")
+
+    monkeypatch.setattr(batches, "_write_side", failing)
+    for _ in range(2):
+        with pytest.raises(Exception, match="lost"):
+            stream_pack(stream_of(spark, source), out_dir, vocab, 7, KEY, eos_id=9).awaitTermination()
     stream_pack(stream_of(spark, source), out_dir, vocab, 7, KEY, eos_id=9).awaitTermination()
-    got = sorted((r.block_id, r.input_ids) for r in read_blocks(spark, out_dir).collect())
-    expected = []
-    for part in range(FILES):
-        ids = encoding.encode(rows.where(F.col("k").between(part * 20, part * 20 + 19)), vocab)
-        expected += [(r.block_id, r.input_ids) for r in pack_wrapped(ids, 7, KEY, eos_id=9).collect()]
-    assert got == sorted(expected)
+    assert state["left"] == 0 and blocks(spark, out_dir) == packed(rows, vocab, 7)
+
+
+def test_both_sides_are_packed_as_one_sequence_each(spark, source, out_dir):
+    stream = stream_of(spark, source).select("k", F.lit("p").alias("prompt"), F.col("text").alias("response"))
+    rows = spark.read.parquet(source).select("k", F.concat(F.lit("Question: p\n\nAnswer: "), "text").alias("text"))
+    vocab = encoding.Vocabulary(encoding.build_vocab(rows, 50))
+    batches.sft_prepare_stream(stream, out_dir, vocab, 50, 11, KEY, 9).awaitTermination()
+    for side, where in (("valid", "k < 50"), ("train", "k >= 50")):
+        assert blocks(spark, out_dir, side) == packed(rows.where(where), vocab, 11)
+
+
+def test_no_row_is_lost_on_the_way_into_a_stream(spark, out_dir):
+    """Rows without a key, below 0 and far apart arrive; so does an empty table."""
+    from tuneprep.queries.streams import PARTS, arriving
+    from tuneprep.storage import scratch_path
+
+    for name, keys in (("t", [None, None, -10**12, -1, 0, 1, 5, 10**9]), ("empty", [])):
+        rows = spark.createDataFrame([(k, "x") for k in keys], "k long, text string")
+        rows.write.parquet(f"{out_dir}/{name}.parquet")
+        out, seen = scratch_path(spark, "arrived"), []
+
+        def run(stream):
+            seen.append(1)
+            writer = stream.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/log")
+            return writer.trigger(availableNow=True).start()
+
+        schema = arriving(spark, out_dir, name, ["k"], run)
+        found = spark.read.schema(schema).parquet(f"{out}/rows").collect()
+        assert sorted((r.k is not None, r.k or 0) for r in found) == sorted((k is not None, k or 0) for k in keys) and len(seen) == PARTS
+
+
+def test_a_head_comes_first(spark):
+    rows = spark.createDataFrame([(1, [1, 2, 3, 4, 5]), (2, [])], "k int, input_ids array<int>")
+    found = sorted((r.block_id, r.input_ids) for r in pack_wrapped(rows, 4, KEY, head=[8, 9]).collect())
+    assert found == [(0, [8, 9, 1, 2]), (1, [3, 4, 5])]
+    assert [r.input_ids for r in pack_wrapped(rows.where("k = 2"), 4, KEY, head=[8, 9]).collect()] == [[8, 9]]
+    for wrong in ({"head": [1] * 4}, {"head": [1], "group_by": ["k"]}):
+        with pytest.raises(ValueError):
+            pack_wrapped(rows, 4, KEY, **wrong)

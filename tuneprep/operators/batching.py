@@ -24,12 +24,14 @@ def pack_wrapped(
     eos_id: int | None = None,
     drop_tail: bool = False,
     blocks: str | None = None,
+    head: Sequence[int] = (),
 ) -> DataFrame:
     """Concatenate id arrays in order and cut blocks of ``seq_length``: (groups, block_id, ids).
 
     Row ends do not matter, except that ``eos_id`` is appended to every row if given.
     The last block of a group may be short; ``drop_tail`` drops it. ``blocks`` names a
-    further column for the number of the group's blocks.
+    further column for the number of the group's blocks. ``head`` are ids, fewer than a
+    block, that come before all rows (without groups only).
 
     The input is evaluated once, into a table. Only key and length of a row are
     ordered. The ids then move to the block they belong to, as slices: a row costs as
@@ -37,11 +39,15 @@ def pack_wrapped(
     """
     if seq_length < 1:
         raise ValueError("seq_length must be positive.")
+    if head and (group_by or len(head) >= seq_length):
+        raise ValueError("A head must be shorter than a block, and there must be no groups.")
     order, groups = list(order_by), list(group_by)
     ids = F.col(ids_col) if eos_id is None else F.concat(F.col(ids_col), F.array(F.lit(eos_id)))
     rows = df.select(*groups, *order, ids.alias("_ids")).withColumn("_length", F.size("_ids"))
     rows = materialize(rows, "packing").where(F.col("_length") > 0)
     placed = with_running_total(rows, order, F.col("_length"), groups, before="_start", total="_total")
+    if head:
+        placed = placed.withColumns({name: F.col(name) + len(head) for name in ("_start", "_total")})
 
     length = F.lit(seq_length).cast("bigint")
     end = F.col("_start") + F.col("_length")
@@ -64,6 +70,9 @@ def pack_wrapped(
         (F.col("_start") + skipped - block_start).cast("int").alias("_at"),
         F.slice("_ids", (skipped + 1).cast("int"), taken.cast("int")).alias("_piece"),
     )
+    if head:
+        first = [F.lit(0).cast("bigint"), F.lit(len(head)).cast("bigint"), F.lit(0), F.array(*map(F.lit, head)).cast("array<int>")]
+        pieces = pieces.union(df.sparkSession.range(1, numPartitions=1).select(*first))
     in_order = F.array_sort(F.collect_list(F.struct("_at", "_piece")))
     last_block = F.expr(f"(_total - {seq_length if drop_tail else 1}) div {seq_length}")
     counted = [] if blocks is None else [F.max(last_block + 1).alias(blocks)]

@@ -1,4 +1,4 @@
-"""Streams over tables staged as several files in key order, one file per micro-batch, run until all are read."""
+"""Streams over tables that arrive in several parts, in key order: a micro-batch a part, each after a restart."""
 
 from __future__ import annotations
 
@@ -25,27 +25,26 @@ VALID_ROWS = 150
 PART_SQL = f"CASE WHEN row_number() OVER (ORDER BY conv_id, turn) <= {VALID_ROWS} THEN 'valid' ELSE 'train' END"
 
 
-FILES = 4
+PARTS = 4
 
 
-def staged(spark, sf_dir, name, order):
-    """The whole table as a stream of ``FILES`` files, each a range of its leading key, written one after another."""
+def arriving(spark, sf_dir, name, order, run):
+    """The whole table as a stream: ``PARTS`` ranges of its leading key arrive one after another, and ``run``
+    starts a query on the stream after each, from the same checkpoint. Rows without that key, or with one below 0, come first.
+    """
     df = views.table(spark, sf_dir, name)
     last = df.agg(F.max(order[0])).first()[0]
+    part = F.lit(0) if last is None else F.greatest(F.lit(0), F.least(F.lit(PARTS - 1), F.coalesce(F.expr(f"{order[0]} * {PARTS} div ({last} + 1)"), F.lit(0))))
     out = scratch_path(spark, f"stream-{name}")
-    for i in range(FILES):
-        part = df.where(F.expr(f"{order[0]} * {FILES} div ({last} + 1) = {i}"))
-        part.coalesce(1).sortWithinPartitions(*order).write.mode("append").parquet(out)
-    return read_stream(spark, out, df.schema, max_files_per_trigger=1)
+    for i in range(PARTS):
+        rows = df.where(part == i).repartitionByRange(*order).sortWithinPartitions(*order)
+        rows.write.mode("append").parquet(out)
+        run(read_stream(spark, out, df.schema)).awaitTermination()
+    return df.schema
 
 
-def batch_sql(key: str, name: str) -> str:
-    """The micro-batch of a row."""
-    return f"({key} * {FILES} // (SELECT max({key}) + 1 FROM {name}))"
-
-
-def conversations(spark, sf_dir):
-    return staged(spark, sf_dir, "conversations", KEY)
+def conversations(spark, sf_dir, run):
+    return arriving(spark, sf_dir, "conversations", KEY, run)
 
 
 def _both_sides(spark, out, schema):
@@ -55,9 +54,9 @@ def _both_sides(spark, out, schema):
 
 @query(f"SELECT conv_id, turn, role, text, {PART_SQL} AS part FROM conversations", "stream_split")
 def split_stream(spark, sf_dir):
-    stream, out = conversations(spark, sf_dir), scratch_path(spark, "stream-split")
-    stream_split(stream, out, VALID_ROWS, KEY).awaitTermination()
-    return _both_sides(spark, out, stream.schema)
+    out = scratch_path(spark, "stream-split")
+    schema = conversations(spark, sf_dir, lambda stream: stream_split(stream, out, VALID_ROWS, KEY))
+    return _both_sides(spark, out, schema)
 
 
 @query(
@@ -67,11 +66,13 @@ SELECT conv_id, turn, {sql.qa_text('text', "''")} AS text, {PART_SQL} AS part FR
 )
 def stream_text(spark, sf_dir):
     """Formatting on the stream, then the split."""
-    users = conversations(spark, sf_dir).where(F.col("role") == "user").withColumnRenamed("text", "prompt")
-    texts = prompt_texts(users, keep=KEY)
     out = scratch_path(spark, "stream-text")
-    stream_split(texts, out, VALID_ROWS, KEY).awaitTermination()
-    return _both_sides(spark, out, texts.schema)
+
+    def texts(turns):
+        return prompt_texts(turns.where(F.col("role") == "user").withColumnRenamed("text", "prompt"), keep=KEY)
+
+    conversations(spark, sf_dir, lambda stream: stream_split(texts(stream), out, VALID_ROWS, KEY))
+    return _both_sides(spark, out, texts(views.table(spark, sf_dir, "conversations")).schema)
 
 
 @query(
@@ -83,26 +84,34 @@ FROM documents""",
 )
 def tuning_text_stream(spark, sf_dir):
     """Prompt/response rows arrive; both sides are formatted as they are written."""
-    rows = views.doc_response(spark, sf_dir)
-    stream = staged(spark, sf_dir, "documents", ["doc_id"]).select(
-        "doc_id", F.concat("lang", F.lit("/"), "source").alias("prompt"), F.col("text").alias("response")
-    )
     out = scratch_path(spark, "stream-sft")
-    stream_split(stream, out, VALID_ROWS, ["doc_id"], lambda df: format_text(df, ["doc_id"])).awaitTermination()
-    return _both_sides(spark, out, format_text(rows, ["doc_id"]).schema)
+
+    def run(stream):
+        return stream_split(responses(stream), out, VALID_ROWS, ["doc_id"], lambda df: format_text(df, ["doc_id"]))
+
+    arriving(spark, sf_dir, "documents", ["doc_id"], run)
+    return _both_sides(spark, out, format_text(views.doc_response(spark, sf_dir), ["doc_id"]).schema)
 
 
 @query(f"SELECT conv_id, turn, role, text FROM conversations ORDER BY conv_id, turn LIMIT {VALID_ROWS}", "stream_take")
 def taken_from_stream(spark, sf_dir):
     out = scratch_path(spark, "stream-take")
-    writer = stream_take(conversations(spark, sf_dir), VALID_ROWS).writeStream.format("parquet")
-    writer = writer.option("path", f"{out}/rows").option("checkpointLocation", f"{out}/_checkpoint")
-    writer.trigger(availableNow=True).start().awaitTermination()
+
+    def run(stream):
+        writer = stream_take(stream, VALID_ROWS).writeStream.format("parquet")
+        writer = writer.option("path", f"{out}/rows").option("checkpointLocation", f"{out}/_checkpoint")
+        return writer.trigger(availableNow=True).start()
+
+    conversations(spark, sf_dir, run)
     return spark.read.parquet(f"{out}/rows")
 
 
+def responses(documents):
+    return documents.select("doc_id", F.concat("lang", F.lit("/"), "source").alias("prompt"), F.col("text").alias("response"))
+
+
 def _shown(blocks, *columns):
-    return blocks.select(*columns, "batch_id", "block_id", F.array_join("input_ids", " ").alias("input_ids"))
+    return blocks.select(*columns, "block_id", F.array_join("input_ids", " ").alias("input_ids"))
 
 
 @query(
@@ -112,16 +121,15 @@ marked AS (
   SELECT conv_id, turn, pos, coalesce(id, 0) AS id FROM chat_words LEFT JOIN vocab USING (token)
   UNION ALL SELECT conv_id, turn, 1000000000, {EOS} FROM conversations
 ),
-arrived AS (SELECT *, {batch_sql('conv_id', 'conversations')} AS batch_id FROM marked),
-placed AS (SELECT *, row_number() OVER (PARTITION BY batch_id ORDER BY conv_id, turn, pos) - 1 AS place FROM arrived)
-SELECT batch_id, place // {BLOCK} AS block_id, string_agg(id, ' ' ORDER BY place) AS input_ids
-FROM placed GROUP BY batch_id, place // {BLOCK}""",
+placed AS (SELECT *, row_number() OVER (ORDER BY conv_id, turn, pos) - 1 AS place FROM marked)
+SELECT place // {BLOCK} AS block_id, string_agg(id, ' ' ORDER BY place) AS input_ids FROM placed GROUP BY place // {BLOCK}""",
     "stream_pack",
 )
 def packed_stream(spark, sf_dir):
+    """Blocks over all micro-batches are those of the whole table."""
     out = scratch_path(spark, "stream-pack")
     vocab = Vocabulary(chat_vocab(spark, sf_dir))
-    stream_pack(conversations(spark, sf_dir), out, vocab, BLOCK, KEY, eos_id=EOS).awaitTermination()
+    conversations(spark, sf_dir, lambda stream: stream_pack(stream, out, vocab, BLOCK, KEY, eos_id=EOS))
     return _shown(read_blocks(spark, out))
 
 
@@ -129,24 +137,25 @@ def packed_stream(spark, sf_dir):
     f"""
 WITH {DOC_VOCAB},
 texts AS (
-  SELECT doc_id, {sql.qa_text("lang || '/' || source", 'text')} AS text, {batch_sql('doc_id', 'documents')} AS batch_id,
+  SELECT doc_id, {sql.qa_text("lang || '/' || source", 'text')} AS text,
     CASE WHEN row_number() OVER (ORDER BY doc_id) <= {VALID_ROWS} THEN 'valid' ELSE 'train' END AS part FROM documents
-), {sql.words('text_words', 'texts', 'doc_id, batch_id, part')},
+), {sql.words('text_words', 'texts', 'doc_id, part')},
 marked AS (
-  SELECT doc_id, batch_id, part, pos, coalesce(id, 0) AS id FROM text_words LEFT JOIN vocab USING (token)
-  UNION ALL SELECT doc_id, batch_id, part, 1000000000, {EOS} FROM texts
+  SELECT doc_id, part, pos, coalesce(id, 0) AS id FROM text_words LEFT JOIN vocab USING (token)
+  UNION ALL SELECT doc_id, part, 1000000000, {EOS} FROM texts
 ),
-placed AS (SELECT *, row_number() OVER (PARTITION BY part, batch_id ORDER BY doc_id, pos) - 1 AS place FROM marked)
-SELECT part, batch_id, place // {BLOCK} AS block_id, string_agg(id, ' ' ORDER BY place) AS input_ids
-FROM placed GROUP BY part, batch_id, place // {BLOCK}""",
+placed AS (SELECT *, row_number() OVER (PARTITION BY part ORDER BY doc_id, pos) - 1 AS place FROM marked)
+SELECT part, place // {BLOCK} AS block_id, string_agg(id, ' ' ORDER BY place) AS input_ids
+FROM placed GROUP BY part, place // {BLOCK}""",
     "sft_prepare_stream",
 )
 def prepared_stream(spark, sf_dir):
-    stream = staged(spark, sf_dir, "documents", ["doc_id"]).select(
-        "doc_id", F.concat("lang", F.lit("/"), "source").alias("prompt"), F.col("text").alias("response")
-    )
     out = scratch_path(spark, "stream-prepared")
     vocab = Vocabulary(doc_vocab(spark, sf_dir))
-    sft_prepare_stream(stream, out, vocab, VALID_ROWS, BLOCK, ["doc_id"], EOS).awaitTermination()
+
+    def run(stream):
+        return sft_prepare_stream(responses(stream), out, vocab, VALID_ROWS, BLOCK, ["doc_id"], EOS)
+
+    arriving(spark, sf_dir, "documents", ["doc_id"], run)
     parts = [_shown(read_blocks(spark, out, side).withColumn("part", F.lit(side)), "part") for side in ("train", "valid")]
     return parts[0].union(parts[1])
