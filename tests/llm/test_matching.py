@@ -211,9 +211,18 @@ def test_decontamination(spark):
     rows += [(107, items[3][1]), (107, items[3][1]), (None, items[3][1]), (108, prose(5, 30_000) + " " + items[4][1] * 1)]
     docs, benchmark = frame(spark, rows), frame(spark, items, "item_id long, text string")
     got = contaminated(docs, benchmark)
-    assert sorted(rows_of(got, "doc_id", "item_id")) == [(100, 1), (101, 2), (102, 0), (102, 8), (107, 3), (108, 4)]
+    assert sorted(rows_of(got, "doc_id", "item_id")) == [(100, 1), (101, 2), (102, 0), (102, 8), (106, 6), (107, 3), (108, 4)]
     assert {r["coverage"] for r in got.collect()} == {1.0}
     clean = decontaminate(docs, benchmark)
-    assert clean.columns == docs.columns and clean.count() == len(rows) - 6
+    assert clean.columns == docs.columns and clean.count() == len(rows) - 7
     assert contaminated(docs.limit(0), benchmark).count() == 0
     assert contaminated(docs, benchmark.limit(0)).count() == 0
+
+
+def test_items_below_a_seed(spark):
+    """An item of one to four words is found where a document consists of just these words, and nowhere else."""
+    items = [(i, " ".join("alpha beta gamma delta epsilon".split()[:i])) for i in range(1, 6)]
+    rows = [(10 + i, text.upper() + "!") for i, text in items] + [(20, prose(1, 50) + " alpha beta gamma delta " + prose(2, 50))]
+    rows += [(30, "beta alpha"), (31, "alpha alpha"), (32, ""), (33, prose(3, 8) + " alpha beta gamma delta epsilon")]
+    got = contaminated(frame(spark, rows), frame(spark, items, "item_id long, text string"))
+    assert sorted(rows_of(got, "doc_id", "item_id", "covered")) == [(10 + i, i, i) for i in range(1, 6)] + [(33, 5, 5)]

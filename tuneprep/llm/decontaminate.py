@@ -6,7 +6,8 @@ however many documents hold it. For each document and item the longest common ru
 words is marked, again and again, until no run of five is left; the share of the item's
 words that is marked counts, so passages cut up and put in another order are found too.
 
-Defined cases: NULL and short texts (fewer than five words) on either side match nothing;
+Defined cases: NULL and empty texts match nothing; the one seed of a text or item of one to four words is its
+whole word sequence, so it matches only a text that consists of the same words;
 rows with equal doc_id (item_id) count as one document (item); repeated passages are
 marked as often as the item has words for them; NULL ids are left out; empty tables give
 no rows; other columns are ignored.
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tuneprep.llm.words import PUNCTUATION, find_words, hash_words, slices, text_bytes, windows
+from tuneprep.llm.words import PUNCTUATION, find_words, hash_words, mix, slices, text_bytes, windows
 from tuneprep.storage import materialize
 
 SEED_WORDS = 5
@@ -34,8 +35,17 @@ FILTER_PIECES = 256
 def _seeds(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     data, bounds = text_bytes(column)
     starts, ends, first = find_words(data, bounds, PUNCTUATION)
-    hashes, at = windows(hash_words(data, starts, ends, lower=True, seed=5), first, SEED_WORDS)
-    return hashes, at, first
+    words = hash_words(data, starts, ends, lower=True, seed=5)
+    seeds = [windows(words, first, SEED_WORDS)]
+    for n in range(1, SEED_WORDS):  # texts of so many words
+        begins = first[:-1][np.diff(first) == n]
+        if len(begins):
+            hashes, at = windows(words, first, n)
+            whole = np.isin(at, begins)
+            seeds.append((mix(hashes[whole] ^ np.uint64(n)), at[whole]))
+    hashes, at = (np.concatenate(parts) for parts in zip(*seeds, strict=True))
+    order = np.argsort(at, kind="stable")
+    return hashes[order], at[order], first
 
 
 def _places(hashes: np.ndarray) -> np.ndarray:
