@@ -3,12 +3,13 @@
 import sys
 from pathlib import Path
 
+import numpy as np
 import pytest
 
 sys.path.insert(0, str(Path(__file__).parent))
 from helpers import frame, prose
 
-from tuneprep.llm.language import identify, keep_identified, learn_languages
+from tuneprep.llm.language import PENALTY, identify, keep_identified, learn_languages, shares
 from tuneprep.llm.quality import learn_quality, score_quality
 from tuneprep.llm.queries import QUERIES, table
 
@@ -70,3 +71,62 @@ def test_no_labels(spark):
     docs = frame(spark, [(1, "a b"), (2, None)])
     assert {r["score"] for r in score_quality(docs, learn_quality(docs, labels)).collect()} == {0.5}
     assert score_quality(docs.limit(0), learn_quality(docs, labels)).count() == 0
+
+
+def plain_climb(likelihood, share):
+    """EM one word at a time, for far more rounds than it needs."""
+    for _ in range(4_000):
+        joint = [[p * s for p, s in zip(word, share)] for word in likelihood]
+        share = [sum(row[j] / sum(row) for row in joint) / len(joint) for j in range(len(share))]
+    return share, sum(np.log(sum(p * s for p, s in zip(word, share))) for word in likelihood)
+
+
+def plain_shares(likelihood):
+    share, _ = plain_climb(likelihood, [1 / len(likelihood[0])] * len(likelihood[0]))
+    order, found = sorted(range(len(share)), key=lambda j: -share[j]), []
+    for k in range(1, len(share) + 1):
+        own, fitted = plain_climb([[word[j] for j in order[:k]] for word in likelihood], [1 / k] * k)
+        found.append((fitted - PENALTY * 0.5 * (k - 1) * np.log(len(likelihood) + 1), k, dict(zip(order, own))))
+    _, k, own = max(found, key=lambda x: x[0])
+    return k, [own.get(j, 0.0) for j in range(len(share))]
+
+
+def test_shares_and_sets_against_plain_em():
+    rng = np.random.default_rng(9)
+    tables, sizes = [], set()
+    for mixture in ([1, 0, 0, 0], [0.5, 0.5, 0, 0], [0.6, 0.2, 0.2, 0], [0.25] * 4, [0.9, 0.1, 0, 0], [0, 0, 1, 0]):
+        for words in (1, 7, 60):
+            true = rng.choice(4, words, p=mixture)
+            table = np.exp(-rng.uniform(0, 24, (words, 4)))
+            table[np.arange(words), true] = 1.0
+            tables.append(table)
+    row = np.repeat(np.arange(len(tables)), [len(t) for t in tables])
+    first = np.searchsorted(row, np.arange(len(tables)))
+    share, size = shares(np.concatenate(tables), row, first)
+    for i, table in enumerate(tables):
+        k, own = plain_shares(table.tolist())
+        sizes.add(k)
+        assert size[i] == k and np.allclose(share[i], own, atol=0.02), i
+    assert sizes == {1, 2, 3, 4}
+
+
+def test_text_in_all_languages(spark):
+    docs = table(spark, SF, "documents")
+    model = learn_languages(docs)
+    texts = {r["lang"]: r["text"] for r in docs.where("length(text) > 3000").collect()}
+    text = " ".join(" ".join(texts[lang].split())[:3000] for lang in sorted(texts))
+    rows = identify(frame(spark, [(1, text), (2, texts["fr"]), (3, None)]), model, mixture="languages").collect()
+    found = {r["doc_id"]: r["languages"] for r in rows}
+    assert sorted(part["lang"] for part in found[1]) == sorted(texts) and len(texts) == 4
+    assert all(0.1 < part["share"] < 0.45 for part in found[1]) and sum(part["share"] for part in found[1]) == pytest.approx(1)
+    assert [(part["lang"], part["share"]) for part in found[2]] == [("fr", 1.0)] and found[3] == []
+
+
+def test_columns_of_the_same_name_are_kept(spark):
+    docs = spark.createDataFrame([(1, "a b", 5.0, 6, "x")], "doc_id long, text string, score double, _score int, Lang_pred string")
+    model = learn_languages(docs.selectExpr("text", "'en' AS lang"))
+    found = identify(docs, model)
+    assert found.columns == ["doc_id", "text", "__score", "_score", "_Lang_pred", "lang_pred", "score"] and found.first()["__score"] == 5.0
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
+    scored = score_quality(docs, learn_quality(docs, labels))
+    assert scored.columns == ["doc_id", "text", "__score", "_score", "Lang_pred", "score", "predicted"] and scored.first()["_score"] == 6

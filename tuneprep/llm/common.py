@@ -27,19 +27,22 @@ def _append(batches: Iterator[pa.RecordBatch], text: str, compute: Callable, nam
             yield pa.RecordBatch.from_arrays([*cut.columns, *compute(cut)], [*cut.schema.names, *names])
 
 
-def free_name(df: DataFrame, name: str) -> str:
-    """``name``, lengthened until no column is called so."""
-    taken = {c.lower() for c in df.columns}
+def free_name(df: DataFrame, name: str, others: tuple[str, ...] = ()) -> str:
+    """``name``, lengthened until no column, and none of ``others``, is called so."""
+    taken = {c.lower() for c in (*df.columns, *others)}
     while name.lower() in taken:
         name = f"_{name}"
     return name
 
 
 def append_columns(df: DataFrame, text: str, fields: list[T.StructField], compute: Callable) -> DataFrame:
-    """All columns of ``df`` and new ones that ``compute`` makes from each slice of rows, about a MB of text at a time."""
-    taken = {f.name for f in fields} & set(df.columns)
-    if taken:
-        raise ValueError(f"Columns {sorted(taken)} exist already.")
+    """All columns of ``df`` and new ones that ``compute`` makes from each slice of rows, about a MB of text at a time.
+
+    A column that has the name of a new one gets underscores before it.
+    """
     names = [f.name for f in fields]
+    for column in df.columns:
+        if column.lower() in {name.lower() for name in names}:
+            df = df.withColumnRenamed(column, free_name(df, column, tuple(names)))
     schema = T.StructType([*df.schema.fields, *fields])
     return df.mapInArrow(lambda batches: _append(batches, text, compute, names), schema)

@@ -3,13 +3,14 @@
 Each language's model is its frequency of letter trigrams (bytes of the UTF-8 text, A-Z
 folded, everything between words as one space), hashed into a fixed table and counted
 over all training rows. A document is a mixture: EM finds the languages' shares from the
-likelihoods of its words, and the set of languages is the one of the few nested sets
-(largest shares first) with the best likelihood less a penalty per language.
+likelihoods of its words, and the set of languages is the one of the nested sets (largest
+shares first, up to all learned languages) with the best likelihood less a penalty per language.
+EM runs for each document until its shares stand still.
 
 Defined cases: NULL texts and texts without a letter are ``und`` with score 0; so is
 every text where nothing could be learned. Training rows with NULL lang or text do not count.
 Rows are judged one by one, so repeated rows get the same answer; very long texts are
-read whole, by the task that has them.
+read whole, by the task that has them. A column that has the name of a new one gets underscores before it.
 """
 
 from __future__ import annotations
@@ -30,8 +31,7 @@ from tuneprep.llm.words import LOWER, slices, text_bytes
 SIZE = 1 << 16
 PIECES = 8
 SMOOTHING = 0.5
-ITERATIONS = 6
-LARGEST_SET = 3
+TOLERANCE, MOST_ROUNDS = 1e-3, 500  # EM stops when no share moves by more; the rounds only bound a text without an answer
 PENALTY = 8.0
 UNKNOWN = "und"
 LEAST_SHARE = 0.5
@@ -111,6 +111,28 @@ def learn_languages(docs: DataFrame) -> LanguageModel:
     return LanguageModel(names, table.astype(np.float32))
 
 
+def _climb(likelihood: np.ndarray, row: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """EM from given shares until each row's stand still: the shares, and the rows' log-likelihoods."""
+    rows = len(share)
+    words = np.bincount(row, minlength=rows)
+    first = np.cumsum(words) - words
+    result, active = share.copy(), np.arange(rows)
+    part, at, starts, counts, now = likelihood, row, first, words, share
+    for _ in range(MOST_ROUNDS):
+        joint = part * now[at]
+        joint /= joint.sum(axis=1)[:, None]
+        new = np.add.reduceat(joint, starts, axis=0) / counts[:, None]
+        moves = np.abs(new - now).max(axis=1) > TOLERANCE
+        result[active], now = new, new
+        if not moves.any():
+            break
+        if counts[moves].sum() < 0.7 * counts.sum():  # go on with the words of rows that still move
+            part, counts, active, now = part[moves[at]], counts[moves], active[moves], new[moves]
+            at = np.repeat(np.arange(len(active)), counts)
+            starts = np.cumsum(counts) - counts
+    return result, np.add.reduceat(np.log((likelihood * result[row]).sum(axis=1)), first)
+
+
 def shares(likelihood: np.ndarray, row: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Language shares of every row (rows x languages) and how many languages the row has.
 
@@ -119,37 +141,38 @@ def shares(likelihood: np.ndarray, row: np.ndarray, first: np.ndarray) -> tuple[
     """
     rows, languages = len(first), likelihood.shape[1]
     words = np.bincount(row, minlength=rows)
-
-    def fit(share: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        joint = likelihood * share[row]
-        whole = joint.sum(axis=1)
-        joint /= whole[:, None]
-        return np.add.reduceat(joint, first, axis=0) / words[:, None], np.add.reduceat(np.log(whole), first)
-
-    share = np.full((rows, languages), 1 / languages, np.float32)
-    for _ in range(ITERATIONS):
-        share = fit(share)[0].astype(np.float32)
+    penalty = PENALTY * 0.5 * np.log(words + 1)  # for each further language
+    share, whole = _climb(likelihood, row, np.full((rows, languages), 1 / languages))
     rank = np.argsort(np.argsort(-share, axis=1, kind="stable"), axis=1)
-    best = np.full(rows, -np.inf)
-    chosen, size = share, np.zeros(rows, np.int64)
-    for k in range(1, min(LARGEST_SET, languages) + 1):
-        part = np.where(rank < k, np.maximum(share, np.float32(1e-6)), np.float32(0))
-        part /= part.sum(axis=1, keepdims=True)
-        refined, fitted = fit(np.maximum(part, np.float32(1e-30)))
-        gain = fitted - PENALTY * 0.5 * (k - 1) * np.log(words + 1)
-        better = gain > best
-        best = np.where(better, gain, best)
-        chosen = np.where(better[:, None], refined, chosen)
-        size[better] = k
+    chosen, size = (rank == 0).astype(float), np.ones(rows, np.int64)
+    best = np.add.reduceat(np.log(np.maximum(likelihood[np.arange(len(row)), rank.argmin(axis=1)[row]], 1e-300)), first)
+    for k in range(2, languages + 1):
+        # No set is likelier than all languages together, so most rows are settled.
+        open_rows = np.flatnonzero(whole - (k - 1) * penalty > best - 1e-6)
+        if not len(open_rows):
+            break
+        of_row = np.full(rows, -1)
+        of_row[open_rows] = np.arange(len(open_rows))
+        mine = of_row[row] >= 0
+        start = np.where(rank[open_rows] < k, np.maximum(share[open_rows], 1e-3), 0)
+        found, fitted = _climb(np.maximum(likelihood[mine], 1e-300), of_row[row[mine]], start / start.sum(axis=1)[:, None])
+        gain = fitted - (k - 1) * penalty[open_rows]
+        better = gain > best[open_rows]
+        at = open_rows[better]
+        best[at], chosen[at], size[at] = gain[better], found[better], k
     return chosen, size
 
 
-def _predict(batch: pa.RecordBatch, text: str, names: list[str], model: np.ndarray) -> list[pa.Array]:
+LANGUAGES = pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())]))
+
+
+def _predict(batch: pa.RecordBatch, text: str, names: list[str], model: np.ndarray, listed: bool) -> list[pa.Array]:
     column = batch.column(text)
     data, bounds = text_bytes(column)
     grams, starts, first = trigrams(data, bounds)
     lang = np.full(batch.num_rows, UNKNOWN, object)
     score = np.zeros(batch.num_rows)
+    mixtures: list[list] = [[] for _ in range(batch.num_rows)]
     filled = np.flatnonzero(np.diff(first))
     if len(filled) and len(names):
         ascii_letters = (LETTER[data] != 32) & (data < 128)
@@ -160,21 +183,31 @@ def _predict(batch: pa.RecordBatch, text: str, names: list[str], model: np.ndarr
         logs = np.stack([np.add.reduceat(row[grams], starts) for row in model], axis=1)
         logs -= logs.max(axis=1, keepdims=True)
         row = np.repeat(np.arange(len(filled)), np.diff(first)[filled])
-        share, _ = shares(np.exp(np.maximum(logs, -60)), row, first[:-1][filled])
+        share, size = shares(np.exp(np.maximum(logs, -60).astype(float)), row, first[:-1][filled])
         best = share.argmax(axis=1)
         lang[filled] = np.array(names, object)[best]
         score[filled] = np.minimum(share[np.arange(len(filled)), best], 1.0)
         lang[~lettered], score[~lettered] = UNKNOWN, 0.0
-    return [pa.array(lang, pa.string()), pa.array(score, pa.float64())]
+        for i, own, n in zip(filled.tolist(), share, size.tolist(), strict=True) if listed else ():
+            order = np.argsort(-own, kind="stable")[:n]
+            mixtures[i] = [{"lang": names[j], "share": float(own[j])} for j in order] if lettered[i] else []
+    found = [pa.array(lang, pa.string()), pa.array(score, pa.float64())]
+    return [*found, pa.array(mixtures, LANGUAGES)] if listed else found
 
 
 def identify(
-    docs: DataFrame, model: LanguageModel, text: str = "text", names: tuple[str, str] = ("lang_pred", "score")
+    docs: DataFrame, model: LanguageModel, text: str = "text", names: tuple[str, str] = ("lang_pred", "score"), mixture: str | None = None
 ) -> DataFrame:
-    """All columns and, under ``names``, the language and its share of the text."""
+    """All columns and, under ``names``, the language and its share of the text.
+
+    ``mixture`` names a further column for the whole set of languages that was chosen: an array of (lang, share), largest first.
+    """
     shared = docs.sparkSession.sparkContext.broadcast((model.names, model.table))
     fields = [T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())]
-    return append_columns(docs, text, fields, lambda batch: _predict(batch, text, *shared.value))
+    if mixture is not None:
+        part = T.StructType([T.StructField("lang", T.StringType()), T.StructField("share", T.DoubleType())])
+        fields.append(T.StructField(mixture, T.ArrayType(part)))
+    return append_columns(docs, text, fields, lambda batch: _predict(batch, text, *shared.value, mixture is not None))
 
 
 def keep_identified(docs: DataFrame, model: LanguageModel, least_share: float = LEAST_SHARE) -> DataFrame:

@@ -7,7 +7,7 @@ their weights are averaged. Scoring is a sparse dot product over every whole tex
 
 Defined cases: NULL and empty texts have no n-grams and score the intercept; rows whose label is
 NULL are not learned from, and of repeated labels of one doc_id the largest counts; without any
-label every score is 0.5.
+label every score is 0.5. A column called ``score`` or ``predicted`` gets underscores before it.
 """
 
 from __future__ import annotations
