@@ -23,12 +23,18 @@ from tuneprep.llm.token_ids import tokenized
 from tuneprep.storage import materialize
 
 
+# What goes to a Python worker at a time. Stages hold several such batches on both sides, whole texts in them.
+BATCH_KEY, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
+
+
 def stage(function):
-    """A stage makes sure that the workers find the package."""
+    """A stage makes sure that the workers find the package, and keeps batches small unless the application names a size."""
 
     @functools.wraps(function)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         ship(spark)
+        if spark.sparkContext.getConf().get(BATCH_KEY) is None:
+            spark.conf.set(BATCH_KEY, str(BATCH_BYTES))
         return function(spark, docs, sf_dir)
 
     return run_stage
