@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tuneprep.operators.ordering import first_n, nth_key, with_running_total
+from tuneprep.operators.ordering import OrderedKeys, first_n, nth_key, with_running_total
 
 
 @pytest.fixture
@@ -81,6 +81,21 @@ def test_nth_key_over_several_ranges(spark, many_parts, n):
     assert (row.a, row.b) == sorted(row[1:3] for row in data)[n - 1]
 
 
+@pytest.mark.parametrize("n", [1, 40, 499, 500, 900])
+def test_first_keys_with_positions(spark, many_parts, n):
+    data, df = keyed(spark)
+    keys = OrderedKeys(df, ["a", "b"]).first(n)
+    expected = [(a, b, i) for i, (a, b) in enumerate(sorted(row[1:3] for row in data)[:n])]
+    assert sorted((r.a, r.b, r.position) for r in keys.collect()) == expected
+    assert OrderedKeys(df.limit(0), ["a", "b"]).first(n).collect() == []
+
+
+def test_looking_a_key_up_sorts_nothing(spark, many_parts):
+    keys = OrderedKeys(keyed(spark)[1], ["a", "b"])
+    plan = keys.first(7)._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(_slot), LessThanOrEqual(_slot" in plan and "Sort [a" not in plan
+
+
 def test_nth_key_evaluates_its_input_twice(spark):
     seen = spark.sparkContext.accumulator(0)
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -14,7 +13,7 @@ from pyspark.sql import types as T
 from tuneprep.functions.messages import ChatTemplate
 from tuneprep.functions.text import word_tokens
 from tuneprep.operators.columns import TEXT_FIELD, pair_texts, prompt_texts
-from tuneprep.operators.ordering import first_n, nth_key, up_to, with_running_total
+from tuneprep.operators.ordering import OrderedKeys, up_to
 from tuneprep.storage import materialize
 
 IDS = T.ArrayType(T.IntegerType())
@@ -30,18 +29,16 @@ def build_vocab(
     """The ``size`` most frequent words as (token, id, n), ids by count, then by word.
 
     Counting combines before the shuffle, so a word that makes up a third of all
-    text costs one row per task. The counts are written once: cutting them to the
-    most frequent and numbering those reads them several times.
+    text costs one row per task. The counts are written once, in their order, and the
+    first of them are read back with their positions.
     """
     if size < 1:
         raise ValueError("A vocabulary needs at least one word.")
     counts = df.select(F.explode(word_tokens(F.col(text_col))).alias("token")).groupBy("token").agg(
-        F.count(F.lit(1)).alias("n")
+        (-F.count(F.lit(1))).alias("_rank")
     )
-    order = ["_rank", "token"]
-    top = first_n(materialize(counts.select((-F.col("n")).alias("_rank"), "token", "n"), "counts"), size, order)
-    numbered = with_running_total(top, order, before="_row")
-    return numbered.select("token", (F.col("_row") + first_id).cast("int").alias("id"), "n")
+    top = OrderedKeys(counts, ["_rank", "token"], unique=True).first(size, "_row")
+    return top.select("token", (F.col("_row") + first_id).cast("int").alias("id"), (-F.col("_rank")).alias("n"))
 
 
 def _lookup(spark, table: pa.Table, unknown_id: int | None):
@@ -143,10 +140,11 @@ class Vocabulary:
 
     def _frequent(self, used: DataFrame) -> Column:
         """Which words to broadcast: the most frequent, as many as are certain to fit."""
-        words = max(1, self.broadcast_words)
+        order, words = ["_rank", "token"], max(1, self.broadcast_words)
+        keys = OrderedKeys(used, order, unique=True)
         while True:
-            last = nth_key(used, ["_rank", "token"], words)
-            chosen = F.lit(True) if last is None else up_to(used, ["_rank", "token"], last)
+            last = keys.nth(words)
+            chosen = F.lit(True) if last is None else up_to(used, order, last)
             size = used.where(chosen).agg(F.sum(F.octet_length("token"))).first()[0] or 0
             if size <= BROADCAST_BYTES or words == 1:
                 return chosen

@@ -141,34 +141,60 @@ def up_to(df: DataFrame, order_by: Sequence[str], row: Row) -> Column:
 
 
 class OrderedKeys:
-    """A table's order keys, written once in ranges, to look up the n-th of them.
-
-    The input is evaluated to sample the ranges and to write (range, keys), never
-    again. Counts of the ranges say which one holds the n-th key, and only that one is
-    sorted. NULL keys and repeated keys are refused.
+    """A table's order keys, written once in sorted ranges: an index of positions.
+
+    The input is evaluated to sample the ranges and to write (keys, slot), never again.
+    A slot holds the range and the place in it, so slots rise in key order, and the counts
+    of the ranges turn a position into a slot: a look-up reads one row and sorts nothing.
+    NULL keys and repeated keys are refused; equal keys share a range, so counting their
+    copies needs no further shuffle. ``unique`` says that keys cannot repeat, such as those
+    of a grouping.
     """
 
-    def __init__(self, df: DataFrame, order_by: Sequence[str]):
+    def __init__(self, df: DataFrame, order_by: Sequence[str], unique: bool = False):
         self.order = _require_order(order_by)
-        ranged = df.select(*self.order).repartitionByRange(*self.order).withColumn("_part", F.spark_partition_id())
-        self.keys = materialize(ranged, "order-keys")
-        nulls = F.count_if(_any_null(self.order))
-        self.parts = self.keys.groupBy("_part").agg(F.count(F.lit(1)).alias("rows"), nulls.alias("nulls"))
-        self.rows, missing = self.parts.agg(F.coalesce(F.sum("rows"), F.lit(0)), F.sum("nulls")).first()
+        ranged = df.select(*self.order).repartitionByRange(*self.order)
+        copies = F.count(F.lit(1)).alias("_copies")
+        ranged = ranged.withColumn("_copies", F.lit(1)) if unique else ranged.groupBy(*self.order).agg(copies)
+        slots = ranged.sortWithinPartitions(*self.order).withColumn("_slot", F.monotonically_increasing_id())
+        self.keys = materialize(slots, "order-keys")
+        self.parts = self.keys.groupBy(F.shiftright("_slot", 33).alias("_part")).agg(
+            F.sum("_copies").alias("rows"),
+            F.count_if(_any_null(self.order)).alias("nulls"),
+            F.max("_copies").alias("copies"),
+        )
+        totals = self.parts.agg(F.coalesce(F.sum("rows"), F.lit(0)), F.sum("nulls"), F.max("copies"))
+        self.rows, missing, most = totals.first()
         if missing:
             raise ValueError("Order columns must not be NULL.")
-        if not self.keys.groupBy(*self.order).count().where("count > 1").isEmpty():
+        if (most or 0) > 1:
             raise ValueError("order_by must identify each row, but some keys repeat.")
 
-    def nth(self, n: int) -> Row | None:
-        """The ``n``-th key (from 1); None if there are no more than ``n`` rows."""
+    def _ranges(self) -> DataFrame:
+        """Each range with the number of rows ``before`` it; one row per range."""
+        before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+        return self.parts.select("_part", "rows", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("before"))
+
+    def _slot(self, n: int) -> int | None:
+        """The slot of the ``n``-th key (from 1); None if there are no more than ``n`` rows."""
         if n >= self.rows:
             return None
-        before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
-        parts = self.parts.withColumn("before", F.coalesce(F.sum("rows").over(before), F.lit(0)))
-        part = parts.where((F.col("before") < n) & (F.col("before") + F.col("rows") >= n)).first()
-        inside = self.keys.where(F.col("_part") == part["_part"]).select(*self.order)
-        return inside.orderBy(*self.order).offset(n - 1 - part["before"]).limit(1).first()
+        part = self._ranges().where((F.col("before") < n) & (F.col("before") + F.col("rows") >= n)).first()
+        return (part["_part"] << 33) + n - 1 - part["before"]
+
+    def nth(self, n: int) -> Row | None:
+        """The ``n``-th key (from 1); None if there are no more than ``n`` rows."""
+        slot = self._slot(n)
+        return None if slot is None else self.keys.where(F.col("_slot") == slot).select(*self.order).first()
+
+    def first(self, n: int, position: str = "position") -> DataFrame:
+        """The first ``n`` keys and their position, from 0. The cut reaches the scan of the written keys."""
+        slot = self._slot(n)
+        keys = self.keys if slot is None else self.keys.where(F.col("_slot") <= slot)
+        shift = F.broadcast(self._ranges().select("_part", "before"))
+        place = F.col("_slot").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("before")
+        placed = keys.withColumn("_part", F.shiftright("_slot", 33)).join(shift, "_part")
+        return placed.select(*self.order, place.alias(position))
 
 
 def nth_key(df: DataFrame, order_by: Sequence[str], n: int) -> Row | None:
