@@ -51,6 +51,35 @@ def test_results_are_replaced(spark, out_dir):
     assert ids(spark.read.parquet(write_prepared(spark.range(3), out_dir))) == [0, 1, 2]
 
 
+def test_a_failed_write_leaves_the_earlier_result(spark, out_dir):
+    path = write_prepared(spark.range(9), out_dir)
+    failing = spark.range(0, 100, 1, 4).withColumn("x", F.when(F.col("id") > 90, F.raise_error(F.lit("broken"))))
+    with pytest.raises(Exception, match="broken"):
+        write_prepared(failing, out_dir)
+    assert ids(spark.read.parquet(path)) == list(range(9))
+    assert os.listdir(out_dir) == ["final"]
+
+
+def test_a_result_is_made_from_the_one_it_replaces(spark, out_dir):
+    path = write_prepared(spark.range(9), out_dir, "a/b")
+    assert write_prepared(spark.read.parquet(path).where("id > 5"), out_dir, "a/b") == path
+    assert ids(spark.read.parquet(path)) == [6, 7, 8]
+
+
+def test_a_killed_replacement_is_brought_back(spark, out_dir):
+    path = write_prepared(spark.range(3), out_dir)
+    aside = f"{out_dir}/_final.replaced"
+    os.rename(path, aside)  # killed between the two renames
+    storage.restore_folder(spark, path)
+    assert ids(spark.read.parquet(path)) == [0, 1, 2]
+    spark.range(7).write.parquet(aside)  # killed before the old one was deleted
+    write_prepared(spark.range(2), out_dir)
+    assert ids(spark.read.parquet(path)) == [0, 1] and os.listdir(out_dir) == ["final"]
+    with pytest.raises(Exception, match="none"):
+        storage.replace_folder(spark, f"{out_dir}/none", path)
+    assert ids(spark.read.parquet(path)) == [0, 1]
+
+
 def test_arguments(spark, out_dir):
     with pytest.raises(ValueError):
         read_split(spark, out_dir, "train", fmt="csv")

@@ -79,6 +79,16 @@ def prepared_table(spark, sf_dir):
     return spark.read.parquet(write_prepared(texts, scratch_path(spark, "prepared")))
 
 
+@query("SELECT role, turn % 2 AS half, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM conversations GROUP BY ALL")
+def write_prepared_replaced(spark, sf_dir):
+    """A result made from the one that it replaces, partitioned anew."""
+    base = scratch_path(spark, "replaced")
+    earlier = spark.read.parquet(write_prepared(views.table(spark, sf_dir, "conversations"), base))
+    halves = earlier.withColumn("half", F.col("turn") % 2)
+    later = spark.read.parquet(write_prepared(halves, base, partition_by=("role",)))
+    return later.groupBy("role", "half").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"))
+
+
 @query("SELECT role, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM conversations GROUP BY role")
 def read_split_arrow(spark, sf_dir):
     """Written by the sink in two commits, read back with two of four columns."""

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tuneprep.sources.arrow_files import read_arrow, stream_arrow, write_arrow
+from tuneprep.storage import delete_folder, replace_folder
 
 # The usual folders of a local dataset and the final result folder.
 LAYOUT = {"sft": "finetune", "reward_train": "reward", "reward_eval": "evaluation", "prompts": "rl"}
@@ -89,7 +92,14 @@ def read_stream(
 
 
 def write_prepared(df: DataFrame, out: str, name: str = FINAL, fmt: str = "parquet", partition_by: tuple[str, ...] = ()) -> str:
-    """Write a result to its fixed place below ``out``, replacing an earlier one; return the path."""
+    """Write a result to its fixed place below ``out``, replacing an earlier one; return the path.
+
+    The new result is written aside, complete, and then takes the earlier one's place by
+    renames: a job that fails leaves the earlier one readable, and a result may be made
+    from the one that it replaces. Killed between the two renames, the earlier one waits as
+    ``_<name>.replaced`` and the next write brings it back first. One job writes to a place
+    at a time.
+    """
     if not out:
         raise ValueError("Name an output folder.")
     _check_format(fmt)
@@ -99,5 +109,12 @@ def write_prepared(df: DataFrame, out: str, name: str = FINAL, fmt: str = "parqu
             raise ValueError("Arrow files are not written by partition.")
         write_arrow(df, path)
         return path
-    df.write.mode("overwrite").partitionBy(*partition_by).format(fmt).save(path)
+    folder, _, leaf = path.rpartition("/")
+    new = f"{folder}/_{leaf}.{uuid.uuid4().hex}"
+    try:
+        df.write.partitionBy(*partition_by).format(fmt).save(new)
+        replace_folder(df.sparkSession, new, path)
+    except Exception:
+        delete_folder(df.sparkSession, new)
+        raise
     return path

@@ -44,11 +44,52 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{_scope.get() or _app_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder, if it exists."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def replace_folder(spark: SparkSession, new: str, path: str) -> None:
+    """Put the complete folder ``new`` in the place of ``path``, which may hold an earlier one.
+
+    The earlier folder steps aside by a rename and is deleted last; if ``new`` cannot take
+    its place, it comes back.
+    """
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    source, target, aside = hadoop(new), hadoop(path), hadoop(_aside(path))
+    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    restore_folder(spark, path)
+    if files.exists(target) and not files.rename(target, aside):
+        raise OSError(f"{path} cannot be replaced.")
+    moved = False
+    try:
+        moved = files.rename(source, target)
+    finally:
+        if not moved:
+            restore_folder(spark, path)
+    if not moved:
+        raise OSError(f"{new} cannot be moved to {path}.")
+    files.delete(aside, True)
+
+
+def restore_folder(spark: SparkSession, path: str) -> None:
+    """Bring back what a replacement that was killed between its two renames had put aside."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    target, aside = hadoop(path), hadoop(_aside(path))
+    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    if files.exists(aside):
+        if files.exists(target):  # the new one had arrived
+            files.delete(aside, True)
+        elif not files.rename(aside, target):
+            raise OSError(f"{path} cannot be restored.")
+
+
+def _aside(path: str) -> str:
+    folder, _, name = path.rstrip("/").rpartition("/")
+    return f"{folder}/_{name}.replaced"
+
+
 class Scratch:
     """What one operation has written; ``drop`` it once its results are stored elsewhere."""
 
@@ -56,7 +97,7 @@ class Scratch:
         self.spark, self.path = spark, path
 
     def drop(self) -> None:
-        _delete(self.spark, self.path)
+        delete_folder(self.spark, self.path)
 
 
 @contextmanager
@@ -76,7 +117,7 @@ def scratch(spark: SparkSession) -> Iterator[Scratch]:
 
 def drop_scratch(spark: SparkSession) -> None:
     """Delete all that this application wrote below the shared folder; call when all results are stored."""
-    _delete(spark, _app_dir(spark))
+    delete_folder(spark, _app_dir(spark))
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
