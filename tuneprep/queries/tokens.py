@@ -13,6 +13,7 @@ from tuneprep.operators.encoding import (
     encode_pairs,
     encode_prompts,
     encode_with,
+    pad_or_eos,
 )
 from tuneprep.operators.mapping import map_batches
 from tuneprep.queries import sql
@@ -23,6 +24,7 @@ KEY = list(views.TURN_KEY)
 WORDS, EOS, FIRST_ID = 2000, 1, 2
 MAX_LENGTH = 512  # of encode_truncated alone; all other queries take whole texts
 BLOCK, BATCH = 128, 8
+MULTIPLE, PAD_LENGTH = 8, 64  # of the padding options
 
 DOC_WORDS = sql.words("doc_words", "documents", "doc_id, lang")
 DOC_VOCAB = f"{DOC_WORDS}, {sql.vocab('doc_words', WORDS, FIRST_ID)}"
@@ -235,11 +237,12 @@ def assign_batches_drop_last(spark, sf_dir):
     return assign_batches(documents, BATCH // 2, ["doc_id"], group_by=["lang"], accumulation=2, drop_last=True)
 
 
-def collate_sql(pairs: str, pad: int) -> str:
+def collate_sql(pairs: str, pad: int, left: bool = False) -> str:
     """Pad a table (keys, batch columns, ids_j, ids_k, longest_j, longest_k)."""
 
     def padded(ids: str, longest: str, value: int) -> str:
-        return _joined(f"list_concat({ids}, list_transform(range({longest} - len({ids})), lambda x: {value}))")
+        fill = f"list_transform(range({longest} - len({ids})), lambda x: {value})"
+        return _joined(f"list_concat({fill}, {ids})" if left else f"list_concat({ids}, {fill})")
 
     columns = []
     for side in ("j", "k"):
@@ -249,25 +252,48 @@ def collate_sql(pairs: str, pad: int) -> str:
     return f"SELECT conv_id, turn, batch_id, {', '.join(columns)}, true AS return_loss FROM {pairs}"
 
 
-@query(
-    f"""
+def _collate_sql(longest_j: str, longest_k: str, left: bool = False) -> str:
+    return f"""
 WITH {PAIR_IDS},
 batched AS (SELECT *, (row_number() OVER (ORDER BY conv_id, turn) - 1) // {BATCH} AS batch_id FROM pair_ids),
-measured AS (
-  SELECT *, max(len(ids_j)) OVER (PARTITION BY batch_id) AS longest_j,
-    max(len(ids_k)) OVER (PARTITION BY batch_id) AS longest_k FROM batched
-)
-{collate_sql('measured', EOS)}""",
-    "collate_pairs",
-)
-def collated_pairs(spark, sf_dir):
+longest AS (
+  SELECT *, max(len(ids_j)) OVER (PARTITION BY batch_id) AS most_j,
+    max(len(ids_k)) OVER (PARTITION BY batch_id) AS most_k FROM batched
+),
+measured AS (SELECT *, {longest_j} AS longest_j, {longest_k} AS longest_k FROM longest)
+{collate_sql('measured', EOS, left)}"""
+
+
+def _collated(spark, sf_dir, **options):
     batched = assign_batches(views.pairs(spark, sf_dir), BATCH, KEY)
     ids = encode_pairs(batched, chat_vocab(spark, sf_dir), keep=[*KEY, "batch_id"])
-    padded = collate_pairs(ids, EOS)
+    padded = collate_pairs(ids, pad_or_eos(None, EOS), **options)
     names = [name for name in padded.columns if name.startswith(("input_ids", "attention_mask"))]
     return padded.select(*KEY, "batch_id", *[shown(name) for name in names], "return_loss")
 
 
+@query(_collate_sql("most_j", "most_k"), "collate_pairs")
+def collated_pairs(spark, sf_dir):
+    return _collated(spark, sf_dir)
+
+
+@query(_collate_sql(*[f"(most_{side} + {MULTIPLE - 1}) // {MULTIPLE} * {MULTIPLE}" for side in "jk"], left=True))
+def collate_pairs_left(spark, sf_dir):
+    """Filled up on the left, to a multiple of eight."""
+    return _collated(spark, sf_dir, padding="longest", pad_to_multiple_of=MULTIPLE, padding_side="left")
+
+
+@query(_collate_sql(f"{PAD_LENGTH}", f"{PAD_LENGTH}"))
+def collate_pairs_max_length(spark, sf_dir):
+    """Filled up to a fixed length; longer rows stay whole."""
+    return _collated(spark, sf_dir, padding="max_length", max_length=PAD_LENGTH)
+
+
+@query(_collate_sql("0", "0"))
+def collate_pairs_unpadded(spark, sf_dir):
+    return _collated(spark, sf_dir, padding=False)
+
+
 @query("SELECT doc_id, length(text) AS length FROM documents", "map_batches")
 def mapped_documents(spark, sf_dir):
     documents = documents_text(spark, sf_dir)
