@@ -221,3 +221,90 @@ placed AS (
 )
 SELECT doc_id, n_features, weight, score, CASE WHEN able AND place <= 5 * all_able // 100 THEN place END AS rank FROM placed
 """
+
+
+# A set's class stands for all documents with that set; links between classes are confirmed on whole sets.
+SQL["op3_near_duplicates"] = r"""
+WITH RECURSIVE words AS (
+    SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+    FROM documents
+),
+sets AS (
+    SELECT r, doc_id, list_sort(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+        ELSE list_transform(range(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3]) END)) AS s
+    FROM words
+),
+classes AS (SELECT s, min(doc_id) AS rep, len(s) AS n FROM sets WHERE doc_id IS NOT NULL AND len(s) > 0 GROUP BY s),
+members AS (SELECT rep, n, unnest(s) AS shingle FROM classes),
+links AS (
+    SELECT a.rep AS a, b.rep AS b FROM members a JOIN members b ON a.shingle = b.shingle AND a.rep <> b.rep
+    GROUP BY a.rep, b.rep HAVING 100 * count(*) >= 80 * (any_value(a.n) + any_value(b.n) - count(*))
+),
+reached(rep, other) AS (
+    SELECT rep, rep FROM classes
+    UNION SELECT reached.rep, links.b FROM reached JOIN links ON links.a = reached.other
+),
+smallest AS (SELECT rep, min(other) AS component FROM reached GROUP BY rep),
+found AS (
+    SELECT t.doc_id, CAST(len(t.s) AS BIGINT) AS n_shingles, CASE WHEN t.doc_id IS NULL THEN NULL ELSE coalesce(component, t.doc_id) END AS component_id
+    FROM sets t LEFT JOIN classes c ON c.s = t.s LEFT JOIN smallest USING (rep)
+)
+SELECT *, coalesce(doc_id = component_id, true) AS kept FROM found
+"""
+
+
+# Five hexadecimal digits are four letters of base 32.
+SQL["op6_warc"] = """
+WITH payloads AS (SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS h FROM pages),
+firsts AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first_id FROM payloads)
+SELECT page_id, CAST(octet_length(encode(payload)) AS BIGINT) AS payload_bytes,
+    array_to_string(list_transform(range(32), lambda k:
+        substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+            CAST(1 + ((CAST('0x' || substr(h, CAST(5 * (k // 4) + 1 AS BIGINT), 5) AS BIGINT) >> CAST(15 - 5 * (k % 4) AS BIGINT)) & 31) AS BIGINT), 1)), '') AS payload_digest,
+    CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+    CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM firsts
+"""
+
+
+SQL["op9_repeats"] = r"""
+WITH texts AS (
+    SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+),
+windows AS (
+    SELECT r, doc_id, unnest(range(1, len(w) - 11)) AS i,
+        unnest(list_transform(range(1, len(w) - 11), lambda i: array_to_string(w[i:i + 12], ' '))) AS key
+    FROM texts WHERE doc_id IS NOT NULL
+),
+sources AS (SELECT *, min(doc_id) OVER (PARTITION BY key) AS source FROM windows),
+covered AS (SELECT DISTINCT r, unnest(range(i, i + 13)) AS i FROM sources WHERE source < doc_id),
+words AS (SELECT r, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS word FROM texts),
+kept AS (
+    SELECT r, string_agg(word, ' ' ORDER BY i) FILTER (c.i IS NULL) AS rest, count(c.i) AS n_removed
+    FROM words LEFT JOIN covered c USING (r, i) GROUP BY r
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(rest, '')) AS kept_sha256
+FROM texts LEFT JOIN kept USING (r)
+"""
+
+
+# A control string and a backslash each get one more character when they are escaped.
+SQL["op10_chat_tree"] = r"""
+WITH turns AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
+    UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+    UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+),
+sized AS (
+    SELECT *, length(text) + len(regexp_extract_all(text, '<<SYS>>|<</SYS>>|\[INST\]|\[/INST\]|<s>|</s>|\\')) AS body,
+        length(role) + len(regexp_extract_all(role, '<<SYS>>|<</SYS>>|\[INST\]|\[/INST\]|<s>|</s>|\\|\n')) AS head
+    FROM turns
+)
+SELECT CAST(conv_id AS BIGINT) AS conv_id, count(*) AS n_turns,
+    sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+    CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+    sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+    CAST(sum(body + CASE role WHEN 'user' THEN 15 WHEN 'assistant' THEN 6 ELSE head + 16 END) AS BIGINT) AS formatted_chars
+FROM sized GROUP BY conv_id
+"""
