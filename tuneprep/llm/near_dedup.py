@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tuneprep.llm.components import components
+from tuneprep.llm.components import components, joined
 from tuneprep.llm.words import BASE, find_words, hash_words, mix, powers, slices, text_bytes, windows
 from tuneprep.storage import materialize
 
@@ -342,7 +342,7 @@ class NearDuplicates:
         members = rows.join(self.classes.select("rep", "n_shingles", "sketch"), "rep")
         columns = ["value", "block", "guest", "rep", "component", "n_shingles", "sketch"]
         dealt = members.select(*columns).repartition("value", "block").sortWithinPartitions("value", "block", "guest", "rep")
-        return materialize(dealt.mapInArrow(_compare, "a long, b long").distinct(), "candidates")
+        return dealt.mapInArrow(_compare, "a long, b long")
 
     def families(self) -> DataFrame:
         """(node, component): documents joined by estimates; every linked pair is in one family."""
@@ -350,14 +350,12 @@ class NearDuplicates:
         blocks = F.ceil(F.col("members") / LIST).cast("int")
         block = F.pmod(F.xxhash64("rep", F.lit(0)), blocks).cast("int")
         first = lists.withColumns({"component": F.col("rep"), "block": block, "guest": F.lit(False)})
-        links = self.candidates(first)
+        labels = components(self.candidates(first))
         hot = lists.where("hot").drop("hot")
         if hot.isEmpty():
-            return materialize(components(links), "families")
-        labels = materialize(components(links), "families")
+            return labels
         rest = _with_guests(_labelled(hot, labels, "value"), "value", blocks, 2)
-        links = links.unionByName(self.candidates(rest))
-        return materialize(components(links), "families")
+        return joined(labels, self.candidates(rest))
 
     def full_sets(self, reps: DataFrame) -> DataFrame:
         """(rep, full): whole shingle sets of the given representatives, from another scan of the texts."""
@@ -377,9 +375,10 @@ class NearDuplicates:
         """True links, joined to few, over rows with family, block, guest, rep and component."""
         members = rows.join(sets, "rep").select("family", "block", "guest", "rep", "component", "full")
         dealt = members.repartition("family", "block").sortWithinPartitions("family", "block", "guest", "rep")
-        return materialize(dealt.mapInArrow(_link, "a long, b long").distinct(), "true-links")
+        return dealt.mapInArrow(_link, "a long, b long")
 
-    def links(self) -> DataFrame:
+    def components(self) -> DataFrame:
+        """(node, component) by true links alone."""
         families = self.families().select(F.col("node").alias("rep"), F.col("component").alias("family"))
         sets = self.full_sets(families.select("rep"))
         sizes = families.groupBy("family").agg(F.count(F.lit(1)).alias("members"))
@@ -387,16 +386,16 @@ class NearDuplicates:
         blocks = F.ceil(F.col("members") / LIST).cast("int")
         block = F.pmod(F.xxhash64("rep", F.lit(3)), blocks).cast("int")
         first = members.withColumns({"component": F.col("rep"), "block": block, "guest": F.lit(False)})
-        links = self.linked(first, sets)
+        labels = components(self.linked(first, sets))
         large = members.where(F.col("members") > LIST)
         if large.isEmpty():
-            return links
+            return labels
         # Within its block every member has met all others; what is apart there visits the other blocks.
-        apart = _labelled(large, components(links), "family")
-        return links.unionByName(self.linked(_with_guests(apart, "family", blocks, 3), sets))
+        apart = _labelled(large, labels, "family")
+        return joined(labels, self.linked(_with_guests(apart, "family", blocks, 3), sets))
 
     def run(self) -> DataFrame:
-        labels = components(self.links()).withColumnsRenamed({"node": "rep"})
+        labels = self.components().withColumnsRenamed({"node": "rep"})
         of_class = self.classes.select("same", "rep").join(labels, "rep", "left")
         of_class = of_class.select("same", F.coalesce("component", "rep").alias("component_id"))
         counted = F.when(F.col("n_shingles") > 0, F.col("same"))  # empty sets join nothing
