@@ -77,6 +77,20 @@ def test_even_splits(spark):
     assert ranges.even_splits(df.limit(0), "k", 100) == []
 
 
+def test_ranges_are_bounded_and_keep_a_key_whole(spark, monkeypatch):
+    monkeypatch.setattr(ranges, "MOST_RANGES", 8)
+    keys = [5] * 700 + [*range(10, 1000)]
+    splits = ranges.even_splits(spark.createDataFrame([(k,) for k in keys], "k long"), "k", 10)
+    assert splits == sorted(set(splits)) and len(splits) < 8
+    assert np.bincount(ranges.range_of(np.array(keys), np.array(splits))).max() <= 700 + 212
+
+
+def test_a_range_has_a_task_of_its_own(spark, out_dir):
+    rows = [(i, f"http://a/{i}", f"<p>{i}</p>") for i in range(400)]
+    manifest = warc.write_pages(frame(spark, rows, "page_id long, url string, html string"), out_dir, range_rows=25)
+    assert sorted(r["records"] for r in manifest.collect()) == [25] * 16
+
+
 @given(st.text(st.sampled_from("<>/s[]INSTY\\n\n é"), max_size=40), st.text(st.sampled_from("<>/s[]INSTY\\n\n é"), max_size=9))
 def test_turns_round_trip(text, role):
     for name in ("user", "assistant", role):

@@ -10,42 +10,27 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BINS = 1 << 16
+from tuneprep.operators.ordering import with_running_total
+from tuneprep.storage import materialize
+
+MOST_RANGES = 1 << 20
 
 
 def even_splits(df: DataFrame, key: str, rows: int) -> list[int]:
-    """First keys of all ranges but the first, each range about ``rows`` rows.
+    """First keys of all ranges but the first, each range about ``rows`` rows, more where that gave over ``MOST_RANGES``.
 
-    Keys are counted in at most ``BINS`` equal bins; bins that hold more than a range are
-    counted again in finer ones. The driver gets one number per bin.
+    Each different key's rows are counted and summed up in key order by Spark; the driver gets one
+    number per range, 8 MB at most. A key's rows are never parted.
     """
-    low, high = df.agg(F.min(key), F.max(key)).first()
-    if low is None:
+    keys = df.select(F.col(key).cast("long").alias("_key")).where("_key is not null")
+    counts = materialize(keys.groupBy("_key").agg(F.count(F.lit(1)).alias("_n")), "key-counts")
+    total = counts.agg(F.sum("_n")).first()[0] or 0
+    if total <= rows:
         return []
-    shift = max(0, int(high - low).bit_length() - 16)
-    counts: dict[int, int] = {}
-    todo = [low]
-    part = df.select(F.col(key).alias("_key")).where(F.col("_key").isNotNull())
-    whole = part
-    while todo:
-        found = part.groupBy(F.expr(f"shiftright(_key - ({low}), {shift})").alias("bin")).count().collect()
-        for b, n in found:
-            counts[low + (b << shift)] = n
-        heavy = [b for b, n in found if n > rows]
-        if not shift or not heavy:
-            break
-        for b in heavy:
-            del counts[low + (b << shift)]
-        inside = F.expr(f"shiftright(_key - ({low}), {shift})").isin(heavy)
-        part, shift = whole.where(inside), max(0, shift - 12)
-        whole = part
-    splits, filled = [], 0
-    for start in sorted(counts):
-        if filled and filled + counts[start] > rows:
-            splits.append(start)
-            filled = 0
-        filled += counts[start]
-    return splits
+    rows = max(rows, -(-total // MOST_RANGES))
+    placed = with_running_total(counts, ["_key"], F.col("_n"), before="_before")
+    firsts = placed.groupBy(F.expr(f"_before div {rows}").alias("_range")).agg(F.min("_key").alias("first"))
+    return sorted(r["first"] for r in firsts.select("first").collect())[1:]
 
 
 def range_of(keys: np.ndarray, splits: np.ndarray) -> np.ndarray:

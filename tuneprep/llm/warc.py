@@ -129,7 +129,7 @@ def write_pages(
     )
     ordered = (
         rows.withColumn("range", range_number("page_id"))
-        .repartition(len(splits.value) + 1, "range")
+        .repartitionById(len(splits.value) + 1, "range")
         .sortWithinPartitions("range", "page_id", "kind", "html")
     )
     written = ordered.mapInArrow(lambda b: _write(b, out, file_bytes), "path string, records long, bytes long")
