@@ -11,6 +11,7 @@ import pytest
 sys.path.insert(0, str(Path(__file__).parent))
 from helpers import edited, frame, prose, rows_of
 
+from tuneprep.llm import decontaminate as decontaminate_module
 from tuneprep.llm import near_dedup
 from tuneprep.llm.components import components
 from tuneprep.llm.decontaminate import contaminated, decontaminate, tile
@@ -226,3 +227,57 @@ def test_items_below_a_seed(spark):
     rows += [(30, "beta alpha"), (31, "alpha alpha"), (32, ""), (33, prose(3, 8) + " alpha beta gamma delta epsilon")]
     got = contaminated(frame(spark, rows), frame(spark, items, "item_id long, text string"))
     assert sorted(rows_of(got, "doc_id", "item_id", "covered")) == [(10 + i, i, i) for i in range(1, 6)] + [(33, 5, 5)]
+
+
+def test_rows_of_one_id_are_one_document(spark):
+    """An item's halves in two rows of one doc_id, and an item of two rows, count together."""
+    item = prose(61, 20).split()
+    rows = [(1, " ".join(item[:10])), (1, " ".join(item[10:])), (2, " ".join(item[:10])), (3, prose(62, 20)), (3, prose(63, 20)), (4, prose(62, 20)), (4, "one")]
+    items = [(1, " ".join(item)), (2, prose(62, 20)), (2, prose(63, 20)), (3, prose(62, 20)), (3, "one")]
+    got = contaminated(frame(spark, rows), frame(spark, items, "item_id long, text string"))
+    assert sorted(rows_of(got, "doc_id", "item_id", "item_words", "covered")) == [
+        (1, 1, 20, 20), (2, 1, 20, 10), (3, 2, 40, 40), (3, 3, 21, 20), (4, 2, 40, 20), (4, 3, 21, 21)
+    ]
+
+
+def test_a_common_phrase_makes_no_pairs(spark, monkeypatch):
+    """Seeds of a phrase that many documents and items share choose no pair; documents that hold an item are found."""
+    chosen = []
+    rare = decontaminate_module._rare_seeds
+    monkeypatch.setattr(decontaminate_module, "_rare_seeds", lambda *a: chosen.append(rare(*a)) or chosen[0])
+    phrase = prose(64, 6)
+    rows = [(i, f"{prose(1000 + i, 30)} {phrase}") for i in range(60)]
+    items = [(i, f"{prose(3000 + i, 30)} {phrase} {prose(4000 + i, 4)}") for i in range(40)]
+    rows += [(100 + i, items[i][1]) for i in range(3)]
+    got = contaminated(frame(spark, rows), frame(spark, items, "item_id long, text string"))
+    assert sorted(rows_of(got, "doc_id", "item_id", "covered")) == [(100 + i, i, 40) for i in range(3)]
+    # Two seeds lie inside the phrase and belong to all items; the ones at its ends belong to a few at most.
+    assert chosen[0].groupBy("seed").count().where("count > 10").count() == 0
+
+
+def test_long_repeats_of_a_word(spark):
+    got = contaminated(frame(spark, [(1, "la " * 1500)]), frame(spark, [(1, "la " * 150)], "item_id long, text string"))
+    assert rows_of(got, "covered") == [(150,)]
+
+
+def test_query_against_brute_force(spark):
+    """Every document with every item, tiled without seeds or filters."""
+    rng = random.Random(12)
+    items = [(i, [rng.choice("abcdefghij") for _ in range(rng.randrange(5, 30))]) for i in range(12)]
+    rows = []
+    for i in range(40):
+        text = [rng.choice("abcdefghij") for _ in range(rng.randrange(30))]
+        for _ in range(rng.randrange(3)):
+            cut = rng.choice(items)[1]
+            a = rng.randrange(len(cut))
+            text += cut[a:] + [rng.choice("abcdefghij")] + cut[:a]
+        rows.append((i, text))
+    expected = []
+    for i, text in rows:
+        for j, item in items:
+            covered = brute_tiling(text, item)
+            if covered / len(item) >= 0.5:
+                expected.append((i, j, len(item), covered))
+    docs = frame(spark, [(i, " ".join(t)) for i, t in rows])
+    got = contaminated(docs, frame(spark, [(i, " ".join(t)) for i, t in items], "item_id long, text string"))
+    assert sorted(rows_of(got, "doc_id", "item_id", "item_words", "covered")) == sorted(expected)

@@ -6,30 +6,39 @@ however many documents hold it. For each document and item the longest common ru
 words is marked, again and again, until no run of five is left; the share of the item's
 words that is marked counts, so passages cut up and put in another order are found too.
 
+A document that covers enough of an item matches so many of its seeds that at least one is among
+the item's rarest in the documents. Only such pairs are tiled, so a phrase that many documents and
+items share makes no pairs by itself; nothing is lost by it.
+
 Defined cases: NULL and empty texts match nothing; the one seed of a text or item of one to four words is its
 whole word sequence, so it matches only a text that consists of the same words;
-rows with equal doc_id (item_id) count as one document (item); repeated passages are
+rows with equal doc_id (item_id) count as one document (item): their different texts lie far apart in it, told
+apart by 30 bits of a hash, and equal ones lie on each other; repeated passages are
 marked as often as the item has words for them; NULL ids are left out; empty tables give
 no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tuneprep.llm.words import PUNCTUATION, find_words, hash_words, mix, slices, text_bytes, windows
+from tuneprep.operators.ordering import with_running_total
 from tuneprep.storage import materialize
 
 SEED_WORDS = 5
 COVERAGE = 0.5
 FILTER_BITS = 24
 FILTER_PIECES = 256
+TEXT_BITS = 32
 
 
 def _seeds(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -48,6 +57,14 @@ def _seeds(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return hashes[order], at[order], first
 
 
+def _text_starts(column: pa.Array, rows: np.ndarray) -> np.ndarray:
+    """For ascending row numbers, where each row's text begins among all texts of its id."""
+    own, back = np.unique(rows, return_inverse=True)
+    texts = column.take(pa.array(own)).to_pylist()
+    tags = [int.from_bytes(hashlib.blake2b(t.encode(), digest_size=4).digest(), "big") >> 2 for t in texts]
+    return (np.array(tags, np.int64) << TEXT_BITS)[back]
+
+
 def _places(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
 
@@ -61,8 +78,8 @@ def _item_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 {
                     "seed": hashes.view(np.int64),
                     "item_id": cut.column("item_id").take(pa.array(row)),
-                    "item_at": at - first[row],
-                    "item_words": np.diff(first)[row],
+                    "item_at": at - first[row] + _text_starts(cut.column("text"), row),
+                    "text_words": np.diff(first)[row],
                     "place": _places(hashes),
                 }
             )
@@ -103,7 +120,7 @@ def _stretches(batches: Iterator[pa.RecordBatch], known: np.ndarray) -> Iterator
             yield pa.RecordBatch.from_pydict(
                 {
                     "doc_id": cut.column("doc_id").take(pa.array(row[begins])),
-                    "doc_at": at[begins] - first[row[begins]],
+                    "doc_at": at[begins] - first[row[begins]] + _text_starts(cut.column("text"), row[begins]),
                     "seeds": pa.array(runs, pa.binary()),
                 }
             )
@@ -116,6 +133,7 @@ def _unroll(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pydict(
                 {
                     "run": pa.array([batch.column("run")[i].as_py()] * len(seeds)),
+                    "copies": np.full(len(seeds), batch.column("copies")[i].as_py()),
                     "run_at": np.arange(len(seeds)),
                     "seed": seeds,
                 }
@@ -123,8 +141,13 @@ def _unroll(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def tile(matches: np.ndarray, item_words: int) -> tuple[int, int]:
-    """Greedy tiling of (place in document, place in item) seed matches: marked item words, number of tiles."""
+    """Greedy tiling of (place in document, place in item) seed matches: marked item words, number of tiles.
+
+    A third column may give the words of a seed, fewer than ``SEED_WORDS`` for a text that is shorter.
+    """
     matches = np.unique(matches, axis=0)
+    if matches.shape[1] == 2:
+        matches = np.column_stack([matches, np.full(len(matches), SEED_WORDS)])
     covered, tiles = 0, 0
     while len(matches):
         diagonal = matches[:, 0] - matches[:, 1]
@@ -133,8 +156,8 @@ def tile(matches: np.ndarray, item_words: int) -> tuple[int, int]:
         cuts = np.flatnonzero((np.diff(diagonal) != 0) | (np.diff(at[:, 1]) != 1)) + 1
         begins, stops = np.append(0, cuts), np.append(cuts, len(at))
         longest = np.lexsort((at[begins, 0], at[begins, 1], begins - stops))[0]
-        doc, item = at[begins[longest]]
-        length = stops[longest] - begins[longest] + SEED_WORDS - 1
+        doc, item, seed = at[begins[longest]]
+        length = stops[longest] - begins[longest] + seed - 1
         covered, tiles = covered + length, tiles + 1
         free_doc = (at[:, 0] + SEED_WORDS <= doc) | (at[:, 0] >= doc + length)
         free_item = (at[:, 1] + SEED_WORDS <= item) | (at[:, 1] >= item + length)
@@ -144,10 +167,16 @@ def tile(matches: np.ndarray, item_words: int) -> tuple[int, int]:
 
 def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = []
-        for places, words in zip(batch.column("places").to_pylist(), batch.column("item_words").to_pylist(), strict=True):
-            pairs = np.array([(p["doc_at"] + m["run_at"], m["item_at"]) for p in places for m in p["matches"]])
-            found.append(tile(pairs.reshape(-1, 2), words))
+        places = batch.column("places")
+        runs = places.flatten()
+        matches = runs.field("matches")
+        sizes = pc.list_value_length(matches).to_numpy()
+        flat = matches.flatten()
+        at = [flat.field(name).to_numpy() for name in ("run_at", "item_at", "seed_words")]
+        pairs = np.column_stack([np.repeat(runs.field("doc_at").to_numpy(), sizes) + at[0], at[1], at[2]])
+        ends = np.append(0, np.cumsum(sizes))[np.append(0, np.cumsum(pc.list_value_length(places).to_numpy()))]
+        words = batch.column("item_words").to_pylist()
+        found = [tile(pairs[a:b], n) for a, b, n in zip(ends[:-1], ends[1:], words, strict=True)]
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column("doc_id"),
@@ -160,6 +189,26 @@ def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _item_words(seeds: DataFrame) -> DataFrame:
+    """(item_id, item_words): words of all different texts of an item."""
+    texts = seeds.select("item_id", F.shiftright("item_at", TEXT_BITS).alias("text"), "text_words").distinct()
+    return texts.groupBy("item_id").agg(F.sum("text_words").alias("item_words"))
+
+
+def _rare_seeds(seeds: DataFrame, items: DataFrame, unrolled: DataFrame, coverage: float) -> DataFrame:
+    """(seed, item_id): the rarest seeds of each item, of which every document that covers enough of it has one.
+
+    A matched place covers at most ``SEED_WORDS`` words. So of an item's S places such a document matches
+    at least c = coverage * words / SEED_WORDS, and one of any S - c + 1.
+    """
+    copies = unrolled.groupBy("seed").agg(F.sum("copies").alias("copies"))
+    places = seeds.select("item_id", "seed", "item_at").distinct().join(copies, "seed", "left")
+    places = places.withColumn("copies", F.coalesce("copies", F.lit(0)))
+    ranked = with_running_total(places, ["copies", "seed", "item_at"], group_by=["item_id"], before="rank", total="places")
+    least = F.greatest(F.ceil(F.col("item_words") * F.lit(coverage / SEED_WORDS) - F.lit(1e-9)), F.lit(1))
+    return ranked.join(items, "item_id").where(F.col("rank") <= F.col("places") - least).select("seed", "item_id").distinct()
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     """Documents that hold a benchmark item: (doc_id, item_id, item_words, covered, tiles, coverage).
 
@@ -173,7 +222,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
         .where(F.col("item_id").isNotNull())
         .mapInArrow(
             _item_seeds,
-            f"seed long, item_id {kinds[1]['item_id']}, item_at long, item_words long, place long",
+            f"seed long, item_id {kinds[1]['item_id']}, item_at long, text_words long, place long",
         ),
         "benchmark-seeds",
     )
@@ -187,18 +236,27 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
         .withColumn("run", F.sha2("seeds", 256)),
         "benchmark-hits",
     )
-    runs = hits.groupBy("run").agg(F.first("seeds").alias("seeds"))
-    matches = (
-        runs.mapInArrow(_unroll, "run string, run_at long, seed long")
-        .join(seeds.drop("place"), "seed")
-        .groupBy("run", "item_id")
-        .agg(F.max("item_words").alias("item_words"), F.collect_list(F.struct("run_at", "item_at")).alias("matches"))
+    runs = hits.groupBy("run").agg(F.first("seeds").alias("seeds"), F.count(F.lit(1)).alias("copies"))
+    unrolled = materialize(
+        runs.mapInArrow(_unroll, "run string, copies long, run_at long, seed long"), "benchmark-runs"
+    )
+    items = materialize(_item_words(seeds), "benchmark-items")
+    rare = _rare_seeds(seeds, items, unrolled, coverage)
+    candidates = (
+        hits.select("doc_id", "run")
+        .distinct()
+        .join(unrolled.select("run", "seed").join(rare, "seed").select("run", "item_id").distinct(), "run")
+        .select("doc_id", "item_id")
+        .distinct()
     )
+    match = F.struct("run_at", "item_at", F.least("text_words", F.lit(SEED_WORDS)).cast("long").alias("seed_words"))
+    matches = unrolled.join(seeds.drop("place"), "seed").groupBy("run", "item_id").agg(F.collect_list(match).alias("matches"))
     pairs = (
-        hits.select("doc_id", "doc_at", "run")
-        .join(matches, "run")
+        candidates.join(hits.select("doc_id", "doc_at", "run"), "doc_id")
+        .join(matches, ["run", "item_id"])
         .groupBy("doc_id", "item_id")
-        .agg(F.max("item_words").alias("item_words"), F.collect_list(F.struct("doc_at", "matches")).alias("places"))
+        .agg(F.collect_list(F.struct("doc_at", "matches")).alias("places"))
+        .join(items, "item_id")
     )
     schema = f"doc_id {kinds[0]['doc_id']}, item_id {kinds[1]['item_id']}, item_words long, covered long, tiles long"
     tiled = pairs.mapInArrow(_tiles, schema).withColumn("coverage", F.col("covered") / F.col("item_words"))
